@@ -120,9 +120,9 @@ def digests(batches):
         for r in b.to_pylist():
             turns = parse(r["formatted"])
             loss = masked_text(r["formatted"], r["token_start"], r["token_end"], r["loss_mask"])
-            rows.append((r["conv_id"], len(turns), sha("".join(f"{a}\n{t}\n" for a, t in turns)), len(loss), sha(loss), len(r["formatted"]), len(r["token_start"])))
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            rows.append((r["conv_id"], len(turns), sha("".join(f"{a}\n{t}\n" for a, t in turns)), len(loss), sha(loss), len(r["formatted"])))
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -130,16 +130,15 @@ def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: all conversations and conversation -7, formatted and read back."""
     turns = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", EXTRA), (-7, 1, "assistant", EXTRA)], "conv_id long, turn long, role string, text string")
-    return format_chats(turns.unionByName(extra)).mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return format_chats(turns.unionByName(extra)).mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-#: All but formatted_chars and n_tokens follow from the table; the template's length does too: 19 code points of marks a turn, a backslash for each backslash and each mark inside.
+#: The template adds 19 code points of marks to a turn, and a backslash for each backslash and each mark inside.
 SQL = r"""
 WITH rows AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-marked AS (SELECT *, length(regexp_replace(regexp_replace(role || text, '\\', '\\\\', 'g'), '<turn>|<text>|</turn>', '<~\0', 'g')) AS marked,
-  length(role || text) + length(role || text) - length(replace(role || text, '\', ''))
+marked AS (SELECT *, length(role || text) + length(role || text) - length(replace(role || text, '\', ''))
   + len(regexp_extract_all(role, '<turn>|<text>|</turn>')) + len(regexp_extract_all(text, '<turn>|<text>|</turn>')) + 19 AS chars FROM rows)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

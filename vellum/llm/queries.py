@@ -21,5 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Tokens, models, sketches and media have no SQL; tests hold them against brute force, round trips or held-out labels."""
-    return {"op6_adaptive_rules": quality_rules.SQL, "op8_hash_threshold_mix": mixing.SQL}
+    """Token ids, models, sketches and media have no SQL; tests hold them against brute force, round trips or held-out labels."""
+    return {"op1_chat_masks": chat.SQL, "op6_adaptive_rules": quality_rules.SQL, "op8_hash_threshold_mix": mixing.SQL}

@@ -1,12 +1,12 @@
 """Toxicity: a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum of w[i] + sum over pairs of <v[i], v[j]>), over the distinct hashed terms of the
-whole text (lower case, punctuation stripped). Pairs are what a linear model misses: a word that is
+score = sigmoid(w0 + sum of w[i] + sum over pairs of <v[i], v[j]> / n), over the n distinct hashed terms of the
+whole text (lower case, punctuation stripped; each word and its first four bytes). Pairs are what a linear model misses: a word that is
 harmless alone and an insult next to a group's name. The pair sum is taken as half of (sum v)^2 - sum v^2,
 so a document costs its terms times the rank.
 
 The model is fit on at most ``max_rows`` labelled documents, the lowest by a hash of the id; that
-documented bound also bounds what the driver holds. Terms in fewer than ``least_documents`` of them keep
+documented bound also bounds what the driver holds. Terms in less than ``least_share`` of them keep
 weight 0. AdaGrad with weight decay, fixed seed. Scoring reads every text whole.
 
 Defined results: a null text is empty and scores by the bias alone; null labels are left out; repeated
@@ -29,21 +29,31 @@ _EDGE = b".,;:!?\"'()[]{}#*$%&|<>_-"
 
 
 class Terms(dict):
-    """Word to hashed term, computed once per word; emptied when full."""
+    """Word to the place of its hashed terms, the word and its first four bytes; emptied when full."""
+
+    def __init__(self, limit: int = 500_000):
+        from array import array
+
+        self.limit, self.terms = limit, array("i")
 
     def __missing__(self, word: bytes) -> int:
         import zlib
 
-        if len(self) > 500_000:
-            self.clear()
-        v = self[word] = zlib.crc32(word.lower().strip(_EDGE)) & ((1 << BITS) - 1)
-        return v
-
+        bare = word.lower().strip(_EDGE)
+        at = self[word] = len(self.terms) // 2
+        self.terms.append(zlib.crc32(bare) & ((1 << BITS) - 1))
+        self.terms.append(zlib.crc32(b"^" + bare[:4]) & ((1 << BITS) - 1))
+        return at
 
-def terms_of(raw: bytes, seen: Terms):
-    import numpy as np
+    def of(self, raw: bytes):
+        """Distinct terms of a text in UTF-8, sorted."""
+        import numpy as np
 
-    return np.unique(np.fromiter(map(seen.__getitem__, set(raw.split())), np.int32))
+        if len(self) > self.limit:
+            self.clear()
+            del self.terms[:]
+        places = np.fromiter(map(self.__getitem__, set(raw.split())), np.int64)
+        return np.unique(np.frombuffer(self.terms, np.int32).reshape(-1, 2)[places])
 
 
 @dataclass
@@ -58,15 +68,16 @@ class Machine:
 
         if not len(starts):
             return np.zeros(0)
-        doc = np.repeat(np.arange(len(starts)), np.diff([*starts, len(flat)]))
-        total = np.bincount(doc, self.w[flat], len(starts))
+        n = np.diff([*starts, len(flat)])
+        doc = np.repeat(np.arange(len(starts)), n)
+        total, share = np.bincount(doc, self.w[flat], len(starts)), 0.5 / np.maximum(n, 1)
         for k in range(self.v.shape[1]):
             x = self.v[flat, k]
-            total += 0.5 * (np.bincount(doc, x, len(starts)) ** 2 - np.bincount(doc, x * x, len(starts)))
+            total += share * (np.bincount(doc, x, len(starts)) ** 2 - np.bincount(doc, x * x, len(starts)))
         return total + self.bias
 
     @classmethod
-    def fit(cls, documents: list, labels, rank: int = 4, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, least_documents: int = 5, batch: int = 256) -> "Machine":
+    def fit(cls, documents: list, labels, rank: int = 4, epochs: int = 8, rate: float = 0.4, decay: float = 1e-4, pair_decay: float = 1e-3, least_share: float = 0.002, batch: int = 256) -> "Machine":
         import numpy as np
 
         rng = np.random.default_rng(7)
@@ -75,7 +86,7 @@ class Machine:
         y = np.asarray(labels, float)
         if len(documents) and 0 < y.sum() < len(y):
             df = np.bincount(np.concatenate(documents), minlength=size)
-            live = df >= least_documents
+            live = df >= max(3, least_share * len(documents))
             documents = [d[live[d]] for d in documents]
             v[~live] = 0
             bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -89,16 +100,17 @@ class Machine:
                     flat, doc = np.concatenate(own), np.repeat(np.arange(len(own)), n)
                     sums = np.stack([np.bincount(doc, v[flat, k], len(own)) for k in range(rank)], 1)
                     squares = np.bincount(doc, (v[flat] ** 2).sum(1), len(own))
-                    z = bias + np.bincount(doc, w[flat], len(own)) + 0.5 * ((sums**2).sum(1) - squares)
+                    share = 1 / np.maximum(n, 1)
+                    z = bias + np.bincount(doc, w[flat], len(own)) + 0.5 * share * ((sums**2).sum(1) - squares)
                     e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(own)
                     ids, place = np.unique(flat, return_inverse=True)
                     dw = np.bincount(place, e[doc], len(ids)) + decay * w[ids]
                     gw[ids] += dw * dw
                     w[ids] -= rate * dw / np.sqrt(gw[ids])
                     for k in range(rank):
-                        dv = np.bincount(place, e[doc] * (sums[doc, k] - v[flat, k]), len(ids)) + decay * v[ids, k]
+                        dv = np.bincount(place, (e * share)[doc] * (sums[doc, k] - v[flat, k]), len(ids)) + pair_decay * v[ids, k]
                         gv[ids, k] += dv * dv
-                        v[ids, k] -= 0.3 * rate * dv / np.sqrt(gv[ids, k])
+                        v[ids, k] -= rate * dv / np.sqrt(gv[ids, k])
                     gb += e.sum() ** 2
                     bias -= rate * e.sum() / np.sqrt(gb)
         elif len(y):
@@ -112,12 +124,12 @@ def term_batches(batches):
 
     seen = Terms()
     for b in batches:
-        found = [terms_of(t or b"", seen) for t in b.column(0).cast(pa.binary()).to_pylist()]
+        found = [seen.of(t or b"") for t in b.column(0).cast(pa.binary()).to_pylist()]
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]))), b.column(1)], names=["terms", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **how) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, **how) -> Machine:
     """labels: (doc_id, label). At most ``max_rows`` of them are joined to their texts and brought here as hashed terms."""
     rows = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most max_rows ids
@@ -139,7 +151,7 @@ def score_batches(sent):
         model, seen = sent.value, Terms()
         for whole in batches:
             for b in tokens.slices(whole, 256):
-                found = [terms_of(t or b"", seen) for t in b.column(2).cast(pa.binary()).to_pylist()]
+                found = [seen.of(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)])
                 z = model.raw(np.concatenate([*found, np.zeros(0, np.int32)]), ends[:-1])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "held_out", "score"])

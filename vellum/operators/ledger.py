@@ -39,3 +39,58 @@ def top_exports(rows: DataFrame, k: int = 3, years: int = 25) -> DataFrame:
     totals = rows.groupBy("from_location", year_bucket(F.col("year"), years).alias("bucket"), "commodity").agg(F.round(F.sum("quantity"), 2).alias("total_quantity"), F.count(F.lit(1)).alias("n"))
     by = W.partitionBy("from_location", "bucket").orderBy(F.desc("total_quantity"), "commodity")
     return totals.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
+def any_measure(rows: DataFrame, measures: list[str]) -> DataFrame:
+    """Rows with a positive value in one of the measures."""
+    hit = F.lit(False)
+    for m in measures:
+        hit = hit | (F.coalesce(m, F.lit(0.0)) > 0)
+    return rows.filter(hit)
+
+
+def with_defaults(rows: DataFrame, sheet: Column, to: str = "London") -> DataFrame:
+    """Missing origins take the sheet's name, missing destinations the port of record."""
+    filled = lambda c, d: F.coalesce(F.nullif(F.trim(c), F.lit("")), d)
+    return rows.withColumn("from_location", filled(F.col("from_location"), sheet)).withColumn("to_location", filled(F.col("to_location"), F.lit(to)))
+
+
+def _yearly(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("from_location", "year").agg(F.round(F.sum("quantity"), 2).alias("q"))
+
+
+def growth(rows: DataFrame, start: int, end: int) -> DataFrame:
+    """Each origin's quantity in two years and the growth between them."""
+    at = lambda y: F.max(F.when(F.col("year") == y, F.col("q")))
+    per = _yearly(rows.filter(F.col("year").isin(start, end))).groupBy("from_location").agg(at(start).alias("first"), at(end).alias("last"))
+    return per.filter("first is not null and last is not null").withColumn("growth", F.round(F.col("last") / F.col("first") - 1, 6))
+
+
+def increase(rows: DataFrame, years: int) -> DataFrame:
+    """Each commodity's quantity per bucket of years and its rise over the bucket before."""
+    per = rows.groupBy("commodity", year_bucket(F.col("year"), years).alias("bucket")).agg(F.round(F.sum("quantity"), 2).alias("q"))
+    return per.withColumn("increase", F.round(F.col("q") - F.lag("q").over(W.partitionBy("commodity").orderBy("bucket")), 2))
+
+
+def overtakes(rows: DataFrame) -> DataFrame:
+    """For two origins in name order, the first year in which the second shipped more."""
+    per = _yearly(rows)
+    a, b = per.alias("a"), per.alias("b")
+    ahead = a.join(b, (F.col("a.year") == F.col("b.year")) & (F.col("a.from_location") < F.col("b.from_location")) & (F.col("b.q") > F.col("a.q")))
+    return ahead.groupBy(F.col("a.from_location").alias("leader"), F.col("b.from_location").alias("follower")).agg(F.min("b.year").alias("year"))
+
+
+def group_totals(rows: DataFrame) -> DataFrame:
+    """Per origin and year: sums, distinct commodities, sorted distinct destinations."""
+    return rows.groupBy("from_location", "year").agg(F.round(F.sum("quantity"), 2).alias("total_quantity"), F.round(F.sum("value"), 2).alias("total_value"), F.countDistinct("commodity").alias("commodities"), F.array_join(F.sort_array(F.collect_set("to_location")), "; ").alias("destinations"))
+
+
+def profile(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.countDistinct("commodity").alias("commodities"), F.countDistinct("from_location").alias("origins"), F.count(F.lit(1)).alias("records"))
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """One text per origin and year: a line for each commodity, in order."""
+    per = rows.groupBy("from_location", "year", "commodity").agg(F.round(F.sum("quantity"), 2).alias("q"))
+    line = F.concat("commodity", F.lit(": "), F.col("q").cast("long").cast("string"), F.lit(" units"))
+    return per.groupBy("from_location", "year").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("commodity", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))

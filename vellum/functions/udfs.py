@@ -9,7 +9,13 @@ from pyspark.sql import types as T
 
 from vellum.functions import kernels
 
-_COUNTS = "distance long, insertions long, deletions long, substitutions long"
+
+def _struct(kind: T.DataType, *names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, kind) for n in names])  # types as objects: text would need a session at import
+
+
+_COUNTS = _struct(T.LongType(), "distance", "insertions", "deletions", "substitutions")
+_SPANS = T.ArrayType(_struct(T.IntegerType(), "s", "e"))
 
 
 @F.pandas_udf(_COUNTS)
@@ -24,37 +30,37 @@ def token_edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.edit_counts(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)], columns=["distance", "insertions", "deletions", "substitutions"])
 
 
-@F.pandas_udf("accuracy double, total long, errors long")
+@F.pandas_udf(T.StructType([T.StructField("accuracy", T.DoubleType()), *_struct(T.LongType(), "total", "errors").fields]))
 def token_accuracy(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.accuracy(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)], columns=["accuracy", "total", "errors"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def bleu(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([kernels.bleu(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)])
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.LongType()) for k in kernels.TAXONOMY]))
+@F.pandas_udf(_struct(T.LongType(), *kernels.TAXONOMY))
 def error_taxonomy(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.error_taxonomy(a, b) for a, b in zip(ref, hyp, strict=True)], columns=kernels.TAXONOMY)
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.LongType()) for k in kernels.ARTIFACTS]))
+@F.pandas_udf(_struct(T.LongType(), *kernels.ARTIFACTS))
 def artifact_taxonomy(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.artifact_taxonomy(a, b) for a, b in zip(ref, hyp, strict=True)], columns=kernels.ARTIFACTS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def entity_text(text: pd.Series) -> pd.Series:
     return text.map(kernels.entity_text, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_chunks(text: pd.Series) -> pd.Series:
     return text.map(kernels.sentence_chunks, na_action="ignore")
 
 
-@F.pandas_udf("array<struct<category:string,gold_text:string,gold_label:string,pred_text:string,pred_label:string>>")
+@F.pandas_udf(T.ArrayType(_struct(T.StringType(), "category", "gold_text", "gold_label", "pred_text", "pred_label")))
 def align(gold: pd.Series, pred: pd.Series) -> pd.Series:
     """Alignment of two arrays of (text, label)."""
     names = ["category", "gold_text", "gold_label", "pred_text", "pred_label"]
@@ -62,17 +68,17 @@ def align(gold: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, x, strict=True)) for x in kernels.align(sets(g), sets(p))] for g, p in zip(gold, pred, strict=True)])
 
 
-@F.pandas_udf("tp long, fp long, fn long")
+@F.pandas_udf(_struct(T.LongType(), "tp", "fp", "fn"))
 def partial_counts(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.partial_counts(set(g) if g is not None else set(), set(p) if p is not None else set()) for g, p in zip(gold, pred, strict=True)], columns=["tp", "fp", "fn"])
 
 
-@F.pandas_udf("array<struct<s:int,e:int>>")
+@F.pandas_udf(_SPANS)
 def occurrences(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([[{"s": a, "e": b} for a, b in kernels.occurrences(t or "", n or "")] for t, n in zip(text, name, strict=True)])
 
 
-@F.pandas_udf("array<struct<s:int,e:int>>")
+@F.pandas_udf(_SPANS)
 def first_unused(text: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([[{"s": a, "e": b} for a, b in kernels.first_unused(t or "", list(n))] for t, n in zip(text, names, strict=True)])
 

@@ -38,10 +38,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage, survives lost executors and keeps row ids fixed."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one column ``_row``, beside the columns named: whatever else a table holds, no name of ours can clash with it."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *(docs[c] for c in columns))
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hand Python at most so many bytes at once, so that long texts don't add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,3 +65,8 @@ def partitions(spark: SparkSession) -> int:
 def id_text(column: str | Column = "doc_id") -> Column:
     """The id as text; a missing id is the empty text."""
     return F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))
+
+
+def sent_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of keys, marked for broadcast when a count finds at most so many rows; beyond that the join is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

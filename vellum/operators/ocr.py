@@ -111,3 +111,28 @@ def match_names(names: DataFrame, gold: DataFrame, ext: str = ".xml", threshold:
     best = scored.groupBy("name").agg(F.max_by(F.struct("gold_name", "score"), F.struct("score", F.expr("array_join(transform(split(gold_name, ''), x -> lpad(cast(1114111 - ascii(x) as string), 7, '0')), '')"))).alias("b")).filter(F.col("b.score") >= threshold)
     fuzzy = open_.select("name").join(best, "name", "left").select("name", F.col("b.gold_name").alias("gold_name"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
     return done.unionByName(fuzzy)
+
+
+def match_by_opening(names: DataFrame, gold: DataFrame, length: int = 50) -> DataFrame:
+    """name and the first gold name, in order, that shares its first ``length`` characters or begins it or is begun by it.
+
+    Any two such names agree in their first character, in any case, so that is where they meet.
+    """
+    n, g = names.select("name", F.lower("name").alias("a")), gold.select("gold_name", F.lower("gold_name").alias("b"))
+    hit = F.startswith("a", "b") | F.startswith("b", "a") | (F.substring("a", 1, length) == F.substring("b", 1, length))
+    found = n.join(g, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & hit).groupBy("name").agg(F.min("gold_name").alias("gold_name"))
+    return names.select("name").join(found, "name", "left")
+
+
+def rejoin_lines(lines: DataFrame, lexicon: set, key: str = "region", order: str = "line_no", text: str = "line") -> DataFrame:
+    """Words split over line ends put together, region by region (a region is a text block of one page)."""
+
+    def run(df):
+        from vellum.functions import kernels
+
+        df = df.sort_values(order)
+        fixed, n = kernels.rejoin(df[text].tolist(), lexicon)
+        return df.assign(**{text: fixed, "repairs": n})[[key, order, text, "repairs"]]
+
+    kinds = dict(lines.dtypes)
+    return lines.select(key, order, text).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, repairs long")

@@ -26,7 +26,7 @@ from vellum.llm import common
 
 SYMBOLS = "[^#*$%&|<>]+"
 #: rate -> slack over the median that is always allowed.
-SLACK = {"symbol_rate": 0.03, "dup_line_rate": 0.3, "repeat_rate": 0.3, "upper_rate": 0.25, "bang_rate": 0.2}
+SLACK = {"symbol_rate": 0.03, "dup_line_rate": 0.5, "repeat_rate": 0.45, "upper_rate": 0.25, "bang_rate": 0.2}
 REACH, LEAST = 4.0, 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -77,7 +77,8 @@ def judge(stats: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(common.materialize(with_counts(docs), "counted")).filter("kept").select(*docs.columns)
+    counted = with_counts(common.wrapped(docs, "lang", "source", "text")).drop("text")
+    return common.unwrapped(judge(common.materialize(counted, "counted")).filter("kept"))
 
 
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

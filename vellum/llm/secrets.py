@@ -4,9 +4,9 @@ Three base kinds are found by pattern. A wider pattern (a run of 20 or more key
 letter and a digit) gives further candidates, which prose, identifiers and examples also match; what
 tells them apart is who holds them. Candidate hashes are counted by distinct repository (source and
 language, unless other columns are named) and distinct owner (source): a value that ``shared_owners``
-or more owners hold is a widely copied example, any other is owner-specific and looks live. Wider
-candidates are reported, as kind ``owned``, only when owner-specific; base spans always are, and the
-count of live-looking ones comes along.
+or more owners hold is a widely copied example, any other is owner-specific and looks live. Base spans
+are always reported, each with a second span over its value, of kind ``live`` or ``example``; wider
+candidates are reported, as kind ``owned``, only when owner-specific.
 
 Spans come from ``split`` and ``regexp_extract_all`` with the same pattern: text between matches and
 matches alternate, so running sums of their lengths are the positions (in blocks, so that a text with
@@ -32,13 +32,13 @@ PATTERNS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
 }
 WIDER = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
-KINDS = [*PATTERNS, "owned"]
+KINDS = [*PATTERNS, "owned", "live", "example"]
 BLOCK = 256
-_SPANS = "array<struct<ord:int,s:int,e:int,h:bigint>>"
+_SPANS = "array<struct<ord:int,s:int,e:int,n:int,h:bigint>>"
 
 
 def spans_of(text: str, kind: str, pattern: str) -> Column:
-    """Array of (ord, start, end, hash of the value) of a pattern's matches in a column."""
+    """Array of (ord, start, end, length and hash of the value, which ends the match) of a pattern's matches in a column."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     value = f"regexp_extract_all({text}, {p}, 1)" if kind == "assign" else f"regexp_extract_all({text}, {p}, 0)"
     # one-element transforms name intermediate arrays, so that each is computed once
@@ -48,7 +48,7 @@ def spans_of(text: str, kind: str, pattern: str) -> Column:
       concat(c, array(element_at(c, -1) + aggregate(slice(a.d, b * {BLOCK} + 1, {BLOCK}), 0, (q, y) -> q + y))))  as c))"""
     spans = f"""transform({blocks}, a -> transform(a.m, (x, i) -> struct({KINDS.index(kind)} as ord,
       get(a.c, cast(i div {BLOCK} as int)) + aggregate(slice(a.d, cast(i div {BLOCK} as int) * {BLOCK} + 1, i % {BLOCK} + 1), 0, (q, y) -> q + y) as s, x as l, get(a.v, i) as v)))[0]"""
-    kept = f"transform(filter({spans}, x -> {'length(x.v) >= 6' if kind == 'assign' else 'true'}), x -> struct(x.ord as ord, x.s as s, x.s + x.l as e, xxhash64(x.v) as h))"
+    kept = f"transform(filter({spans}, x -> {'length(x.v) >= 6' if kind == 'assign' else 'true'}), x -> struct(x.ord as ord, x.s as s, x.s + x.l as e, length(x.v) as n, xxhash64(x.v) as h))"
     return F.expr(f"if({text} rlike {p}, {kept}, cast(array() as {_SPANS}))")
 
 
@@ -68,11 +68,14 @@ def owners(candidates: DataFrame) -> DataFrame:
 
 
 def classified(found: DataFrame, owner: str = "source", repository: tuple = ("source", "lang"), shared_owners: int = 3) -> DataFrame:
-    """uid and its spans in order, each with ``live``; wider candidates only where owner-specific. Rows without spans are absent."""
+    """uid and its spans in order, the verdict's among them; wider candidates only where owner-specific. Rows without spans are absent."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     each = found.filter(F.size("found") > 0).select("uid", name(owner).alias("owner"), F.concat_ws("/", *(name(c) for c in repository)).alias("repository"), F.explode("found").alias("x")).select("uid", "owner", "repository", "x.*")
-    judged = each.join(owners(each), "h").withColumn("live", F.col("n_owners") < shared_owners).filter((F.col("ord") < KINDS.index("owned")) | F.col("live"))
-    return judged.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "ord", "e", "live"))).alias("spans"))
+    judged = each.join(owners(each), "h").withColumn("live", F.col("n_owners") < shared_owners)
+    verdict = f"struct(e - n as s, if(live, {KINDS.index('live')}, {KINDS.index('example')}) as ord, e as e)"
+    own = "struct(s as s, ord as ord, e as e)"
+    told = judged.select("uid", F.explode(F.expr(f"if(ord < {len(PATTERNS)}, array({own}, {verdict}), if(live, array({own}), array()))")).alias("x"))
+    return told.groupBy("uid").agg(F.sort_array(F.collect_list("x")).alias("spans"))
 
 
 def _listed(spans: str) -> str:
@@ -80,34 +83,33 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat({kinds}[x.ord], ':', x.s, ':', x.e)), ',')"
 
 
-def find_secrets(docs: DataFrame, **how) -> DataFrame:
-    """docs with uid and ``spans`` (start, kind's place, end, live-looking), empty where there are none."""
-    found = common.materialize(with_candidates(docs).withColumn("uid", F.monotonically_increasing_id()), "secrets")
-    none = F.expr("cast(array() as array<struct<s:int,ord:int,e:int,live:boolean>>)")
+def find_secrets(docs: DataFrame, text: bool = True, **how) -> DataFrame:
+    """docs (with text unless told not to) with uid and ``spans`` (start, kind's place, end), empty where there are none."""
+    seen = with_candidates(docs)
+    found = common.materialize((seen if text else seen.drop("text")).withColumn("uid", F.monotonically_increasing_id()), "secrets")
+    none = F.expr("cast(array() as array<struct<s:int,ord:int,e:int>>)")
     some = found.filter(F.size("found") > 0).join(classified(found, **how), "uid", "left").withColumn("spans", F.coalesce("spans", none))
     return some.unionByName(found.filter(F.size("found") == 0).withColumn("spans", none)).drop("found")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced by a mark (overlapping spans by one), ``n_chars`` brought up to date."""
-    found = find_secrets(docs)
+    found = find_secrets(common.wrapped(docs, "source", "lang", "text"))
     merged = """aggregate(spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).e > x.s,
       concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e))), concat(a, array(struct(x.s as s, x.e as e)))))"""
     clean = f"""array_join(concat(transform(_m, (x, i) -> concat(substring(text, if(i > 0, get(_m, i - 1).e, 0) + 1, x.s - if(i > 0, get(_m, i - 1).e, 0)), '{mark}')),
       array(substring(text, element_at(_m, -1).e + 1, length(text)))), '')"""
     out = found.withColumn("_m", F.expr(merged)).withColumn("text", F.expr(f"if(size(_m) > 0, {clean}, text)"))
+    out = out.withColumn("_row", F.col("_row").withField("text", F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_m") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("_row", F.col("_row").withField("n_chars", F.when(F.size("_m") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))))
+    return common.unwrapped(out)
 
 
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: spans of every document."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    found = common.materialize(with_candidates(docs).drop("text").withColumn("uid", F.monotonically_increasing_id()), "secrets")
-    none = F.expr("cast(array() as array<struct<s:int,ord:int,e:int,live:boolean>>)")
-    some = found.filter(F.size("found") > 0).join(classified(found), "uid", "left").withColumn("spans", F.coalesce("spans", none))
-    rows = some.unionByName(found.filter(F.size("found") == 0).withColumn("spans", none))
+    rows = find_secrets(docs, text=False)
     count = lambda k: F.expr(f"cast(size(filter(spans, x -> x.ord = {KINDS.index(k)})) as bigint)").alias(f"n_{k}")
     base = _listed(f"filter(spans, x -> x.ord < {len(PATTERNS)})")
-    return rows.select("doc_id", *(count(k) for k in KINDS), F.sha2(F.expr(base), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"), F.expr("cast(size(filter(spans, x -> x.live)) as bigint)").alias("n_live"))
+    return rows.select("doc_id", *(count(k) for k in KINDS), F.sha2(F.expr(base), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))

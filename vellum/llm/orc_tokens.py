@@ -28,15 +28,14 @@ def encode_partition(path: str | None, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part, before = tokens.encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
+        enc, part, before = tokens.encoder(path, 800_000), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in tokens.slices(whole):
-                ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n.astype(np.int32)), tokens.id_lists(ids)], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+            for b in tokens.slices(whole, 2048):
+                starts, ids = enc.encode(b.column(1), end_id)
+                n = np.diff(starts)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(before + starts[:-1]), pa.array(n.astype(np.int32)), tokens.id_lists(starts, ids)], names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+                before += len(ids)
+            common.give_back()
 
     return run
 
@@ -44,6 +43,7 @@ def encode_partition(path: str | None, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, files: int | None = None, stripe_bytes: int = 16 << 20) -> None:
     """Encode and write; ``files`` is the number of ORC files (the session's shuffle partitions unless given)."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange(files or common.partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -51,6 +51,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         .mapInArrow(encode_partition(tokenizer, end_id), "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
+        .option("compression", "lz4")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "10000")
         .option("orc.stripe.size", str(stripe_bytes))

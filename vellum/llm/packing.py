@@ -165,11 +165,8 @@ def pack_partition(path: str | None, end_id: int, window: int, block_docs: int,
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = tokens.encoder(path), np.array([end_id], "<i4").tobytes()
+        enc = tokens.encoder(path, 250_000)
         packer = Packer(window, block_docs, TaskContext.get().partitionId() << 32)
-        held: dict = {}  # documents with an open remainder: (doc_id, tokens, remainder's ids, its start)
-        number = 0
-
         def out(rows):
             for at in range(0, len(rows), 4096):
                 some = rows[at : at + 4096]
@@ -185,16 +182,16 @@ def pack_partition(path: str | None, end_id: int, window: int, block_docs: int,
                 ]
                 names = [c.split()[0] for c in PIECES.split(", ")]
                 if with_ids:
-                    columns.append(tokens.id_lists(cut))
+                    columns.append(tokens.id_lists(np.cumsum([0, *(len(c) // 4 for c in cut)]), np.frombuffer(b"".join(cut), "<i4")))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for whole in batches:
-            for b in tokens.slices(whole, 256):
-                rows = []
-                for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+            for b in tokens.slices(whole, 1024):
+                rows = []  # a document is its id, its length, the ids at hand and where they start
+                starts, every = enc.encode(b.column(1), end_id)
+                for doc_id, lo, hi in zip(b.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    ids, n = every[lo:hi].tobytes(), hi - lo
                     tail = n - n % window
                     rows += [((doc_id, n, ids, 0), *r[1:]) for r in packer.add(None, n)]
                     if n % window:
@@ -202,13 +199,15 @@ def pack_partition(path: str | None, end_id: int, window: int, block_docs: int,
                 yield from out(rows)
                 if len(packer.open) >= block_docs:
                     yield from out(packer.block())
+                common.give_back()
         yield from out(packer.finish())
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, window: int = 1024, block_docs: int = 16384, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, window: int = 1024, block_docs: int = 8192, with_ids: bool = True) -> DataFrame:
     """One row per piece, in the sequence and at the offset it was given, with its ids unless told not to."""
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pack_partition(tokenizer, end_id, window, block_docs, with_ids), PIECES + ", ids array<int>" * with_ids)
 
 

@@ -95,6 +95,7 @@ def format_batches(path: str | None, roles: tuple):
 
 def format_chats(turns: DataFrame, tokenizer: str | None = None, roles: tuple = ("assistant",)) -> DataFrame:
     """One row per conversation: the rendered string, its token ids and offsets, and the loss mask over tokens."""
+    common.small_batches(turns.sparkSession)
     whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
     return whole.select("conv_id", "turns").mapInArrow(format_batches(tokenizer, tuple(roles)), RENDERED)
 

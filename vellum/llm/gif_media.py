@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,12 +92,10 @@ def pack_streams(streams: list, root: int) -> list[bytes]:
     size = (bits + 7) >> 3
     base = np.cumsum(size) - size
     at = total - width + np.repeat(base * 8 - (total[last - 1] - bits), counts)
-    value = np.fromiter((x for c in streams for x in c), np.uint32, int(counts.sum())) << (at & 7).astype(np.uint32)
-    out = np.zeros(int(size.sum()) + 3, np.uint8)
-    byte = at >> 3
-    for k in range(3):  # bits never collide, so sums are ors
-        np.add.at(out, byte + k, (value >> (8 * k) & 255).astype(np.uint8))
-    raw = out.tobytes()
+    value = np.fromiter(chain.from_iterable(streams), np.uint32, int(counts.sum())) << (at & 7).astype(np.uint32)
+    byte, n = at >> 3, int(size.sum()) + 3
+    # bits never collide, so sums are ors; a byte's sum is below 256
+    raw = sum(np.bincount(byte + k, value >> np.uint32(8 * k) & np.uint32(255), n) for k in range(3)).astype(np.uint8).tobytes()
     return [raw[a : a + n] for a, n in zip(base.tolist(), size.tolist(), strict=True)]
 
 
@@ -111,9 +110,8 @@ def cut_streams(streams: list[bytes], root: int) -> list[list[int]]:
     idx = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts)
     start = np.cumsum(bits) - bits
     place = at[idx] + np.repeat(start, counts)
-    b = np.frombuffer(b"".join(streams) + b"\0\0\0", np.uint8).astype(np.uint32)
-    byte = place >> 3
-    word = b[byte] | b[byte + 1] << 8 | b[byte + 2] << 16
+    raw = b"".join(streams) + b"\0\0\0\0"
+    word = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))[place >> 3]  # the four bytes from each byte on
     codes = ((word >> (place & 7).astype(np.uint32)) & ((1 << width[idx]) - 1).astype(np.uint32)).tolist()
     return [codes[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
@@ -395,10 +393,12 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def to_media(docs: DataFrame) -> DataFrame:
     """Every text as a GIF column with its frames' times and colour histogram (red, green, blue by eight bins)."""
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(media_batches(False), MEDIA)
 
 
 def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: digests of the payload read back from each document's GIF, and of the GIF."""
     docs = common.table(spark, sf_dir, "documents")
+    common.small_batches(spark)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(media_batches(True), DIGEST)

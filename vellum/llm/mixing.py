@@ -90,8 +90,9 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed corpus: each row as often as it is taken, with the columns it came with."""
     _, plan = plan_mix(docs, weights, share, most)
-    rows = with_copies(docs.withColumn("h", hash_of()), plan).filter("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = common.wrapped(docs, "doc_id", "source", "text").withColumn("h", hash_of()).drop("doc_id", "text")
+    taken = with_copies(rows, plan).filter("copies > 0")
+    return common.unwrapped(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ _EDGE = b".,;:!?\"'()[]{}#*$%&|<>_-"
 class Terms(dict):
     """Word to the place of its hashed terms, the word and its first four bytes; emptied when full."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         from array import array
 
         self.limit, self.terms = limit, array("i")
@@ -129,7 +129,7 @@ def term_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]))), b.column(1)], names=["terms", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, **how) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 15_000, **how) -> Machine:
     """labels: (doc_id, label). At most ``max_rows`` of them are joined to their texts and brought here as hashed terms."""
     rows = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most max_rows ids
@@ -163,6 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     """doc_id, held_out, score, predicted of every document; labels (doc_id, label) of the held-out fold are never read."""
     fold = F.crc32(common.id_text()) % folds
     known = labels.filter(F.col("label").isin(0, 1) & (fold != held)).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, known, **how))  # 2^18 terms x (1 + rank) numbers
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), "text").mapInArrow(score_batches(sent), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))

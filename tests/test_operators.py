@@ -128,3 +128,13 @@ def test_chat_example(spark):
     text, entities = ner.chat_example(F.col("m"))
     r = df.select(text.alias("t"), entities.alias("e")).first()
     assert r["t"] == "hello" and r["e"][0]["text"] == "h"
+
+
+def test_functions_in_sql(spark):
+    from vellum.functions import udfs
+
+    udfs.register(spark)
+    assert spark.sql("SELECT edit_counts('kitten', 'sitting').distance AS d").first()["d"] == 3
+    long = "word " * 800
+    assert spark.sql(f"SELECT c.chunk_idx FROM (SELECT '{long}' AS t), LATERAL sentence_chunk_rows(t) c").count() == 3
+    assert spark.sql("SELECT entity_text('The Rum.') AS t").first()["t"] == "the rum"

@@ -83,9 +83,18 @@ def first_unused(text: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([[{"s": a, "e": b} for a, b in kernels.first_unused(t or "", list(n))] for t, n in zip(text, names, strict=True)])
 
 
+@F.udtf(returnType=T.StructType([T.StructField("chunk_idx", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+class SentenceChunks:
+    """``SELECT doc_id, c.* FROM documents, LATERAL sentence_chunk_rows(text) c``"""
+
+    def eval(self, text: str):
+        yield from enumerate(kernels.sentence_chunks(text or ""))
+
+
 ALL = [edit_counts, token_edit_counts, token_accuracy, bleu, error_taxonomy, artifact_taxonomy, entity_text, sentence_chunks, align, partial_counts, occurrences, first_unused]
 
 
 def register(spark: SparkSession) -> None:
     for f in ALL:
         spark.udf.register(f.__name__, f)
+    spark.udtf.register("sentence_chunk_rows", SentenceChunks)

@@ -208,19 +208,27 @@ def _blocks(raw: bytes) -> bytes:
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
 
 
-def encode(payload: bytes, side: int = SIDE, delay: int = 4) -> bytes:
-    """A payload of whole frames as an animated GIF, ``delay`` hundredths of a second a frame."""
+def encode_many(payloads: list[bytes], side: int = SIDE, delay: int = 4) -> list[bytes]:
+    """Payloads of whole frames as animated GIFs, ``delay`` hundredths of a second a frame. Codes of many frames become bits at once."""
     area = side * side
-    if not payload or len(payload) % area:
+    if any(not p or len(p) % area for p in payloads):
         raise ValueError("payload isn't a number of whole frames")
-    parts = [b"GIF89a" + struct.pack("<HHBBB", side, side, 0xF7, 0, 0) + _GREY, b"!\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
-    control, head = b"!\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0", b"," + struct.pack("<HHHHB", 0, 0, side, side, 0) + b"\x08"
-    many = 512 * area  # frames whose codes are held at once
-    for block in range(0, len(payload), many):
-        streams = [lzw_codes(payload[at : at + area], 8) for at in range(block, min(block + many, len(payload)), area)]
-        for stream in pack_streams(streams, 8):
-            parts += (control, head, _blocks(stream))
-    return b"".join(parts) + b";"
+    head = [b"GIF89a" + struct.pack("<HHBBB", side, side, 0xF7, 0, 0) + _GREY, b"!\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
+    frame = b"!\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0" + b"," + struct.pack("<HHHHB", 0, 0, side, side, 0) + b"\x08"
+    cut = [p[at : at + area] for p in payloads for at in range(0, len(p), area)]
+    packed: list[bytes] = []
+    for at in range(0, len(cut), 1024):
+        packed += pack_streams([lzw_codes(x, 8) for x in cut[at : at + 1024]], 8)
+    out, at = [], 0
+    for p in payloads:
+        n = len(p) // area
+        out.append(b"".join([*head, *(x for stream in packed[at : at + n] for x in (frame, _blocks(stream))), b";"]))
+        at += n
+    return out
+
+
+def encode(payload: bytes, side: int = SIDE, delay: int = 4) -> bytes:
+    return encode_many([payload], side, delay)[0]
 
 
 @dataclass
@@ -294,17 +302,27 @@ def _indices(images, many: int = 512) -> list[bytes]:
     return out
 
 
-def decode(raw: bytes):
+def decode_many(raws: list[bytes]) -> list[tuple]:
+    """(width, height, frames) of each GIF."""
+    parsed = [parse(r) for r in raws]
+    got = iter(_indices([i for _, _, images in parsed for i in images], 1024))
+    return [(width, height, _shown(width, height, images, [next(got) for _ in images])) for width, height, images in parsed]
+
+
+def decode(raw: bytes) -> tuple:
     """(width, height, frames)."""
+    return decode_many([raw])[0]
+
+
+def _shown(width: int, height: int, images, got: list[bytes]) -> list[Frame]:
+    """The screen after each image, by the rules of transparency and disposal."""
     import numpy as np
 
-    width, height, images = parse(raw)
-    got = _indices(images)
     if images and all(i[:5] == (0, 0, width, height, False) and i[10] is None and i[9] < 3 and i[5] is images[0][5] for i in images):
         pixels = np.full((len(images), height, width, 4), 255, np.uint8)  # every frame covers the screen
         index = np.frombuffer(b"".join(got), np.uint8).reshape(len(images), height, width)
         pixels[..., :3] = images[0][5][np.minimum(index, len(images[0][5]) - 1)]
-        return width, height, [Frame(p, i[8]) for p, i in zip(pixels, images, strict=True)]
+        return [Frame(p, i[8]) for p, i in zip(pixels, images, strict=True)]
     screen, frames = np.zeros((height, width, 4), np.uint8), []
     for (x, y, w, h, interlaced, palette, _, _, delay, disposal, hidden), flat in zip(images, got, strict=True):
         index = np.frombuffer(flat, np.uint8).reshape(h, w)
@@ -323,7 +341,7 @@ def decode(raw: bytes):
             area[:] = 0
         elif disposal == 3:
             screen = before
-    return width, height, frames
+    return frames
 
 
 def payload_of(text: bytes, side: int = SIDE) -> bytes:
@@ -355,12 +373,12 @@ def _grey_columns(frames):
     return red.tobytes(), np.bincount(red.ravel() >> 5, minlength=8)
 
 
-def media_rows(raw: bytes):
-    """n_bytes, payload, the GIF, its frames' times and the histogram of what is decoded from it."""
-    gif = encode(payload_of(raw))
-    _, _, frames = decode(gif)
-    back, counts = _grey_columns(frames)
-    return len(raw), back, gif, [10 * f.delay for f in frames], counts
+def media_rows(texts: list[bytes]):
+    """For each text: its length, the payload as decoded from its GIF, the GIF, its frames' times and grey histogram."""
+    gifs = encode_many([payload_of(t) for t in texts])
+    for raw, gif, (_, _, frames) in zip(texts, gifs, decode_many(gifs), strict=True):
+        back, counts = _grey_columns(frames)
+        yield len(raw), back, gif, [10 * f.delay for f in frames], counts
 
 
 def media_batches(digest: bool):
@@ -371,10 +389,10 @@ def media_batches(digest: bool):
         import pyarrow as pa
 
         for whole in batches:
-            for b in tokens.slices(whole, 128):
+            for b in tokens.slices(whole, 64):
                 rows = []
-                for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    n, back, gif, times, counts = media_rows(raw or b"")
+                texts = [raw or b"" for raw in b.column(1).cast(pa.binary()).to_pylist()]
+                for doc_id, (n, back, gif, times, counts) in zip(b.column(0).to_pylist(), media_rows(texts), strict=True):
                     if digest:
                         feature = f"frames={len(times)};ms={sum(times)};grey=" + ",".join(map(str, counts))
                         rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(gif), hashlib.sha256(gif).hexdigest(), feature))

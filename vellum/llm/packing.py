@@ -157,7 +157,7 @@ class Packer:
         return rows
 
 
-def pack_partition(path: str | None, end_id: int, window: int, block_docs: int, with_ids: bool):
+def pack_partition(path: str | None, end_id: int, window: int, block_docs: int, with_ids: bool, frugal: bool = True):
     def run(batches):
         import zlib
 
@@ -165,7 +165,7 @@ def pack_partition(path: str | None, end_id: int, window: int, block_docs: int,
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = tokens.encoder(path, 250_000)
+        enc = tokens.encoder(path, 250_000 if frugal else 800_000)
         packer = Packer(window, block_docs, TaskContext.get().partitionId() << 32)
         def out(rows):
             for at in range(0, len(rows), 4096):
@@ -187,7 +187,7 @@ def pack_partition(path: str | None, end_id: int, window: int, block_docs: int,
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for whole in batches:
-            for b in tokens.slices(whole, 1024):
+            for b in tokens.slices(whole, 1024 if frugal else 2048):
                 rows = []  # a document is its id, its length, the ids at hand and where they start
                 starts, every = enc.encode(b.column(1), end_id)
                 for doc_id, lo, hi in zip(b.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -199,18 +199,23 @@ def pack_partition(path: str | None, end_id: int, window: int, block_docs: int,
                 yield from out(rows)
                 if len(packer.open) >= block_docs:
                     yield from out(packer.block())
-                common.give_back()
+                if frugal:
+                    common.give_back()
         yield from out(packer.finish())
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, window: int = 1024, block_docs: int = 8192, with_ids: bool = True) -> DataFrame:
-    """One row per piece, in the sequence and at the offset it was given, with its ids unless told not to."""
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, window: int = 1024, block_docs: int = 8192, with_ids: bool = True, frugal: bool = True) -> DataFrame:
+    """One row per piece, in the sequence and at the offset it was given, with its ids unless told not to.
+
+    ``frugal`` workers know fewer words and hand memory back after every slice, at some CPU: for sessions in
+    which other stages have filled the executors.
+    """
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pack_partition(tokenizer, end_id, window, block_docs, with_ids), PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pack_partition(tokenizer, end_id, window, block_docs, with_ids, frugal), PIECES + ", ids array<int>" * with_ids)
 
 
 def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every piece of every document with the checksum of its ids."""
-    return pack(common.table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(common.table(spark, sf_dir, "documents"), with_ids=False, frugal=False)

@@ -218,6 +218,39 @@ def test_near_copies_of_one_text_are_one_class(spark):
     assert {x["class_id"] for x in got} == {0}
 
 
+def twins_around_a_passage(pairs):
+    r = random.Random(4)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    passage, texts = [word() for _ in range(255)], []
+    for _ in range(pairs):
+        own = [word() for _ in range(45)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-3] + [word() for _ in range(3)])]
+    return texts
+
+
+def test_twins_in_a_bucket_of_many_are_found(spark):
+    """All texts share a passage, so their buckets hold far over 64; only twins are alike enough."""
+    texts = twins_around_a_passage(400)
+    assert jaccard(texts[0], texts[1]) > 0.9 and jaccard(texts[0], texts[2]) < 0.75
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["class_id"]) for x in got} == {(i, i - i % 2) for i in range(len(texts))}
+
+
+def test_cells_hold_every_pair_of_two_labels(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    labels = [0] * 30 + [1] * 5 + [2, 3, 4]
+    hot = spark.createDataFrame([(7, 0, bytes([i]), bytes([n]), 10) for i, n in enumerate(labels)], "bucket long, band int, key binary, label binary, n_bytes long")
+    cells, met = {}, set()
+    for c in near_dedup.cells_of(hot).collect():
+        cells.setdefault((c["i"], c["j"]), []).append((c["block"], c["key"][0]))
+    for (i, j), own in cells.items():
+        assert {b for b, _ in own} <= {i, j}
+        pairs = {(min(x, y), max(x, y)) for b, x in own for d, y in own if x != y and (i == j or b != d)}
+        assert not pairs & met
+        met |= pairs
+    assert {(x, y) for y in range(38) for x in range(y) if labels[x] != labels[y]} <= met and len(cells) > 10
+
+
 def test_gif_round_trips():
     for raw in (b"", b"a", bytes(range(256)) * 9, b"a" * 5000, random.Random(0).randbytes(2000)):
         payload = gif_media.payload_of(raw)

@@ -318,3 +318,26 @@ def test_machine_learns_a_pair():
     m = toxicity_fm.Machine.fit(docs, y, epochs=60)
     z = m.raw(np.concatenate(docs), np.cumsum([0, *map(len, docs)])[:-1])
     assert ((z > 0) == (y > 0)).mean() > 0.95
+
+
+def test_machine_learns_a_pair_among_200_terms():
+    """The same in long documents, by the default epochs; without its pairs the machine only guesses."""
+    rng = np.random.default_rng(0)
+    x = rng.random((13_000, 2)) < 0.5
+    docs = [np.sort(np.concatenate([rng.choice(np.arange(100, 2100), 200, replace=False), [5] * int(a), [9] * int(b)])).astype(np.int32) for a, b in x]
+    y = (x[:, 0] ^ x[:, 1]).astype(float)
+    m = toxicity_fm.Machine.fit(docs[:12_000], y[:12_000])
+    right = lambda m: ((m.raw(np.concatenate(docs[12_000:]), np.cumsum([0, *map(len, docs[12_000:])])[:-1]) > 0) == (y[12_000:] > 0)).mean()
+    assert right(m) > 0.9
+    assert right(toxicity_fm.Machine(m.bias, m.w, 0 * m.v, m.p)) < 0.6
+
+
+def test_machine_counts_each_pair_once():
+    """Scores are those of the sum over pairs, written out."""
+    rng = np.random.default_rng(1)
+    docs = [np.flatnonzero(rng.random(6) < 0.6).astype(np.int32) for _ in range(40)]
+    m = toxicity_fm.Machine.fit(docs, [i % 2 for i in range(40)])
+    for d, z in zip(docs, m.raw(np.concatenate(docs), np.cumsum([0, *map(len, docs)])[:-1]), strict=True):
+        c = np.isin(np.arange(6), d) - m.p[:6]
+        pairs = sum(c[i] * c[j] * m.v[i] @ m.v[j] for i in range(6) for j in range(i))
+        assert abs(z - (m.bias + m.w[d].sum() + pairs / np.sqrt(max(len(d), 1)))) < 1e-9

@@ -1,9 +1,11 @@
 """Toxicity: a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum of w[i] + sum over pairs of <v[i], v[j]> / n), over the n distinct hashed terms of the
-whole text (lower case, punctuation stripped; each word and its first four bytes). Pairs are what a linear model misses: a word that is
-harmless alone and an insult next to a group's name. The pair sum is taken as half of (sum v)^2 - sum v^2,
-so a document costs its terms times the rank.
+score = sigmoid(w0 + sum of w[i] + sum over pairs of c[i] c[j] <v[i], v[j]> / sqrt(n)), over the distinct hashed
+terms of the whole text (lower case, punctuation stripped; each word and its first four bytes), n of which the fit
+knows. Pairs are what a linear model misses: a word that is harmless alone and an insult next to a group's name.
+c[i] is 1 or 0, for a term in the text or not, less the share of the training documents that hold the term: without
+that, the terms of every text drown the others, and in long texts no pair is learnt. The pair sum is taken as half of
+(sum c v)^2 - sum (c v)^2, what absent terms add to it is known beforehand, so a document costs its terms times the rank.
 
 The model is fit on at most ``max_rows`` labelled documents, the lowest by a hash of the id; that
 documented bound also bounds what the driver holds. Terms in less than ``least_share`` of them keep
@@ -61,6 +63,11 @@ class Machine:
     bias: float
     w: Any
     v: Any
+    p: Any
+
+    def __post_init__(self):
+        squares = (self.v**2).sum(1)
+        self.centre, self.rest, self.own = self.p @ self.v, (self.p**2 * squares).sum(), (1 - 2 * self.p) * squares
 
     def raw(self, flat, starts):
         """Scores before the logistic; documents are runs of ``flat`` from ``starts``."""
@@ -70,27 +77,28 @@ class Machine:
             return np.zeros(0)
         n = np.diff([*starts, len(flat)])
         doc = np.repeat(np.arange(len(starts)), n)
-        total, share = np.bincount(doc, self.w[flat], len(starts)), 0.5 / np.maximum(n, 1)
+        total, share = np.bincount(doc, self.w[flat], len(starts)), 0.5 / np.sqrt(np.maximum(np.bincount(doc, self.p[flat] > 0, len(starts)), 1))
+        total -= share * (np.bincount(doc, self.own[flat], len(starts)) + self.rest)
         for k in range(self.v.shape[1]):
-            x = self.v[flat, k]
-            total += share * (np.bincount(doc, x, len(starts)) ** 2 - np.bincount(doc, x * x, len(starts)))
+            total += share * (np.bincount(doc, self.v[flat, k], len(starts)) - self.centre[k]) ** 2
         return total + self.bias
 
     @classmethod
-    def fit(cls, documents: list, labels, rank: int = 4, epochs: int = 8, rate: float = 0.4, decay: float = 1e-4, pair_decay: float = 1e-3, least_share: float = 0.002, batch: int = 256) -> "Machine":
+    def fit(cls, documents: list, labels, rank: int = 4, epochs: int = 8, rate: float = 0.4, decay: float = 1e-4, pair_decay: float = 1e-5, least_share: float = 0.002, batch: int = 256) -> "Machine":
         import numpy as np
 
         rng = np.random.default_rng(7)
         size = 1 << BITS
-        w, v, bias = np.zeros(size), rng.normal(0, 0.02, (size, rank)), 0.0
+        w, v, p, bias = np.zeros(size), np.zeros((size, rank)), np.zeros(size), 0.0
         y = np.asarray(labels, float)
         if len(documents) and 0 < y.sum() < len(y):
             df = np.bincount(np.concatenate(documents), minlength=size)
             live = df >= max(3, least_share * len(documents))
-            documents = [d[live[d]] for d in documents]
-            v[~live] = 0
+            place, m = np.cumsum(live) - 1, int(live.sum())
+            documents = [place[d[live[d]]] for d in documents]
             bias = float(np.log(y.mean() / (1 - y.mean())))
-            gw, gv, gb = np.full(size, 1e-2), np.full((size, rank), 1e-2), 1e-2
+            wl, vl, pl = np.zeros(m), rng.normal(0, 0.02, (m, rank)), df[live] / len(documents)
+            gw, gv, gb = np.full(m, 1e-2), np.full((m, rank), 1e-2), 1e-2
             for _ in range(epochs):
                 order = rng.permutation(len(documents))
                 for at in range(0, len(order), batch):
@@ -98,24 +106,27 @@ class Machine:
                     own = [documents[i] for i in some]
                     n = np.array([len(d) for d in own])
                     flat, doc = np.concatenate(own), np.repeat(np.arange(len(own)), n)
-                    sums = np.stack([np.bincount(doc, v[flat, k], len(own)) for k in range(rank)], 1)
-                    squares = np.bincount(doc, (v[flat] ** 2).sum(1), len(own))
-                    share = 1 / np.maximum(n, 1)
-                    z = bias + np.bincount(doc, w[flat], len(own)) + 0.5 * share * ((sums**2).sum(1) - squares)
+                    sums = np.stack([np.bincount(doc, vl[flat, k], len(own)) for k in range(rank)], 1) - pl @ vl
+                    squares = (vl**2).sum(1)
+                    alone = np.bincount(doc, ((1 - 2 * pl) * squares)[flat], len(own)) + (pl**2 * squares).sum()
+                    share = 1 / np.sqrt(np.maximum(n, 1))
+                    z = bias + np.bincount(doc, wl[flat], len(own)) + 0.5 * share * ((sums**2).sum(1) - alone)
                     e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(own)
-                    ids, place = np.unique(flat, return_inverse=True)
-                    dw = np.bincount(place, e[doc], len(ids)) + decay * w[ids]
-                    gw[ids] += dw * dw
-                    w[ids] -= rate * dw / np.sqrt(gw[ids])
-                    for k in range(rank):
-                        dv = np.bincount(place, (e * share)[doc] * (sums[doc, k] - v[flat, k]), len(ids)) + pair_decay * v[ids, k]
-                        gv[ids, k] += dv * dv
-                        v[ids, k] -= rate * dv / np.sqrt(gv[ids, k])
+                    dw = np.bincount(flat, e[doc], m)
+                    dw += decay * wl * (dw != 0)
+                    gw += dw * dw
+                    wl -= rate * dw / np.sqrt(gw)
+                    es = e * share
+                    dv = np.stack([np.bincount(flat, (es * sums[:, k])[doc], m) for k in range(rank)], 1) - pl[:, None] * (es @ sums)
+                    dv += (pair_decay - (1 - 2 * pl) * np.bincount(flat, es[doc], m) - pl**2 * es.sum())[:, None] * vl
+                    gv += dv * dv
+                    vl -= rate * dv / np.sqrt(gv)
                     gb += e.sum() ** 2
                     bias -= rate * e.sum() / np.sqrt(gb)
+            w[live], v[live], p[live] = wl, vl, pl
         elif len(y):
             bias = 30.0 if y.all() else -30.0
-        return cls(bias, w, v)
+        return cls(bias, w, v, p)
 
 
 def term_batches(batches):
@@ -164,7 +175,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     fold = F.crc32(common.id_text()) % folds
     known = labels.filter(F.col("label").isin(0, 1) & (fold != held)).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
     common.small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, known, **how))  # 2^18 terms x (1 + rank) numbers
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, known, **how))  # 2^18 terms x (3 + rank) numbers
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held).alias("held_out"), "text").mapInArrow(score_batches(sent), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 

@@ -2,8 +2,9 @@
 
 Three base kinds are found by pattern. A wider pattern (a run of 20 or more key characters with both a
 letter and a digit) gives further candidates, which prose, identifiers and examples also match; what
-tells them apart is who holds them. Candidate hashes are counted by distinct repository (source and
-language, unless other columns are named) and distinct owner (source): a value that ``shared_owners``
+tells them apart is who holds them. Candidate hashes are counted by distinct owner (source), which alone
+decides, and by distinct repository (source and language, unless other columns are named), which only
+``owners`` returns: a value that ``shared_owners``
 or more owners hold is a widely copied example, any other is owner-specific and looks live. Base spans
 are always reported, each with a second span over its value, of kind ``live`` or ``example``; wider
 candidates are reported, as kind ``owned``, only when owner-specific.

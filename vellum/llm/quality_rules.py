@@ -4,7 +4,7 @@ Every document gets its counts and the rates made of them. For each language and
 quantile sketch (``percentile_approx``: partial summaries in every task, merged after the shuffle)
 gives the 10th percentile and the median of each rate, and a fence is set at
 ``median + max(slack, reach * (median - p10))``: where a source is loose its fence is loose, and up to
-half of a group may be junk before it moves. Groups below ``least`` rows take their language's fence,
+half of a group may be junk before it moves. Where rates hardly spread, as on the test tables, the slack decides. Groups below ``least`` rows take their language's fence,
 languages below it the corpus's. The fences, one row per language and source, are joined back.
 
 Defined results: a null text has no words and fails; null languages and sources are groups of their

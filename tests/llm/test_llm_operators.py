@@ -329,15 +329,36 @@ def test_machine_learns_a_pair_among_200_terms():
     m = toxicity_fm.Machine.fit(docs[:12_000], y[:12_000])
     right = lambda m: ((m.raw(np.concatenate(docs[12_000:]), np.cumsum([0, *map(len, docs[12_000:])])[:-1]) > 0) == (y[12_000:] > 0)).mean()
     assert right(m) > 0.9
-    assert right(toxicity_fm.Machine(m.bias, m.w, 0 * m.v, m.p)) < 0.6
+    assert right(toxicity_fm.Machine(m.bias, m.w, 0 * m.v, m.p, m.scale)) < 0.6
 
 
 def test_machine_counts_each_pair_once():
     """Scores are those of the sum over pairs, written out."""
     rng = np.random.default_rng(1)
     docs = [np.flatnonzero(rng.random(6) < 0.6).astype(np.int32) for _ in range(40)]
-    m = toxicity_fm.Machine.fit(docs, [i % 2 for i in range(40)])
-    for d, z in zip(docs, m.raw(np.concatenate(docs), np.cumsum([0, *map(len, docs)])[:-1]), strict=True):
+    counts = [rng.integers(1, 9, len(d)) for d in docs]
+    m = toxicity_fm.Machine.fit(docs, [i % 2 for i in range(40)], counts)
+    assert np.abs(m.v).max() > 0.01
+    for d, n, z in zip(docs, counts, m.raw(np.concatenate(docs), np.cumsum([0, *map(len, docs)])[:-1], np.concatenate(counts)), strict=True):
         c = np.isin(np.arange(6), d) - m.p[:6]
         pairs = sum(c[i] * c[j] * m.v[i] @ m.v[j] for i in range(6) for j in range(i))
-        assert abs(z - (m.bias + m.w[d].sum() + pairs / np.sqrt(max(len(d), 1)))) < 1e-9
+        x = m.scale[d] * n
+        assert abs(z - (m.bias + (m.w[d] * x).sum() / max(np.linalg.norm(x), 1e-6) + pairs / np.sqrt(max(len(d), 1)))) < 1e-9
+
+
+def test_terms_are_counted():
+    def place(word, lead=b""):
+        return zlib.crc32(lead + word.encode()) & ((1 << toxicity_fm.BITS) - 1)
+
+    got = dict(zip(*(x.tolist() for x in toxicity_fm.Terms().of("ÄRGER, ärger. \nab ärgerlich".encode())), strict=True))
+    assert got == {place("ärger"): 2, place("ärgerlich"): 1, place("ärge", b"^"): 3, place("ab"): 1}
+
+
+def test_rare_insults_are_learnt(spark):
+    """Held-out labels of the tables; the settings were not chosen on them."""
+    sf = "/root/testdata/sf0.1"
+    docs = common.table(spark, sf, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    rows = toxicity_fm.classify(docs, labels).join(labels, "doc_id").filter("held_out").groupBy("label", "predicted").count().collect()
+    n = {(r["label"], r["predicted"]): r["count"] for r in rows}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.01 * n[0, 0]

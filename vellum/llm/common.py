@@ -34,10 +34,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts lineage, survives lost executors and keeps row ids fixed."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+    """Write a table to the shared folder and read it back: it cuts lineage, survives lost executors and keeps row ids fixed.
+
+    ``rows``: at least as many as a narrow table has; it is then dealt into files of about ``per_file`` rows. A
+    table of keys in hundreds of tiny files costs more to write and read than the keys, and in some stores a
+    process or a request for each.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // per_file)))
     df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

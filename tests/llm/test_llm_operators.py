@@ -134,13 +134,69 @@ def test_rule_counts(docs, empty):
     for doc_id, text, *_ in rows():
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        twice = {g for g in grams if grams.count(g) > 1} if len(w) < 3000 else {g for g in set(grams) if False}
+        seen: dict = {}
+        for g in grams:
+            seen[g] = seen.get(g, 0) + 1
+        twice = {g for g, k in seen.items() if k > 1}
         n = len({j for i, g in enumerate(grams) if g in twice for j in (i, i + 1, i + 2)})
         dup = len(lines(text or "")) - len(set(lines(text or "")))
         assert (doc_id, len(w), n, dup, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(w) < 50 or 100 * n > 50 * len(w)) in got
     assert quality_rules.keep_good(empty).count() == 0
 
 
+def test_repeats_of_a_very_long_text(spark):
+    r = random.Random(2)
+    w = [f"w{r.randint(0, 300)}" for _ in range(120_000)]
+    seen: dict = {}
+    for g in zip(w, w[1:], w[2:], strict=False):
+        seen[g] = seen.get(g, 0) + 1
+    n = len({j for i, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if seen[g] > 1 for j in (i, i + 1, i + 2)})
+    got = quality_rules.with_counts(spark.createDataFrame([(" ".join(w), "en", "s")], "text string, lang string, source string")).first()
+    assert got["n_repeat_words"] == n and got["n_words"] == len(w)
+
+
+def test_colliding_hashes_are_no_repeats(spark, monkeypatch):
+    """With every window's hash cut to nothing all are candidates; the words decide."""
+    real = F.expr
+    monkeypatch.setattr(quality_rules.F, "expr", lambda e: real(e.replace("xxhash64(get(_hash, i), get(_hash, i + 1), get(_hash, i + 2))", "0L")))
+    text = "a b c d a b c e f g h a b"
+    got = quality_rules.with_counts(spark.createDataFrame([(text, "en", "s")], "text string, lang string, source string")).first()
+    assert got["n_repeat_words"] == 6
+
+
+def prose(r, symbols, capitals):
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(120)]
+    for i in range(len(words)):
+        if r.random() < symbols:
+            words[i] += "|"
+        if r.random() < capitals:
+            words[i] = words[i].capitalize()
+    return " ".join(words)
+
+
+def test_fences_follow_each_source(spark):
+    """Tables are the rule in one source and junk in another; the same text passes in the first and fails in the second."""
+    r = random.Random(7)
+    odd = prose(r, 0.3, 0.1)
+    rows = [(i, prose(r, r.uniform(0.1, 0.4), 0.1), "en", "tables") for i in range(200)] + [(1000 + i, prose(r, 0, 0.1), "en", "prose") for i in range(200)]
+    rows += [(2000, odd, "en", "tables"), (2001, odd, "en", "prose"), (2002, prose(r, 0, 0.95), "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = common.materialize(quality_rules.with_counts(docs).drop("text"), "stats")
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge(stats).collect()}
+    assert kept[2000] and not kept[2001] and not kept[2002]
+    assert sum(kept[x[0]] for x in rows[:400]) >= 398
+    limits = {x["_source"]: x["f_symbol_rate"] for x in quality_rules.fences(stats).collect()}
+    assert limits["tables"] > 5 * limits["prose"]
+
+
+def test_fences_of_small_groups_lean_on_their_language(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, 0, 0.1), "en", "big") for i in range(300)] + [(900, prose(r, 0.3, 0.1), "en", "small")]
+    counted = quality_rules.with_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).drop("text")
+    stats = common.materialize(counted, "stats")
+    assert {x["doc_id"] for x in quality_rules.judge(stats).filter("not kept").collect()} >= {900}
+
+
 def test_rules_keep_clean_rows_as_they_are(docs):
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns
@@ -236,6 +292,92 @@ def test_twins_in_a_bucket_of_many_are_found(spark):
     assert {(x["doc_id"], x["class_id"]) for x in got} == {(i, i - i % 2) for i in range(len(texts))}
 
 
+def two_core_families(families, copies, seed=8):
+    """Families around two texts of a plain similarity of some 0.84; each copy changes one word of one of them."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    texts = []
+    for _ in range(families):
+        core = [word() for _ in range(300)]
+        cores = [core, core[:273] + [word() for _ in range(27)]]
+        for own in cores:
+            texts.append(" ".join(own))
+            for _ in range(copies):
+                w = list(own)
+                w[r.randrange(300)] = word()
+                texts.append(" ".join(w))
+    return texts
+
+
+def weighted(texts):
+    """Shingle weights by the formula, from exact frequencies."""
+    bags = []
+    for t in texts:
+        w, bag = t.split(), {}
+        for i in range(max(1, len(w) - 4)):
+            bag[tuple(w[i : i + 5])] = bag.get(tuple(w[i : i + 5]), 0) + 1
+        bags.append(bag)
+    df = {}
+    for bag in bags:
+        for g in bag:
+            df[g] = df.get(g, 0) + 1
+    n = len(texts)
+    idf = {g: 1 + np.log1p(n / max(k, n / 1000)) / np.log1p(1000) for g, k in df.items()}
+    return [{g: k * idf[g] for g, k in bag.items()} for bag in bags]
+
+
+def similarity(a, b):
+    shared = sum(min(a[g], b[g]) for g in a.keys() & b.keys())
+    return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+
+def test_two_core_families_are_one_class_each(spark):
+    texts = two_core_families(4, 60)
+    own = len(texts) // 4
+    assert 0.82 < jaccard(texts[0], texts[own // 2]) < 0.86
+    got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {(x["doc_id"], x["class_id"]) for x in got} == {(i, i // own * own) for i in range(len(texts))}
+
+
+def test_links_against_brute_force(spark):
+    """Every pair of 0.8 or more by exact weights, in buckets of all sizes, ends in one class; and no class is made without links."""
+    r = random.Random(12)
+    texts = two_core_families(1, 80, 9) + twins_around_a_passage(90)
+    for _ in range(60):
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(5, 400))]
+        texts += [" ".join(w), " ".join(x if r.random() > 0.02 else f"n{r.randint(0, 10**6)}" for x in w), " ".join(w * 3)]
+    bags = weighted(texts)
+    head = list(range(len(texts)))
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if similarity(bags[i], bags[j]) >= 0.8]
+    for i, j in links:
+        head[max(find(i), find(j))] = min(find(i), find(j))
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert len(links) > 3000 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+    assert all(find(i) == find(got[i]) for i in got)
+
+
+def test_frequencies_are_low_by_one_a_chunk_at_most(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "CHUNK", 10)
+    texts = [f"a b c d e f{i % 7}" for i in range(64)] + [None, ""]
+    counts, total = {}, 0
+    for b in near_dedup.count_shingles(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if h is None:
+                total += n
+            else:
+                counts[h] = counts.get(h, 0) + n
+    shingle = int(near_dedup.Words().shingles(b"a b c d e")[0].view(np.int64)[0])
+    assert total == 128 and counts.pop(shingle) == 64 and all(9 - 7 <= n <= 10 for n in counts.values())
+
+
 def test_cells_hold_every_pair_of_two_labels(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     labels = [0] * 30 + [1] * 5 + [2, 3, 4]

@@ -67,17 +67,17 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         sums = here.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")) & (F.col("s.prefix") == F.col("e.prefix"))).groupBy("s.source", "e.prefix", "e.budget", "digit").agg(F.sum("size").alias("size"))
         through = F.sum("size").over(W.partitionBy("source").orderBy("digit"))
         crossing = sums.withColumn("through", through).filter((F.col("through") > F.col("budget")) & (F.col("through") - F.col("size") <= F.col("budget")))
-        edge = common.materialize(crossing.select("source", (F.col("budget") - (F.col("through") - F.col("size"))).alias("budget"), (F.col("prefix") * (1 << BITS) + F.col("digit")).alias("prefix"), "size"), f"mix{level}")
+        edge = common.materialize(crossing.select("source", (F.col("budget") - (F.col("through") - F.col("size"))).alias("budget"), (F.col("prefix") * (1 << BITS) + F.col("digit")).alias("prefix"), "size"), f"mix{level}", rows=1)
         if level < LEVELS - 1:
             edge = edge.drop("size")
     nearest = F.col("e.prefix") + F.when(F.col("e.size") - F.col("e.budget") < F.col("e.budget"), 1).otherwise(0)
-    return common.materialize(targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select("t.source", "t.source_size", "t.target", "t.copies", F.coalesce(nearest, F.lit(0)).cast("long").alias("threshold")), "mix")
+    return common.materialize(targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select("t.source", "t.source_size", "t.target", "t.copies", F.coalesce(nearest, F.lit(0)).cast("long").alias("threshold")), "mix", rows=1)
 
 
 def plan_mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, h) of every row, and the sources' targets and thresholds; both stored."""
     sized = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), hash_of().alias("h")), "sized")
-    targets = common.materialize(source_targets(sized, weights, share, most), "targets")
+    targets = common.materialize(source_targets(sized, weights, share, most), "targets", rows=1)
     return sized, thresholds(sized, targets)
 
 

@@ -1,78 +1,130 @@
 """Quality rules with thresholds from the corpus itself.
 
 Every document gets its counts and the rates made of them. For each language and source a mergeable
-quantile sketch (``percentile_approx``: partial summaries in every task, merged after the shuffle)
-gives the 10th percentile and the median of each rate, and a fence is set at
-``median + max(slack, reach * (median - p10))``: where a source is loose its fence is loose, and up to
-half of a group may be junk before it moves. Where rates hardly spread, as on the test tables, the slack decides. Groups below ``least`` rows take their language's fence,
-languages below it the corpus's. The fences, one row per language and source, are joined back.
-
-Defined results: a null text has no words and fails; null languages and sources are groups of their
-own; repeated rows are judged alike; an empty table gives no rows; extra columns are ignored (kept by
-``keep_good``). Built from DataFrame functions alone.
-
-Repeated three-word windows are found per text without leaving the row: each window's 64-bit hash is
-cut to make room for its position, the longs are sorted, and equal neighbours are the repeats. With
-the 49 bits or more that are left for texts of up to 2^15 words, a false repeat has odds of under one
-in a million per such text.
+quantile sketch of each rate is kept over the documents that pass the base rules: a histogram of
+``ceil(1000 * sqrt(rate))``, whose error is one bin, whose merge is a sum, and whose rows are dealt out by
+group, rate and bin, so that no task merges a hot group alone. Languages and the corpus have the sums of
+their groups' histograms. A group's fence for a rate is
+
+    high + reach * max(high - median, unit)
+
+``high`` is the quantile up to which ``TRUSTED`` takes a group to be sound in that rate, ``unit`` the group's
+median of what one event adds to the rate (one symbol in the median document, say), which is what is left
+of the spread where the rate is mostly nought. So a source of tables has a loose fence for symbols and one
+of prose a tight one; nothing is a fixed cutoff. Small groups lean on their language's fence and small
+languages on the corpus's, by the geometric mean of n parts of their own and ``LEAN`` of the other, without a
+switch. The fences, one row per language and source, are joined back.
+
+Defined results: a null text has no words and fails; null languages and sources are groups of their own;
+ties in a rate share a bin, and a rate equal to its fence passes; repeated rows are judged alike; a text
+may be of any length; an empty table gives no rows; extra columns are ignored (kept by ``keep_good``), and
+columns of any name may stand beside ours. Built from DataFrame functions alone.
+
+Repeated three-word windows are found per text without leaving the row: each window's hash is cut to make
+room for its position, the longs are sorted, and equal neighbours are candidates; the words of candidates
+are then compared, so a hash never decides.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vellum.llm import common
 
 SYMBOLS = "[^#*$%&|<>]+"
-#: rate -> slack over the median that is always allowed.
-SLACK = {"symbol_rate": 0.03, "dup_line_rate": 0.5, "repeat_rate": 0.45, "upper_rate": 0.25, "bang_rate": 0.2}
-REACH, LEAST = 4.0, 50
+#: rate -> what it counts, over what, the share of a group that is trusted in it, and how many spreads beyond that a document may lie.
+TRUSTED = {
+    "symbol_rate": ("n_symbols", "word_chars", 0.75, 16.0),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 0.98, 3.0),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.98, 6.0),
+    "upper_rate": ("n_upper", "word_chars", 0.75, 16.0),
+    "bang_rate": ("n_bangs", "n_words", 0.75, 16.0),
+}
+RATES = list(TRUSTED)
+#: Rows of its language (and of the corpus) that a group's fence is mixed with.
+LEAN = 20.0
+#: Bins of a sketch over the square root of a rate.
+BINS = 1000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_MEASURES = [*COUNTS, "n_lines", "n_upper", "n_bangs"]
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with the counts and rates; later columns build on earlier ones, each computed once."""
-    text = F.coalesce("text", F.lit(""))
-    df = docs.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", common.SPACE), ""))
+    """docs with the counts and rates; later columns build on earlier ones, each computed once. ``wrapped`` rows keep columns of clashing names."""
+    df = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", F.array_remove(F.split("_text", common.SPACE), ""))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     df = df.withColumn("_bits", F.greatest(F.lit(1), F.ceil(F.log2(F.col("n_words") + 2))).cast("int"))
-    df = df.withColumn("_keys", F.expr("sort_array(if(n_words < 3, array(cast(null as long)), transform(sequence(0, cast(greatest(n_words, 3) as int) - 3), i -> shiftleft(shiftright(xxhash64(get(_hash, i), get(_hash, i + 1), get(_hash, i + 2)), _bits), _bits) | i)))"))
-    df = df.withColumn("_at", F.expr("sort_array(transform(filter(_keys, (x, j) -> shiftright(x, _bits) <=> shiftright(get(_keys, j - 1), _bits) or shiftright(x, _bits) <=> shiftright(get(_keys, j + 1), _bits)), x -> x & (shiftleft(1L, _bits) - 1)))"))
-    df = df.withColumn("n_repeat_words", F.expr("if(n_words < 4, 0L, aggregate(transform(_at, (p, k) -> least(3L, coalesce(get(_at, k + 1) - p, 3L))), 0L, (a, x) -> a + x))"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines).withColumn("_n_lines", F.size("_lines"))
-    df = df.withColumn("n_dup_lines", (F.col("_n_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    window = "shiftleft(shiftright(xxhash64(get(_hash, i), get(_hash, i + 1), get(_hash, i + 2)), _bits), _bits) | i"
+    df = df.withColumn("_keys", F.expr(f"sort_array(if(n_words < 3, array(cast(null as long)), transform(sequence(0, cast(greatest(n_words, 3) as int) - 3), i -> {window})))"))
+    alike = lambda j: f"shiftright(x, _bits) <=> shiftright(get(_keys, {j}), _bits)"
+    place = "cast(x & (shiftleft(1L, _bits) - 1) as int)"
+    maybe = f"transform(filter(_keys, (x, j) -> {alike('j - 1')} or {alike('j + 1')}), x -> {place})"
+    # candidates with their words, in order: those like a neighbour are repeats
+    df = df.withColumn("_maybe", F.expr(f"sort_array(transform({maybe}, p -> struct(get(_words, p) as a, get(_words, p + 1) as b, get(_words, p + 2) as c, p as p)))"))
+    same = lambda j: f"(x.a <=> get(_maybe, {j}).a and x.b <=> get(_maybe, {j}).b and x.c <=> get(_maybe, {j}).c)"
+    df = df.withColumn("_at", F.expr(f"sort_array(transform(filter(_maybe, (x, j) -> j > 0 and {same('j - 1')} or {same('j + 1')}), x -> x.p))"))
+    df = df.withColumn("n_repeat_words", F.expr("if(n_words < 4, 0L, aggregate(transform(_at, (p, k) -> cast(least(3, coalesce(get(_at, k + 1) - p, 3)) as bigint)), 0L, (a, x) -> a + x))"))
+    df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("n_lines", F.size("_lines").cast("long"))
+    df = df.withColumn("n_dup_lines", (F.col("n_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-    df = df.withColumn("n_symbols", F.length(F.regexp_replace("_text", SYMBOLS, "")).cast("long"))
-    per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1)) if isinstance(a, str) else a / F.greatest(F.col(b), F.lit(1))
-    df = df.withColumn("symbol_rate", per("n_symbols", "word_chars")).withColumn("dup_line_rate", per("n_dup_lines", "_n_lines")).withColumn("repeat_rate", per("n_repeat_words", "n_words"))
-    df = df.withColumn("upper_rate", per(F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")), "word_chars")).withColumn("bang_rate", per(F.length(F.regexp_replace("_text", "[^!]+", "")), "n_words"))
+    for name, others in (("n_symbols", SYMBOLS), ("n_upper", r"[^\p{Lu}]+"), ("n_bangs", "[^!]+")):
+        df = df.withColumn(name, F.length(F.regexp_replace("_text", others, "")).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return df.drop("_text", "_words", "_hash", "_bits", "_keys", "_at", "_lines", "_n_lines")
-
-
-def fences(stats: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """lang, source and a fence per rate: one row per group."""
-    sketches = [F.percentile_approx(r, [0.1, 0.5], accuracy).alias(f"q_{r}") for r in SLACK]
-    rolled = stats.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketches)
-    fence = lambda r: F.col(f"q_{r}")[1] + F.greatest(F.lit(SLACK[r]), REACH * (F.col(f"q_{r}")[1] - F.col(f"q_{r}")[0]))
-    rolled = common.materialize(rolled.select("lang", "source", "level", "n", *(fence(r).alias(f"f_{r}") for r in SLACK)), "sketches")
-    own, by_lang, whole = (rolled.filter(F.col("level") == k).alias(a) for k, a in ((0, "o"), (1, "l"), (3, "w")))
-    pick = lambda r: F.when(F.col("o.n") >= LEAST, F.col(f"o.f_{r}")).when(F.col("l.n") >= LEAST, F.col(f"l.f_{r}")).otherwise(F.col(f"w.f_{r}"))
-    joined = own.join(by_lang, F.col("o.lang").eqNullSafe(F.col("l.lang"))).join(whole, F.lit(True))
-    return common.materialize(joined.select(F.col("o.lang").alias("_lang"), F.col("o.source").alias("_source"), *(pick(r).alias(f"f_{r}") for r in SLACK)), "fences")
+    return df.drop("_text", "_words", "_hash", "_bits", "_keys", "_maybe", "_at", "_lines")
+
+
+def rate(name: str) -> Column:
+    count, over, _, _ = TRUSTED[name]
+    return F.col(count) / F.greatest(F.col(over), F.lit(1))
+
+
+def sketches(stats: DataFrame) -> DataFrame:
+    """lang, source, what, bin, n: the histograms of every rate and unit over the documents that pass the base rules."""
+    values = [F.struct(F.lit(r).alias("what"), rate(r).alias("x")) for r in RATES]
+    values += [F.struct(F.lit(over).alias("what"), (1 / F.greatest(F.col(over), F.lit(1))).alias("x")) for over in sorted({t[1] for t in TRUSTED.values()})]
+    each = stats.filter("not base_failed").select("lang", "source", F.inline(F.array(*values)))
+    return each.groupBy("lang", "source", "what", F.ceil(BINS * F.sqrt("x")).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quantiles(histograms: DataFrame, group: list[str]) -> DataFrame:
+    """group, n and a fence per rate, from histograms."""
+    merged = histograms.groupBy(*group, "what", "bin").agg(F.sum("n").alias("n"))
+    own = W.partitionBy(*group, "what")
+    up = merged.withColumn("through", F.sum("n").over(own.orderBy("bin"))).withColumn("total", F.sum("n").over(own))
+    value = F.pow(F.col("bin") / BINS, F.lit(2))
+    cut = lambda q: F.min(F.when(F.col("through") >= q * F.col("total"), value))
+    high = F.lit(0.5)
+    for r, t in TRUSTED.items():
+        high = F.when(F.col("what") == r, t[2]).otherwise(high)
+    per = up.groupBy(*group, "what").agg(F.max("total").alias("n"), cut(0.5).alias("mid"), cut(high).alias("high"))
+    found = {w: lambda c, w=w: F.max(F.when(F.col("what") == w, F.col(c))) for w in [*RATES, *(t[1] for t in TRUSTED.values())]}
+    fence = lambda r, over, reach: found[r]("high") + reach * F.greatest(found[r]("high") - found[r]("mid"), found[over]("mid"))
+    return per.groupBy(*group).agg(F.max("n").cast("double").alias("n"), *(fence(r, t[1], t[3]).alias(f"f_{r}") for r, t in TRUSTED.items()))
+
+
+def fences(stats: DataFrame) -> DataFrame:
+    """_lang, _source and a fence per rate: one row per group that any document passes the base rules in."""
+    histograms = common.materialize(sketches(stats), "sketches", rows=400_000)
+    own, by_lang, whole = (_quantiles(histograms, g).alias(a) for g, a in ((["lang", "source"], "o"), (["lang"], "l"), ([], "w")))
+    part = lambda a: F.col(f"{a}.n") / (F.col(f"{a}.n") + LEAN)
+    leant = lambda a, r, parent: F.pow(F.col(f"{a}.f_{r}"), part(a)) * F.pow(parent, 1 - part(a))
+    # one row of the corpus against one a language, then one a language against one a group
+    langs = by_lang.join(F.broadcast(whole), F.lit(True)).select("l.lang", *(leant("l", r, F.col(f"w.f_{r}")).alias(f"f_{r}") for r in RATES)).alias("p")
+    joined = own.join(langs, F.col("o.lang").eqNullSafe(F.col("p.lang")))
+    return common.materialize(joined.select(F.col("o.lang").alias("_lang"), F.col("o.source").alias("_source"), *(leant("o", r, F.col(f"p.f_{r}")).alias(f"f_{r}") for r in RATES)), "fences", rows=1)
 
 
 def judge(stats: DataFrame) -> DataFrame:
-    """stats with ``kept``."""
+    """stats with ``kept``. A group without a fence has no document that passes the base rules."""
     limits = fences(stats)
     within = ~F.col("base_failed")
-    for r in SLACK:
-        within = within & (F.col(r) <= F.col(f"f_{r}"))
-    joined = stats.join(limits, stats.lang.eqNullSafe(limits._lang) & stats.source.eqNullSafe(limits._source))
-    return joined.withColumn("kept", within).drop("_lang", "_source", *(f"f_{r}" for r in SLACK))
+    for r in RATES:
+        within = within & F.coalesce(rate(r) <= F.col(f"f_{r}"), F.lit(False))
+    joined = stats.join(limits, stats.lang.eqNullSafe(limits._lang) & stats.source.eqNullSafe(limits._source), "left")
+    return joined.withColumn("kept", within).drop("_lang", "_source", *(f"f_{r}" for r in RATES))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -83,20 +135,22 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: counts and verdict of every document."""
-    docs = common.table(spark, sf_dir, "documents")
-    stats = common.materialize(with_counts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", *COUNTS, *SLACK, "base_failed"), "counts")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    stats = common.materialize(with_counts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", *_MEASURES, "base_failed"), "counts")
     return judge(stats).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def verdict_sql(documents: str = "documents") -> str:
-    """CTE ``judged`` over a relation of documents, with exact quantiles; the same as the sketches where a group has at most ``accuracy`` rows."""
-    rates = {
-        "symbol_rate": "n_symbols / greatest(word_chars, 1)", "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)", "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
-        "upper_rate": "len(regexp_replace(t, '[^\\p{Lu}]+', '', 'g')) / greatest(word_chars, 1)", "bang_rate": "len(regexp_replace(t, '[^!]+', '', 'g')) / greatest(n_words, 1)",
-    }
-    q = lambda r: f"quantile_disc({r}, 0.5) + greatest({SLACK[r]}::DOUBLE, {REACH}::DOUBLE * (quantile_disc({r}, 0.5) - quantile_disc({r}, 0.1))) AS f_{r}"
-    fence = ", ".join(q(r) for r in SLACK)
-    pick = " AND ".join(f"c.{r} <= CASE WHEN o.n >= {LEAST} THEN o.f_{r} WHEN l.n >= {LEAST} THEN l.f_{r} ELSE w.f_{r} END" for r in SLACK)
+    """CTE ``judged`` over a relation of documents; the repeats by grouping, the quantiles by sorting the binned rates."""
+    units = sorted({t[1] for t in TRUSTED.values()})
+    binned = lambda x: f"pow(ceil({BINS}::DOUBLE * sqrt({x})) / {BINS}::DOUBLE, 2)"
+    rates = ", ".join(f"{count} / greatest({over}, 1) AS {r}" for r, (count, over, _, _) in TRUSTED.items())
+    cells = ", ".join([*(f"{binned(r)} AS b_{r}" for r in RATES), *(f"{binned(f'1::DOUBLE / greatest({u}, 1)')} AS b_{u}" for u in units)])
+    low = lambda x, q: f"quantile_disc({x}, {q})"
+    fence = ", ".join(f"{low('b_' + r, q)} + {reach}::DOUBLE * greatest({low('b_' + r, q)} - {low('b_' + r, 0.5)}, {low('b_' + over, 0.5)}) AS f_{r}" for r, (_, over, q, reach) in TRUSTED.items())
+    part = lambda a: f"(CAST({a}.n AS DOUBLE) / (CAST({a}.n AS DOUBLE) + {LEAN}::DOUBLE))"
+    lean = lambda a, r, parent: f"pow({a}.f_{r}, {part(a)}) * pow({parent}, 1 - {part(a)}) AS f_{r}"
+    within = " AND ".join(f"coalesce(c.{r} <= o.f_{r}, false)" for r in RATES)
     return f"""
 split_ AS (SELECT *, row_number() OVER () AS uid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM {documents}),
@@ -104,14 +158,17 @@ windows AS (SELECT uid, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2]
 found AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT uid, CAST(count(DISTINCT at_) AS BIGINT) AS n FROM (SELECT uid, unnest([i, i + 1, i + 2]) AS at_ FROM found) GROUP BY uid),
 counted AS (SELECT s.*, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
-  CAST(len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper,
+  CAST(len(regexp_replace(t, '[^!]+', '', 'g')) AS BIGINT) AS n_bangs, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   coalesce(r.n, 0) AS n_repeat_words FROM split_ s LEFT JOIN repeats r ON s.uid = r.uid),
-rated AS (SELECT *, {", ".join(f"{e} AS {r}" for r, e in rates.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-own_ AS (SELECT lang, source, count(*) AS n, {fence} FROM rated GROUP BY lang, source),
-lang_ AS (SELECT lang, count(*) AS n, {fence} FROM rated GROUP BY lang),
-all_ AS (SELECT count(*) AS n, {fence} FROM rated),
-judged AS (SELECT c.*, NOT c.base_failed AND {pick} AS kept FROM rated c JOIN own_ o ON c.lang IS NOT DISTINCT FROM o.lang AND c.source IS NOT DISTINCT FROM o.source
-  JOIN lang_ l ON c.lang IS NOT DISTINCT FROM l.lang CROSS JOIN all_ w)"""
+rated AS (SELECT *, {rates}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+binned_ AS (SELECT lang, source, {cells} FROM rated WHERE NOT base_failed),
+own_ AS (SELECT lang, source, count(*) AS n, {fence} FROM binned_ GROUP BY lang, source),
+lang_ AS (SELECT lang, count(*) AS n, {fence} FROM binned_ GROUP BY lang),
+all_ AS (SELECT {fence} FROM binned_),
+parent_ AS (SELECT l.lang, {", ".join(lean("l", r, f"w.f_{r}") for r in RATES)} FROM lang_ l CROSS JOIN all_ w),
+limit_ AS (SELECT o.lang, o.source, {", ".join(lean("o", r, f"p.f_{r}") for r in RATES)} FROM own_ o JOIN parent_ p ON o.lang IS NOT DISTINCT FROM p.lang),
+judged AS (SELECT c.*, NOT c.base_failed AND {within} AS kept FROM rated c LEFT JOIN limit_ o ON c.lang IS NOT DISTINCT FROM o.lang AND c.source IS NOT DISTINCT FROM o.source)"""
 
 
 SQL = "WITH " + verdict_sql() + "\nSELECT CAST(doc_id AS BIGINT) AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"

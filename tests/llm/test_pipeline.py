@@ -52,19 +52,21 @@ def brute_classes(texts: dict) -> dict:
 
 
 def brute_redact(docs: dict) -> dict:
+    """docs: text, source and language by id."""
     import re
 
     assign = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
     wide = re.compile(secrets.WIDER, re.A)
-    base = {i: [m.span() for m in assign.finditer(t) if len(m[1]) >= 6] + [m.span() for p in (r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}") for m in re.finditer(p, t)] for i, (t, _) in docs.items()}
-    more = {i: [m for m in wide.finditer(t) if not any(a < m.end() and m.start() < b for a, b in base[i])] for i, (t, _) in docs.items()}
+    base = {i: [m.span() for m in assign.finditer(t) if len(m[1]) >= 6] + [m.span() for p in (r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}") for m in re.finditer(p, t)] for i, (t, *_) in docs.items()}
+    more = {i: [m for m in wide.finditer(t) if not any(a < m.end() and m.start() < b for a, b in base[i])] for i, (t, *_) in docs.items()}
     held: dict = {}
     for i, ms in more.items():
         for m in ms:
-            held.setdefault(m[0], set()).add(docs[i][1])
+            held.setdefault(m[0], set()).add(docs[i][1:])
     out = {}
-    for i, (t, _) in docs.items():
-        spans = sorted(base[i] + [m.span() for m in more[i] if len(held[m[0]]) < 3])
+    live = {v: len({source for source, _ in by}) < 3 and len(by) < 6 for v, by in held.items()}
+    for i, (t, *_) in docs.items():
+        spans = sorted(base[i] + [m.span() for m in more[i] if live[m[0]]])
         merged: list = []
         for a, b in spans:
             if merged and merged[-1][1] > a:
@@ -82,8 +84,8 @@ def test_pipeline_against_brute_force(spark):
 
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    kept = {r[0]: (r[1], r[2]) for r in db.execute(f"WITH {quality_rules.verdict_sql()} SELECT doc_id, text, source FROM judged WHERE kept").fetchall()}
-    classes = brute_classes({i: t for i, (t, _) in kept.items()})
+    kept = {r[0]: r[1:] for r in db.execute(f"WITH {quality_rules.verdict_sql()} SELECT doc_id, text, source, lang FROM judged WHERE kept").fetchall()}
+    classes = brute_classes({i: t for i, (t, *_) in kept.items()})
     kept = {i: v for i, v in kept.items() if classes[i] == i}
     clean = brute_redact(kept)
     db.register("frame", pd.DataFrame({"doc_id": list(kept), "text": [clean[i] for i in kept], "source": [kept[i][1] for i in kept]}))

@@ -2,27 +2,30 @@
 
 Three base kinds are found by pattern. A wider pattern (a run of 20 or more key characters with both a
 letter and a digit) gives further candidates, which prose, identifiers and examples also match; what
-tells them apart is who holds them. Candidate hashes are counted by distinct owner (source), which alone
-decides, and by distinct repository (source and language, unless other columns are named), which only
-``owners`` returns: a value that ``shared_owners``
-or more owners hold is a widely copied example, any other is owner-specific and looks live. Base spans
-are always reported, each with a second span over its value, of kind ``live`` or ``example``; wider
-candidates are reported, as kind ``owned``, only when owner-specific.
-
-Spans come from ``split`` and ``regexp_extract_all`` with the same pattern: text between matches and
-matches alternate, so running sums of their lengths are the positions (in blocks, so that a text with
-very many matches costs no square). A hot value's rows are reduced to distinct holders in each task
-before any shuffle.
-
-Defined results: a null text is empty; null owners are one owner; repeated rows each have their own
-spans; an empty table gives no rows; extra columns are ignored (kept by ``redact``). Built from
-DataFrame functions alone.
+tells them apart is who holds them. Candidate hashes are counted by distinct owner (source) and by distinct
+repository (source and language, unless other columns are named): a value that ``shared_owners`` or more
+owners or ``shared_repositories`` or more repositories hold is a widely copied example, any other is
+owner-specific and looks live. Base spans are always reported, each with a second span over its value, of
+kind ``live`` or ``example``; wider candidates that overlap no base span are reported, as kind ``owned``,
+only when owner-specific.
+
+Text between matches and matches alternate, so ``split`` and ``regexp_extract_all`` with the same pattern give
+the lengths whose running sums are the positions. Those sums, the overlaps and the merging of spans are
+windows over the rows of a text's matches, so a text costs its length and its matches times their logarithm,
+and only matches are shuffled, never texts. Every task reduces a value's rows to distinct holders before
+they are shuffled; only the shared values, broadcast when a count finds them few, are joined back.
+
+Defined results: a null text is empty; a text may be of any length; null owners are one owner; of spans with
+one start the kind listed first stands first; repeated rows each have their own spans and are one holder; an
+empty table gives no rows; extra columns are ignored (kept by ``redact``, also where they bear names of ours).
+Built from DataFrame functions alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vellum.llm import common
 
@@ -34,49 +37,64 @@ PATTERNS = {
 }
 WIDER = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 KINDS = [*PATTERNS, "owned", "live", "example"]
-BLOCK = 256
-_SPANS = "array<struct<ord:int,s:int,e:int,n:int,h:bigint>>"
+#: Code points of a block of a text that is cut apart.
+BLOCK = 4096
+_HITS = "array<struct<ord:int,i:int,d:int,l:int,n:int,h:bigint>>"
 
 
-def spans_of(text: str, kind: str, pattern: str) -> Column:
-    """Array of (ord, start, end, length and hash of the value, which ends the match) of a pattern's matches in a column."""
+def hits_of(text: str, kind: str, pattern: str) -> Column:
+    """Array of a pattern's matches in a column: kind, place, distance from the last match's start, length, and length and hash of the value, which ends the match."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    value = f"regexp_extract_all({text}, {p}, 1)" if kind == "assign" else f"regexp_extract_all({text}, {p}, 0)"
-    # one-element transforms name intermediate arrays, so that each is computed once
-    starts = f"""transform(array(struct(transform(split({text}, {p}, -1), x -> length(x)) as g, transform(regexp_extract_all({text}, {p}, 0), x -> length(x)) as m, {value} as v)), a ->
-      struct(a.m as m, a.v as v, transform(a.m, (x, i) -> get(a.g, i) + if(i > 0, get(a.m, i - 1), 0)) as d))"""
-    blocks = f"""transform({starts}, a -> struct(a.m as m, a.v as v, a.d as d, aggregate(sequence(0, size(a.d) div {BLOCK}), array(0), (c, b) ->
-      concat(c, array(element_at(c, -1) + aggregate(slice(a.d, b * {BLOCK} + 1, {BLOCK}), 0, (q, y) -> q + y))))  as c))"""
-    spans = f"""transform({blocks}, a -> transform(a.m, (x, i) -> struct({KINDS.index(kind)} as ord,
-      get(a.c, cast(i div {BLOCK} as int)) + aggregate(slice(a.d, cast(i div {BLOCK} as int) * {BLOCK} + 1, i % {BLOCK} + 1), 0, (q, y) -> q + y) as s, x as l, get(a.v, i) as v)))[0]"""
-    kept = f"transform(filter({spans}, x -> {'length(x.v) >= 6' if kind == 'assign' else 'true'}), x -> struct(x.ord as ord, x.s as s, x.s + x.l as e, length(x.v) as n, xxhash64(x.v) as h))"
-    return F.expr(f"if({text} rlike {p}, {kept}, cast(array() as {_SPANS}))")
-
-
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """docs with ``found``: base spans and the wider candidates that overlap none of them."""
-    df = docs.withColumn("_t", F.coalesce("text", F.lit("")))
-    df = df.withColumn("_base", F.concat(*(spans_of("_t", k, p) for k, p in PATTERNS.items())))
-    df = df.withColumn("_wide", spans_of("_t", "owned", WIDER))
-    free = F.expr("filter(_wide, c -> not exists(_base, b -> b.s < c.e and c.s < b.e))")
-    return df.withColumn("found", F.concat("_base", free)).drop("_t", "_base", "_wide")
-
-
-def owners(candidates: DataFrame) -> DataFrame:
-    """h, n_owners, n_repositories of every candidate hash."""
-    held = candidates.select("h", "owner", "repository").distinct()
-    return held.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repositories"))
+    value = f"regexp_extract_all({text}, {p}, {1 if kind == 'assign' else 0})"
+    # a one-element transform names the arrays, so that each is computed once
+    named = f"array(struct(split({text}, {p}, -1) as g, regexp_extract_all({text}, {p}, 0) as f, {value} as v))"
+    hit = f"struct({KINDS.index(kind)} as ord, i as i, length(get(a.g, i)) + if(i > 0, length(get(a.f, i - 1)), 0) as d, length(x) as l, length(get(a.v, i)) as n, xxhash64(get(a.v, i)) as h)"
+    return F.expr(f"if({text} rlike {p}, transform({named}, a -> transform(a.f, (x, i) -> {hit}))[0], cast(array() as {_HITS}))")
+
+
+def with_hits(docs: DataFrame) -> DataFrame:
+    """docs with ``hits``: all matches of all patterns."""
+    text = docs.withColumn("_t", F.coalesce("text", F.lit("")))
+    return text.withColumn("hits", F.concat(*(hits_of("_t", k, p) for k, p in {**PATTERNS, "owned": WIDER}.items()))).drop("_t")
 
 
-def classified(found: DataFrame, owner: str = "source", repository: tuple = ("source", "lang"), shared_owners: int = 3) -> DataFrame:
-    """uid and its spans in order, the verdict's among them; wider candidates only where owner-specific. Rows without spans are absent."""
+def candidates(found: DataFrame, owner: str = "source", repository: tuple = ("source", "lang")) -> DataFrame:
+    """uid, owner, repository, ord, s, e, n, h: base spans, and the wider ones that overlap none of them."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    each = found.filter(F.size("found") > 0).select("uid", name(owner).alias("owner"), F.concat_ws("/", *(name(c) for c in repository)).alias("repository"), F.explode("found").alias("x")).select("uid", "owner", "repository", "x.*")
-    judged = each.join(owners(each), "h").withColumn("live", F.col("n_owners") < shared_owners)
+    holder = (name(owner).alias("owner"), F.concat_ws("/", *(name(c) for c in repository)).alias("repository"))
+    each = found.filter(F.size("hits") > 0).select("uid", *holder, F.inline("hits"))
+    start = F.sum("d").over(W.partitionBy("uid", "ord").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    each = each.withColumn("s", start).withColumn("e", F.col("s") + F.col("l")).filter(f"ord <> {KINDS.index('assign')} or n >= 6")
+    before, base = (W.unboundedPreceding, -1), F.col("ord") < len(PATTERNS)
+    left = F.max(F.when(base, F.col("e"))).over(W.partitionBy("uid").orderBy("s", "ord").rowsBetween(*before))
+    right = F.min(F.when(base, F.col("s"))).over(W.partitionBy("uid").orderBy(F.desc("s"), F.desc("ord")).rowsBetween(*before))
+    met = F.coalesce(F.col("left") > F.col("s"), F.lit(False)) | F.coalesce(F.col("right") < F.col("e"), F.lit(False))
+    return each.withColumn("left", left).withColumn("right", right).filter(base | ~met).select("uid", "owner", "repository", "ord", "s", "e", "n", "h")
+
+
+def owners(held: DataFrame) -> DataFrame:
+    """h, n_owners, n_repositories of every candidate hash."""
+    once = held.select("h", "owner", "repository").distinct()
+    return once.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("r")).groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repositories"))
+
+
+def reported(found: DataFrame, shared_owners: int = 3, shared_repositories: int = 6, **how) -> DataFrame:
+    """uid, s, ord, e: every span to report, the verdict's among them."""
+    each = candidates(found, **how)
+    copied = owners(each).filter((F.col("n_owners") >= shared_owners) | (F.col("n_repositories") >= shared_repositories))
+    copied = common.sent_if_small(common.materialize(copied.select("h", F.lit(False).alias("live")), "copied", rows=1))
+    judged = each.join(copied, "h", "left").withColumn("live", F.coalesce("live", F.lit(True)))
     verdict = f"struct(e - n as s, if(live, {KINDS.index('live')}, {KINDS.index('example')}) as ord, e as e)"
     own = "struct(s as s, ord as ord, e as e)"
-    told = judged.select("uid", F.explode(F.expr(f"if(ord < {len(PATTERNS)}, array({own}, {verdict}), if(live, array({own}), array()))")).alias("x"))
-    return told.groupBy("uid").agg(F.sort_array(F.collect_list("x")).alias("spans"))
+    return judged.select("uid", F.explode(F.expr(f"if(ord < {len(PATTERNS)}, array({own}, {verdict}), if(live, array({own}), array()))")).alias("x")).select("uid", "x.*")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """uid and ``cut``: its spans in order, overlapping ones as one."""
+    order = W.partitionBy("uid").orderBy("s", "e", "ord")
+    open_ = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    each = spans.withColumn("new", F.when(open_ > F.col("s"), 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return each.groupBy("uid", "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cut"))
 
 
 def _listed(spans: str) -> str:
@@ -84,27 +102,40 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat({kinds}[x.ord], ':', x.s, ':', x.e)), ',')"
 
 
+def _scanned(docs: DataFrame, text: bool = True) -> DataFrame:
+    """docs (with text unless told not to) with uid and hits, stored."""
+    seen = with_hits(docs).withColumn("uid", F.monotonically_increasing_id())
+    return common.materialize(seen if text else seen.drop("text"), "secrets")
+
+
 def find_secrets(docs: DataFrame, text: bool = True, **how) -> DataFrame:
     """docs (with text unless told not to) with uid and ``spans`` (start, kind's place, end), empty where there are none."""
-    seen = with_candidates(docs)
-    found = common.materialize((seen if text else seen.drop("text")).withColumn("uid", F.monotonically_increasing_id()), "secrets")
+    found = _scanned(docs, text)
     none = F.expr("cast(array() as array<struct<s:int,ord:int,e:int>>)")
-    some = found.filter(F.size("found") > 0).join(classified(found, **how), "uid", "left").withColumn("spans", F.coalesce("spans", none))
-    return some.unionByName(found.filter(F.size("found") == 0).withColumn("spans", none)).drop("found")
-
-
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span replaced by a mark (overlapping spans by one), ``n_chars`` brought up to date."""
-    found = find_secrets(common.wrapped(docs, "source", "lang", "text"))
-    merged = """aggregate(spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).e > x.s,
-      concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e))), concat(a, array(struct(x.s as s, x.e as e)))))"""
-    clean = f"""array_join(concat(transform(_m, (x, i) -> concat(substring(text, if(i > 0, get(_m, i - 1).e, 0) + 1, x.s - if(i > 0, get(_m, i - 1).e, 0)), '{mark}')),
-      array(substring(text, element_at(_m, -1).e + 1, length(text)))), '')"""
-    out = found.withColumn("_m", F.expr(merged)).withColumn("text", F.expr(f"if(size(_m) > 0, {clean}, text)"))
-    out = out.withColumn("_row", F.col("_row").withField("text", F.col("text")))
+    listed = reported(found, **how).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "ord", "e"))).alias("spans"))
+    some = found.filter(F.size("hits") > 0).join(listed, "uid", "left").withColumn("spans", F.coalesce("spans", none))
+    return some.unionByName(found.filter(F.size("hits") == 0).withColumn("spans", none)).drop("hits")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
+    """docs with every reported span replaced by a mark (overlapping spans by one), ``n_chars`` brought up to date.
+
+    A text is cut into blocks of ``BLOCK`` code points, and what stays is taken from the blocks it lies in.
+    """
+    found = _scanned(common.wrapped(docs, "source", "lang", "text"))
+    some = found.filter(F.size("hits") > 0).join(merged(reported(found, **how)), "uid", "left")
+    some = some.withColumn("blocks", F.expr(f"if(cut is null, null, regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0))")).withColumn("size", F.length("text"))
+    parts = "concat(transform(cut, (x, i) -> struct(if(i > 0, get(cut, i - 1).e, 0) as a, x.s as b)), array(struct(element_at(cut, -1).e as a, size as b)))"
+    first, last = f"cast(p.a div {BLOCK} as int)", f"cast((p.b - 1) div {BLOCK} as int)"
+    within = f"substring(get(blocks, {first}), p.a % {BLOCK} + 1, p.b - p.a)"
+    across = f"concat(substring(get(blocks, {first}), p.a % {BLOCK} + 1), array_join(slice(blocks, {first} + 2, {last} - {first} - 1), ''), substring(get(blocks, {last}), 1, (p.b - 1) % {BLOCK} + 1))"
+    kept = f"transform({parts}, p -> case when p.a >= p.b then '' when {first} = {last} then {within} else {across} end)"
+    some = some.withColumn("clean", F.expr(f"if(cut is null, text, array_join({kept}, '{mark}'))"))
+    some = some.withColumn("_row", F.col("_row").withField("text", F.col("clean")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("_row", F.col("_row").withField("n_chars", F.when(F.size("_m") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))))
-    return common.unwrapped(out)
+        own = F.col("_row.n_chars")
+        some = some.withColumn("_row", F.col("_row").withField("n_chars", F.when(F.col("cut").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(own)))
+    return common.unwrapped(some.select("_row").unionAll(found.filter(F.size("hits") == 0).select("_row")))
 
 
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

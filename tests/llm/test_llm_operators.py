@@ -64,6 +64,30 @@ def test_chat_masks(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_places_are_the_library_offsets():
+    import pyarrow as pa
+
+    tok = chat.chat_tokenizer(None)
+    texts = ["h\u00e9llo w\u00f6rld <turn> a  b\n\u65e5\u672c x </turn> don't \U0001f600", "", "<turn>user<text>q. r,</turn>", "\n\n \n", "a" * 500, LONG[:3000], "\U0001f600" * 9]
+    enc = tokens.Encoder(tok=tok)
+    starts, ids = enc.encode(pa.array(texts))
+    first, last, ends = chat.Places(tok).of(texts, starts, ids)
+    for i, t in enumerate(texts):
+        e, mine = tok.encode(t, add_special_tokens=False), slice(starts[i], starts[i + 1])
+        assert ids[mine].tolist() == e.ids
+        assert list(zip((first[mine] - ends[i]).tolist(), (last[mine] - ends[i]).tolist(), strict=True)) == e.offsets
+
+
+def test_chat_of_very_many_turns_and_clashing_columns(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"t\u00e9xt {i} <text> \\ \u65e5" if i % 7 else None) for i in range(6000)] + [(2, 0, "assistant", LONG)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("x")).withColumn("n_turns", F.lit("y"))
+    kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    got = {r["conv_id"]: r for r in chat.format_chats(df).mapInArrow(chat.digests, kinds).collect()}
+    loss = "".join(t or "" for c, _, role, t in turns if c == 1 and role == "assistant")
+    assert got[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[1]["n_turns"] == 6000
+    assert got[2]["loss_chars"] == len(LONG)
+
+
 def test_orc_round_trip(spark, docs, empty):
     path = common.fresh_path(spark, "orc")
     orc_tokens.write_tokens(docs, path, files=3)

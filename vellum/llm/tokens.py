@@ -38,8 +38,8 @@ class Encoder:
     bounded by them and a batch, and results never depend on what is held.
     """
 
-    def __init__(self, path: str | None = None, max_entries: int = 400_000, max_word: int = 40):
-        self.tok = load(path)
+    def __init__(self, path: str | None = None, max_entries: int = 400_000, max_word: int = 40, tok=None):
+        self.tok = tok or load(path)
         self.end = b""
         self._reset()
         self.feed, self.blank = self._ids(["\n", " "])

@@ -494,8 +494,8 @@ def test_gif_round_trips():
         gif_media.decode(b"GIF89a")
 
 
-def test_gif_rules():
-    """Transparency, sub-rectangles, interlace and the three disposals, on a hand-made file."""
+def small_gif():
+    """Four frames of 2 x 2 pixels: transparency, sub-rectangles and the three disposals."""
     import struct
 
     def image(x, y, w, h, pixels, disposal, hidden=None, interlaced=False):
@@ -504,18 +504,56 @@ def test_gif_rules():
         return control + b"," + struct.pack("<HHHHB", x, y, w, h, 0x40 if interlaced else 0) + b"\x02" + gif_media._blocks(stream)
 
     head = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x81, 0, 0) + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    tall = b"GIF89a" + struct.pack("<HHBBB", 1, 8, 0x81, 0, 0) + head[13:] + image(0, 0, 1, 8, [i % 4 for i in [0, 4, 2, 6, 1, 3, 5, 7]], 0, interlaced=True) + b";"
     raw = head + image(0, 0, 2, 2, [1, 1, 1, 1], 1) + image(0, 0, 1, 1, [2], 3) + image(1, 1, 1, 1, [3], 2) + image(0, 0, 2, 2, [0, 2, 0, 0], 0, hidden=0) + b";"
+    return raw, tall
+
+
+def test_gif_rules():
+    raw, tall = small_gif()
     _, _, f = gif_media.decode(raw)
     red, green, blue, none = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [0, 0, 0, 0]
     assert f[0].pixels.tolist() == [[red, red], [red, red]] and f[0].delay == 7
     assert f[1].pixels.tolist() == [[green, red], [red, red]]
     assert f[2].pixels.tolist() == [[red, red], [red, blue]]
     assert f[3].pixels.tolist() == [[red, green], [red, none]]
-    order = [0, 4, 2, 6, 1, 3, 5, 7]
-    tall = b"GIF89a" + struct.pack("<HHBBB", 1, 8, 0x81, 0, 0) + head[13:] + image(0, 0, 1, 8, [i % 4 for i in order], 0, interlaced=True) + b";"
     assert gif_media.decode(tall)[2][0].pixels[:, 0, :3].tolist() == [[[0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255]][i % 4] for i in range(8)]
 
 
+def test_gifs_to_frames(spark):
+    """Against a file by hand, whose code streams are written out bit by bit and not by the encoder, and the small one."""
+    # 3 x 1 pixels, two bits a pixel: clear (4), 1, 2, 3, end (5), three bits a code, the last one four bits as the table grows past 8
+    bits = "".join(format(c, f"0{w}b")[::-1] for c, w in ((4, 3), (1, 3), (2, 3), (3, 3), (5, 3)))
+    stream = bytes(int(bits[i : i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(bits), 8))
+    palette = bytes([0, 0, 0, 255, 64, 0, 0, 128, 255, 10, 20, 30])
+    hand = b"GIF87a" + bytes([3, 0, 1, 0, 0x81, 0, 0]) + palette + b"," + bytes([0, 0, 0, 0, 3, 0, 1, 0, 0]) + b"\x02" + bytes([len(stream)]) + stream + b"\0;"
+    raw, _ = small_gif()
+    media = spark.createDataFrame([(1, hand, "x"), (2, raw, "x"), (3, None, "x"), (4, raw[:40], "x"), (4, b"", "x")], "doc_id long, media binary, frame string")
+    got = sorted(gif_media.to_frames(media).collect(), key=lambda r: (r["doc_id"], r["frame"] or 0))
+    assert [r["doc_id"] for r in got] == [1, 2, 2, 2, 2, 4, 4] and got[5]["error"] and got[5]["rgba"] is None
+    one = got[0]
+    assert bytes(one["rgba"]) == bytes([255, 64, 0, 255, 0, 128, 255, 255, 10, 20, 30, 255]) and (one["width"], one["height"], one["delay_ms"]) == (3, 1, 0)
+    assert (one["red"], one["green"], one["blue"]) == ([2, 0, 0, 0, 0, 0, 0, 1], [1, 0, 1, 0, 1, 0, 0, 0], [2, 0, 0, 0, 0, 0, 0, 1])
+    assert [r["delay_ms"] for r in got[1:5]] == [70] * 4 and got[2]["red"] == [1, 0, 0, 0, 0, 0, 0, 3] and got[4]["red"] == [1, 0, 0, 0, 0, 0, 0, 2]
+    assert gif_media.to_frames(media.limit(0)).count() == 0
+
+
+def test_media_query_against_brute_force(spark, tmp_path, docs):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(gif_media.media_digests(spark, str(tmp_path)).collect(), key=str)
+    assert len(got) == len(rows())
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    for doc_id, text, *_ in rows():
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * ((-len(raw) % 576) or (0 if raw else 576))
+        gif = gif_media.encode(payload)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(gif), hashlib.sha256(gif).hexdigest())
+        assert want in [(r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in by[doc_id]]
+    assert len({tuple(r)[1:] for r in by[104] + by[105]}) == 1
+
+
 def test_media_of_odd_rows(docs, empty):
     got = gif_media.to_media(docs).collect()
     assert len(got) == len(rows()) and all(gif_media.decode(bytes(r["media"]))[0] == 24 for r in got[:3])

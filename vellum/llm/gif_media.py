@@ -7,9 +7,13 @@ sub-rectangles, transparency, disposal (keep, background, previous), delays, loo
 A code's width depends only on how many codes came since the last clear, so a stream without a clear in
 its middle is cut into codes by one vectorised read; other streams are read code by code.
 
-Defined results: a null text is empty and becomes one padded frame; texts of any length are as many
-frames as they need; repeated rows are alike; an empty table gives no rows; extra columns are ignored. A
-damaged stream raises ValueError.
+``to_media`` stores texts as a GIF column with frame times and colour histograms; ``to_frames`` decodes any
+column of GIFs into a table of timed frames, each with its own histograms of red, green and blue.
+
+Defined results: a null text is empty and becomes one padded frame; texts of any length are as many frames as
+they need (``to_frames`` hands frames on a few at a time); repeated rows are alike, and have rows of their
+own; an empty table gives no rows; extra columns are ignored by ``to_media``. ``to_frames`` gives no row for a
+null GIF, one row without a frame but with an ``error`` for a damaged one. ``decode`` raises ValueError.
 """
 
 from __future__ import annotations
@@ -374,11 +378,11 @@ def _grey_columns(frames):
 
 
 def media_rows(texts: list[bytes]):
-    """For each text: its length, the payload as decoded from its GIF, the GIF, its frames' times and grey histogram."""
+    """For each text: its length, the payload as decoded from its GIF, the GIF, its frames and their grey histogram."""
     gifs = encode_many([payload_of(t) for t in texts])
     for raw, gif, (_, _, frames) in zip(texts, gifs, decode_many(gifs), strict=True):
         back, counts = _grey_columns(frames)
-        yield len(raw), back, gif, [10 * f.delay for f in frames], counts
+        yield len(raw), back, gif, frames, counts
 
 
 def media_batches(digest: bool):
@@ -392,12 +396,13 @@ def media_batches(digest: bool):
             for b in tokens.slices(whole, 64):
                 rows = []
                 texts = [raw or b"" for raw in b.column(1).cast(pa.binary()).to_pylist()]
-                for doc_id, (n, back, gif, times, counts) in zip(b.column(0).to_pylist(), media_rows(texts), strict=True):
+                for doc_id, (n, back, gif, frames, counts) in zip(b.column(0).to_pylist(), media_rows(texts), strict=True):
+                    times = [10 * f.delay for f in frames]
                     if digest:
                         feature = f"frames={len(times)};ms={sum(times)};grey=" + ",".join(map(str, counts))
                         rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(gif), hashlib.sha256(gif).hexdigest(), feature))
                     else:
-                        rows.append((doc_id, n, gif, len(times), times, [*map(int, counts)] * 3))
+                        rows.append((doc_id, n, gif, len(times), times, histogram(frames).ravel().tolist()))
                 schema = DIGEST if digest else MEDIA
                 kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
                 fields = [c.split(" ") for c in schema.split(", ")]
@@ -415,6 +420,45 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(media_batches(False), MEDIA)
 
 
+FRAMES = "frame int, delay_ms int, width int, height int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
+
+
+def frame_batches(batches):
+    """(id, GIF) to the id and ``FRAMES``; at most 64 frames go out at once."""
+    import pyarrow as pa
+
+    kinds = [pa.int32()] * 4 + [pa.binary()] + [pa.list_(pa.int64())] * 3 + [pa.string()]
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+
+    def out(ids, rows):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["_gif", *names])
+
+    for b in batches:
+        ids, rows = [], []
+        for own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if raw is None:
+                continue
+            try:
+                width, height, frames = decode(raw)
+                found = [(i, 10 * f.delay, width, height, f.pixels.tobytes(), *histogram([f]).tolist(), None) for i, f in enumerate(frames)]
+            except ValueError as e:
+                found = [(None,) * 8 + (str(e),)]
+            for row in found:
+                ids.append(own)
+                rows.append(row)
+                if len(rows) == 64:
+                    yield out(ids, rows)
+                    ids, rows = [], []
+        yield out(ids, rows)
+
+
+def to_frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """A row per frame of every GIF in a column, as the screen shows it: the row's key, the frame's place, time, size, pixels (RGBA, row by row) and histograms."""
+    common.small_batches(media.sparkSession)
+    rows = media.select(F.col(key).cast("long").alias("_gif"), F.col(column).alias("_raw"))
+    return rows.mapInArrow(frame_batches, "_gif long, " + FRAMES).withColumnRenamed("_gif", key)
+
+
 def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: digests of the payload read back from each document's GIF, and of the GIF."""
     docs = common.table(spark, sf_dir, "documents")

@@ -267,18 +267,21 @@ def occurrences(text: str, name: str) -> list[tuple[int, int]]:
 
 
 def first_unused(text: str, names: list[str]) -> list[tuple]:
-    """(start, end) for each name in turn: its first place that no earlier name took, else one with any white space, else (None, None)."""
+    """(start, end) for each name in turn: the first place, overlapping ones too, at whose start no earlier name stands; else one with any white space; else (None, None)."""
     import re
 
     taken: set = set()
     out = []
     for name in names:
-        loose = r"\s+".join(map(re.escape, name.split()))
-        for pattern in (re.escape(name), loose):
-            place = next((m.span() for m in re.finditer(pattern, text) if m.span() not in taken), None) if name.strip() else None
-            if place:
-                break
-        taken.add(place)
+        at = text.find(name)
+        while at in taken:
+            at = text.find(name, at + 1)
+        place = (at, at + len(name)) if at >= 0 else None
+        if place is None:
+            loose = "".join(r"\s+" if c.isspace() else re.escape(c) for c in name)
+            place = next((m.span() for m in re.finditer(loose, text) if m.start() not in taken), None)
+        if place:
+            taken.add(place[0])
         out.append(place or (None, None))
     return out
 

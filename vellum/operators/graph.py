@@ -27,19 +27,29 @@ def mention_edges(mentions: DataFrame, distinct: bool = False) -> DataFrame:
     return edges.distinct() if distinct else edges
 
 
-def cooccurrence(mentions: DataFrame, distinct_docs: bool = False, most: int = 5) -> DataFrame:
+def cooccurrence(mentions: DataFrame, distinct_docs: bool = False, most: int = 5, salts: int = 64) -> DataFrame:
     """Entity pairs of a document: weight (pairs of mentions, or documents), the first pair's types, the first documents.
 
-    Pairs are counted per document from the mentions' ids first, so what is shuffled is one row per pair
-    and document, not one per pair of mentions.
+    A document's mentions are counted by id first, so two names that stand there a hundred times each are one
+    row and not ten thousand. The first documents of a pair are picked in ``salts`` parts and then among those
+    picked, so that no task holds a pair's documents.
     """
-    m = with_ids(mentions).select("doc_id", "ord", "id", "type")
-    x, y = m.alias("x"), m.alias("y")
-    pairs = x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.ord") < F.col("y.ord"))).select(F.col("x.doc_id").alias("doc_id"), F.least("x.id", "y.id").alias("source"), F.greatest("x.id", "y.id").alias("target"), F.struct("x.ord", F.col("y.ord").alias("ord2"), F.concat_ws("-", "x.type", "y.type").alias("types")).alias("first"))
-    per = pairs.groupBy("source", "target", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    own = W.partitionBy("doc_id", "id").orderBy("ord")
+    m = with_ids(mentions).select("doc_id", "ord", "id", "type").withColumn("_r", F.row_number().over(own))
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.struct("ord", "type")))
+    ids = m.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"), at(1).alias("p"), at(2).alias("q"))
+    x, y = ids.alias("x"), ids.alias("y")
+    met = x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.id") < F.col("y.id")))
+    pair = lambda a, b: F.struct(a["ord"].alias("ord"), b["ord"].alias("ord2"), F.concat_ws("-", a["type"], b["type"]).alias("types"))
+    two = met.select(F.col("x.id").alias("source"), F.col("y.id").alias("target"), F.col("x.doc_id").alias("doc_id"), (F.col("x.n") * F.col("y.n")).alias("n"), pair(F.least("x.p", "y.p"), F.greatest("x.p", "y.p")).alias("first"))
+    one = ids.filter("n > 1").select(F.col("id").alias("source"), F.col("id").alias("target"), "doc_id", F.expr("n * (n - 1) div 2").alias("n"), pair(F.col("p"), F.col("q")).alias("first"))
+    per = two.unionByName(one)
     weight = F.count(F.lit(1)) if distinct_docs else F.sum("n")
-    out = per.groupBy("source", "target").agg(weight.alias("weight"), F.min_by("first", "doc_id")["types"].alias("types"), F.slice(F.sort_array(F.collect_list("doc_id")), 1, most).alias("docs"))
-    return out.withColumn("docs", F.array_join(F.transform("docs", lambda d: d.cast("string")), "|"))
+    out = per.groupBy("source", "target").agg(weight.alias("weight"), F.min(F.struct("doc_id", "first"))["first"]["types"].alias("types"))
+    few = lambda df, *by: df.withColumn("_k", F.row_number().over(W.partitionBy("source", "target", *by).orderBy("doc_id"))).filter(F.col("_k") <= most)
+    picked = few(few(per.select("source", "target", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_salt")), "_salt").drop("_salt", "_k"))
+    docs = picked.groupBy("source", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")), "|").alias("docs"))
+    return out.join(docs, ["source", "target"])
 
 
 def trade_edges(ledger: DataFrame) -> DataFrame:

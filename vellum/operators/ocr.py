@@ -33,11 +33,12 @@ def with_distance(pairs: DataFrame, near: int = 256) -> DataFrame:
 
 
 def with_metrics(pairs: DataFrame) -> DataFrame:
-    """All page metrics that need an alignment."""
+    """All page metrics that need an alignment. Capitals are those of ``ref_raw`` and ``hyp_raw``, the texts before lower case, where there are such columns."""
     df = pairs.withColumn("rw", X.words(F.col("ref"))).withColumn("hw", X.words(F.col("hyp")))
     df = df.withColumn("char", udfs.edit_counts("ref", "hyp")).withColumn("word", udfs.token_edit_counts("rw", "hw")).withColumn("bleu", udfs.bleu("rw", "hw"))
-    for name, tokens in (("significant", X.significant), ("capitalized", X.capitalized)):
-        df = df.withColumn(name, udfs.token_accuracy(tokens(F.col("rw")), tokens(F.col("hw"))))
+    df = df.withColumn("significant", udfs.token_accuracy(X.significant(F.col("rw")), X.significant(F.col("hw"))))
+    raw = lambda side: F.transform(X.capitalized(X.words(F.col(f"{side}_raw" if f"{side}_raw" in pairs.columns else side))), F.lower)
+    df = df.withColumn("capitalized", udfs.token_accuracy(raw("ref"), raw("hyp")))
     df = df.withColumn("numbers", udfs.token_accuracy(X.number_groups(F.col("ref")), X.number_groups(F.col("hyp"))))
     df = df.withColumn("cer", rate(F.col("char.distance"), F.length("ref"))).withColumn("wer", rate(F.col("word.distance"), F.size("rw")))
     return df.drop("rw", "hw")
@@ -72,6 +73,41 @@ def summary(pages: DataFrame, by: list[str], measures: list[str], totals: list[s
     return pages.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *stats, *(F.sum(t).alias(f"total_{t}") for t in totals))
 
 
+MEASURES = ["cer", "wer", "bleu", "hallucination"]
+ACCURACIES = ["significant", "capitalized", "numbers"]
+
+
+def scored_pages(pairs: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
+    """Pages with every measure, accuracy and count that ``full_summary`` and ``age_summary`` take."""
+    made = hallucinated_tokens(pairs, lexicon, keys).select(*keys, F.col("rate").alias("hallucination"), F.col("made_up").alias("hallucinated_words"), F.col("made_up_types").alias("hallucinated_types"))
+    return with_metrics(pairs).join(made, keys, "left").fillna(0, ["hallucination", "hallucinated_words", "hallucinated_types"])
+
+
+def full_summary(pages: DataFrame, by: list[str]) -> DataFrame:
+    """The whole table of a system: five statistics of four measures, mean accuracies, three statistics of three accuracies, 18 totals, shares of the kinds of error."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    stat = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_pop, "min": F.min, "max": F.max}
+    out = [F.count(F.lit(1)).alias("n")] + [r(f(m), f"{n}_{m}") for m in MEASURES for n, f in stat.items()]
+    out += [r(1 - F.avg("cer"), "mean_char_accuracy"), r(1 - F.avg("wer"), "mean_word_accuracy")]
+    out += [r(stat[n](f"{a}.accuracy"), f"{n}_{a}_accuracy") for a in ACCURACIES for n in ("mean", "median", "std")]
+    totals = {"chars": F.length("ref"), "words": F.size(X.words(F.col("ref")))}
+    for side in ("char", "word"):
+        totals |= {f"{side}_errors": F.col(f"{side}.distance")} | {f"{side}_{k}": F.col(f"{side}.{k}") for k in ("insertions", "deletions", "substitutions")}
+    totals |= {f"{a}_{k}": F.col(f"{a}.{k}") for a in ACCURACIES for k in ("total", "errors")}
+    totals |= {"hallucinated_words": F.col("hallucinated_words"), "hallucinated_types": F.col("hallucinated_types")}
+    out += [F.sum(c.cast("long")).alias(f"total_{n}") for n, c in totals.items()]
+    share = lambda side, k: F.when(F.col(f"total_{side}_errors") > 0, F.round(100 * F.col(f"total_{side}_{k}") / F.col(f"total_{side}_errors"), 6)).otherwise(0.0)
+    kinds = {f"{side}_{k}_pct": share(side, k) for side in ("char", "word") for k in ("insertions", "deletions", "substitutions")}
+    return pages.groupBy(*by).agg(*out).withColumns(kinds)
+
+
+def age_summary(pages: DataFrame, system: str = "system", year: str = "year") -> DataFrame:
+    """Mean, median and deviation of the four measures by system and 25 years; pages without a year are out."""
+    stat = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_pop}
+    dated = pages.withColumn("age_group", X.age_group(F.col(year))).filter("age_group is not null")
+    return dated.groupBy(system, "age_group").agg(F.count(F.lit(1)).alias("n"), *(F.round(f(m), 6).alias(f"{n}_{m}") for m in MEASURES for n, f in stat.items()))
+
+
 def extremes(pages: DataFrame, by: str, measure: str, key: list[str], k: int) -> DataFrame:
     """The k best and k worst pages of each system."""
     up, down = (W.partitionBy(by).orderBy(o, *key) for o in (F.asc(measure), F.desc(measure)))
@@ -119,26 +155,49 @@ def match_names(names: DataFrame, gold: DataFrame, ext: str = ".xml", threshold:
     return done.unionByName(fuzzy)
 
 
-def match_by_opening(names: DataFrame, gold: DataFrame, length: int = 50) -> DataFrame:
-    """name and the first gold name, in order, that shares its first ``length`` characters or begins it or is begun by it.
+def _holds(texts: DataFrame, text: str, heads: DataFrame, head: str, most: int = 8) -> DataFrame:
+    """Pairs of rows whose text holds the head anywhere. They meet on the head's first characters, ``most`` at most, against the pieces of a text that are as long."""
+    h = heads.withColumn("_piece", F.substring(head, 1, most)).withColumn("_n", F.length("_piece"))
+    lengths = F.broadcast(h.select("_n").distinct())  # at most ``most`` rows
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_n") + 1, F.lit(1)))
+    pieces = texts.join(lengths, F.lit(True)).withColumn("_piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_n")))))).drop("_n")
+    return pieces.join(h.drop("_n"), "_piece").filter(F.contains(text, head)).drop("_piece")
 
-    Any two such names agree in their first character, in any case, so that is where they meet.
-    """
-    n, g = names.select("name", F.lower("name").alias("a")), gold.select("gold_name", F.lower("gold_name").alias("b"))
-    hit = F.startswith("a", "b") | F.startswith("b", "a") | (F.substring("a", 1, length) == F.substring("b", 1, length))
-    found = n.join(g, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & hit).groupBy("name").agg(F.min("gold_name").alias("gold_name"))
-    return names.select("name").join(found, "name", "left")
 
+def match_by_opening(gold: DataFrame, files: DataFrame, length: int = 50) -> DataFrame:
+    """gold_name (a base name) and the first file, in order, whose base name begins it or is begun by it, or where one holds the other's first ``length`` characters (the file's with its suffix)."""
+    g = gold.select("gold_name", F.substring("gold_name", 1, length).alias("gold_head"))
+    f = files.select("file_name", F.substring("file_name", 1, length).alias("file_head"), F.replace(F.replace("file_name", F.lit("_page_001.md"), F.lit("")), F.lit(".md"), F.lit("")).alias("base"))
+    held = _holds(f, "file_name", g, "gold_head").unionByName(_holds(g, "gold_name", f, "file_head"))
+    begun = _holds(g, "gold_name", f, "base")  # a file's base name within the gold one; where it is longer, the gold head is within the file's name
+    begun = begun.filter(F.startswith("gold_name", "base"))
+    found = held.select("gold_name", "file_name").unionByName(begun.select("gold_name", "file_name")).groupBy("gold_name").agg(F.min("file_name").alias("file_name"))
+    return gold.select("gold_name").distinct().join(found, "gold_name", "left")
 
-def rejoin_lines(lines: DataFrame, lexicon: set, key: str = "region", order: str = "line_no", text: str = "line") -> DataFrame:
-    """Words split over line ends put together, region by region (a region is a text block of one page)."""
+
+def rejoin_lines(lines: DataFrame, lexicon: DataFrame | None, key: str = "region", order: str = "line_no", text: str = "line") -> DataFrame:
+    """Words split over line ends put together, region by region (a region is a text block of one page).
+
+    ``lexicon.word`` may be of any size: the words that a repair could make are known beforehand, and only
+    those it holds go to their region. Without a lexicon every word is good.
+    """
+    bare = lambda c: F.lower(F.regexp_replace(c, r"^[.,;:!?'\"()\-]+|[.,;:!?'\"()\-]+$", ""))
+    rows = lines.select(key, order, text)
+    if lexicon is None:
+        rows = rows.withColumn("known", F.array().cast("array<string>"))
+    else:
+        head = F.regexp_extract(F.lead(text).over(W.partitionBy(key).orderBy(order)), r"(?U)^(\S+)", 1)
+        ends = [F.regexp_extract(text, r"(?U)(\S+)-\s*$", 1), F.regexp_extract(text, r"(?U)(\S+)\s*$", 1)]
+        made = rows.withColumn("head", head).filter("head <> ''").select(key, F.explode(F.array(bare(F.col("head")), *(bare(F.concat(e, "head")) for e in ends))).alias("word")).distinct()
+        known = made.join(lexicon.select(F.lower("word").alias("word")).distinct(), "word", "left_semi").groupBy(key).agg(F.collect_set("word").alias("known"))
+        rows = rows.join(known, key, "left").withColumn("known", F.concat(F.array(F.lit("")), F.coalesce("known", F.array().cast("array<string>"))))
 
     def run(df):
         from vellum.functions import kernels
 
         df = df.sort_values(order)
-        fixed, n = kernels.rejoin(df[text].tolist(), lexicon)
+        fixed, n = kernels.rejoin(df[text].tolist(), set(df["known"].iloc[0]))
         return df.assign(**{text: fixed, "repairs": n})[[key, order, text, "repairs"]]
 
     kinds = dict(lines.dtypes)
-    return lines.select(key, order, text).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, repairs long")
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {text} string, repairs long")

@@ -25,7 +25,14 @@ def _(spark, d):
     return kept.select("doc_id", "ord", F.col("as_found").alias("text"))
 
 
-@query("cascade_merge")
+#: A text inside a dropped one is inside the one that dropped it, so "inside any earlier text" says it without a fold.
+_CASCADE = f"""WITH {MENTIONS}, r AS (SELECT *, list_position({vocab.CASCADE!r}, type) AS rank, replace(replace(lower(trim(text)), '-', ' '), '  ', ' ') AS norm FROM mentions),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, ord) AS k FROM r WHERE rank > 0),
+kept AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM n e WHERE e.doc_id = n.doc_id AND e.k < n.k AND contains(e.norm, n.norm)))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS kept, string_agg(type || ':' || text, ',' ORDER BY k) AS entities FROM kept GROUP BY doc_id"""
+
+
+@query("cascade_merge", _CASCADE)
 def _(spark, d):
     """Texts claimed by type priority within each document."""
     return ner.cascade(mentions(spark, d)).select("doc_id", F.size("entities").cast("long").alias("kept"), F.array_join(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["text"])), ",").alias("entities"))
@@ -64,12 +71,14 @@ def _(spark, d):
     return ner.link(m, cache).select("doc_id", "ord", "authority", "linked")
 
 
-@query("hash_split", "SELECT doc_id, NULL AS split FROM documents WHERE false")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", ner.split_of(F.col("doc_id")).alias("split"))
+#: CRC-32 by its rule: for each byte, eight times shifted right and, where a one fell out, combined with the reversed polynomial.
+_CRC = """(SELECT xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT))"""
 
 
-del query.oracle["hash_split"]  # DuckDB has no CRC-32; a test holds the split against zlib
+@query("hash_split", f"SELECT doc_id, CASE WHEN h < 90 THEN 'train' WHEN h < 95 THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, {_CRC} % 100 AS h FROM (SELECT doc_id, doc_id || ':42' AS k FROM documents))")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", ner.split_of(F.col("doc_id")).alias("split"))
 
 
 def sides(spark, d):
@@ -130,22 +139,54 @@ def _(spark, d):
     return ner_eval.span_scores(*sides(spark, d), overlap=True)
 
 
-@query("align_five_pass")
+def _pass(k: int, fits: str, kind: str) -> str:
+    """One greedy pass: each gold row in order takes the first predicted row that fits; both leave."""
+    state = "{'rest': []::STRUCT(t VARCHAR, l VARCHAR)[], 'r': p%d.r, 'out': p%d.out}" % (k - 1, k - 1)
+    step = f"""lambda s, a: CASE WHEN len(list_filter(s.r, lambda b: {fits})) = 0 THEN {{'rest': list_append(s.rest, a), 'r': s.r, 'out': s.out}}
+      ELSE {{'rest': s.rest, 'r': list_filter(s.r, lambda b: b <> list_filter(s.r, lambda b: {fits})[1]), 'out': list_append(s.out, {{'c': '{kind}', 'g': a, 'p': list_filter(s.r, lambda b: {fits})[1]}})}} END"""
+    return f"p{k} AS (SELECT doc_id, s.rest AS l, s.r AS r, s.out AS out FROM (SELECT p{k - 1}.doc_id, list_reduce(p{k - 1}.l, {step}, {state}) AS s FROM p{k - 1}))"
+
+
+_ROW = "STRUCT(t VARCHAR, l VARCHAR)"
+_INSIDE = "(contains(a.t, b.t) OR contains(b.t, a.t))"
+_ALIGNED = f"""WITH {SIDES}, g AS (SELECT doc_id, list_sort(list(DISTINCT {{'t': text, 'l': label}})) AS g FROM gold GROUP BY doc_id), p AS (SELECT doc_id, list_sort(list(DISTINCT {{'t': text, 'l': label}})) AS p FROM pred GROUP BY doc_id),
+b AS (SELECT doc_id, coalesce(g, []::{_ROW}[]) AS g, coalesce(p, []::{_ROW}[]) AS p FROM g FULL JOIN p USING (doc_id)),
+p0 AS (SELECT doc_id, list_filter(g, lambda a: NOT list_contains(p, a)) AS l, list_filter(p, lambda a: NOT list_contains(g, a)) AS r,
+  list_transform(list_filter(g, lambda a: list_contains(p, a)), lambda a: {{'c': 'strict', 'g': a, 'p': a}}) AS out FROM b),
+{_pass(1, f"a.l = b.l AND {_INSIDE}", "partial")}, {_pass(2, "a.l <> b.l AND a.t = b.t", "substitution")}, {_pass(3, f"a.l <> b.l AND {_INSIDE}", "substitution")},
+aligned AS (SELECT doc_id, x.c AS category, x.g.t AS gold_text, x.g.l AS gold_label, x.p.t AS pred_text, x.p.l AS pred_label FROM (SELECT doc_id, unnest(out) AS x FROM p3)
+  UNION ALL SELECT doc_id, 'missing', x.t, x.l, NULL, NULL FROM (SELECT doc_id, unnest(l) AS x FROM p3) UNION ALL SELECT doc_id, 'spurious', NULL, NULL, x.t, x.l FROM (SELECT doc_id, unnest(r) AS x FROM p3))"""
+
+
+@query("align_five_pass", _ALIGNED + " SELECT * FROM aligned")
 def _(spark, d):
     return ner_eval.alignment(*sides(spark, d))
 
 
-@query("confusion_matrix")
+@query("confusion_matrix", _ALIGNED + " SELECT coalesce(gold_label, 'O') AS gold, coalesce(pred_label, 'O') AS pred, CAST(count(*) AS BIGINT) AS n FROM aligned GROUP BY ALL")
 def _(spark, d):
     return ner_eval.confusion(ner_eval.alignment(*sides(spark, d)))
 
 
-@query("slot_error_rate")
+_SLOTS = _ALIGNED + """, c AS (SELECT CAST(count(*) FILTER (category = 'substitution') AS BIGINT) AS substitutions, CAST(count(*) FILTER (category = 'missing') AS BIGINT) AS deletions, CAST(count(*) FILTER (category = 'spurious') AS BIGINT) AS insertions, CAST(count(gold_label) AS BIGINT) AS slots FROM aligned)
+SELECT *, slots - substitutions - deletions AS correct, round((substitutions + deletions + insertions) / slots, 6) AS ser FROM c"""
+
+
+@query("slot_error_rate", _SLOTS)
 def _(spark, d):
     return ner_eval.slot_errors(ner_eval.alignment(*sides(spark, d)))
 
 
-@query("partial_f1")
+_PARTIAL = f"""WITH {SIDES}, g AS (SELECT DISTINCT doc_id, label, text FROM gold), p AS (SELECT DISTINCT doc_id, label, text FROM pred),
+extra AS (SELECT * FROM p ANTI JOIN g USING (doc_id, label, text)), missed AS (SELECT * FROM g ANTI JOIN p USING (doc_id, label, text)),
+hit AS (SELECT e.doc_id, e.label, e.text, min(m.text) AS m FROM extra e JOIN missed m ON e.doc_id = m.doc_id AND e.label = m.label AND (contains(m.text, e.text) OR contains(e.text, m.text)) GROUP BY ALL),
+tally AS (SELECT label, count(*) AS hits, count(DISTINCT (doc_id, m)) AS used FROM hit GROUP BY label),
+n AS (SELECT label, (SELECT count(*) FROM g SEMI JOIN p USING (doc_id, label, text) WHERE g.label = l.label) AS both_, (SELECT count(*) FROM extra e WHERE e.label = l.label) AS ex, (SELECT count(*) FROM missed m WHERE m.label = l.label) AS mi
+  FROM (SELECT label FROM g UNION SELECT label FROM p) l),
+c AS (SELECT n.label, CAST(both_ + coalesce(hits, 0) AS BIGINT) AS tp, CAST(ex - coalesce(hits, 0) AS BIGINT) AS fp, CAST(mi - coalesce(used, 0) AS BIGINT) AS fn FROM n LEFT JOIN tally USING (label)) SELECT *, {_PRF} FROM c"""
+
+
+@query("partial_f1", _PARTIAL)
 def _(spark, d):
     g, p = sides(spark, d)
     texts = lambda df, n: df.groupBy("doc_id", "label").agg(F.collect_set("text").alias(n))

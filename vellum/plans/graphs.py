@@ -106,7 +106,16 @@ def _(spark, d):
     return retrieval.chunk_rows(docs, retrieval.fixed_chunks(F.col("text"), 4800, 400))
 
 
-@query("chunks_sentence")
+#: Where a window of 2000 characters that isn't the last ends: behind the last full stop and space, empty line or line feed of its last 100 characters.
+_END = " ".join(f"WHEN strpos(reverse(w), {back}) > 0 THEN pos_ + 1900 + 100 - (strpos(reverse(w), {back}) - 1)" for back in ("' .'", "chr(10) || chr(10)", "chr(10)"))
+_SENTENCES = f"""WITH RECURSIVE cut AS (
+  SELECT doc_id, 0 AS i, 0 AS pos_, CASE WHEN len(text) <= 2000 THEN len(text) ELSE (SELECT CASE {_END} ELSE pos_ + 2000 END FROM (SELECT 0 AS pos_, substr(text, 1901, 100) AS w)) END AS e FROM documents
+  UNION ALL SELECT doc_id, i + 1, pos_, CASE WHEN pos_ + 2000 >= len(text) THEN len(text) ELSE CASE {_END} ELSE pos_ + 2000 END END
+  FROM (SELECT c.doc_id, c.i, c.e - 200 AS pos_, d.text, substr(d.text, c.e - 200 + 1901, 100) AS w FROM cut c JOIN documents d ON c.doc_id = d.doc_id WHERE c.e < len(d.text)))
+SELECT format('{{}}__chunk{{:04d}}', c.doc_id, i) AS chunk_id, c.doc_id, CAST(i AS INTEGER) AS chunk_idx, substr(text, pos_ + 1, e - pos_) AS text FROM cut c JOIN documents d ON c.doc_id = d.doc_id"""
+
+
+@query("chunks_sentence", _SENTENCES)
 def _(spark, d):
     return retrieval.sentence_chunks(table(spark, d, "documents"))
 

@@ -31,16 +31,18 @@ class Registry:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document as a gold page, and what a scanner of four habits makes of it.
+    """Every line of every document as a gold page, and what a scanner of four habits makes of it; ``_raw`` before lower case.
 
-    Metrics cost the square of a line's length, so documents are dealt out evenly before.
+    Metrics cost the square of a line's length. Only a table of fewer splits than there are cores is dealt out before.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = table(spark, sf_dir, "documents").repartition(n, "doc_id").select("doc_id", F.col("source").alias("system"), (1600 + F.col("doc_id") % 200).cast("int").alias("year"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    ref = lines.withColumn("ref", X.normalize(F.col("line"))).filter("ref <> ''").drop("line")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    lines = docs.select("doc_id", F.col("source").alias("system"), (1600 + F.col("doc_id") % 200).cast("int").alias("year"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     habit = F.col("doc_id") % 4
-    hyp = F.when(habit == 0, F.replace("ref", F.lit("s"), F.lit("f"))).when(habit == 1, F.replace("ref", F.lit("th"), F.lit("t"))).when(habit == 2, F.replace("ref", F.lit("en"), F.lit("een"))).otherwise(F.col("ref"))
-    return ref.withColumn("line_no", F.col("line_no").cast("long")).withColumn("hyp", hyp)
+    seen = lambda c: F.when(habit == 0, F.replace(c, F.lit("s"), F.lit("f"))).when(habit == 1, F.replace(c, F.lit("th"), F.lit("t"))).when(habit == 2, F.replace(c, F.lit("en"), F.lit("een"))).otherwise(F.col(c))
+    ref = lines.withColumn("ref", X.normalize(F.col("line"))).filter("ref <> ''").withColumn("ref_raw", X.squeeze(F.col("line"))).drop("line")
+    return ref.withColumn("line_no", F.col("line_no").cast("long")).withColumn("hyp", seen("ref")).withColumn("hyp_raw", seen("ref_raw"))
 
 
 PAGES = r"""lines AS (SELECT doc_id, source AS system, CAST(1600 + doc_id % 200 AS INTEGER) AS year, CAST(i - 1 AS BIGINT) AS line_no, ls[i] AS line

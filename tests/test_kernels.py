@@ -90,6 +90,8 @@ def test_occurrences():
     assert k.occurrences("Sugar, sugar", "SUGAR") == [(0, 5), (7, 12)]
     assert k.first_unused("a b a", ["a", "a", "a"]) == [(0, 1), (4, 5), (None, None)]
     assert k.first_unused("New\n England", ["New England"]) == [(0, 12)]
+    assert k.first_unused("New England and New", ["New England", "New"]) == [(0, 11), (16, 19)]
+    assert k.first_unused("aaa", ["aa", "aa", "aa"]) == [(0, 2), (1, 3), (None, None)]
 
 
 def test_diverse():

@@ -138,3 +138,106 @@ def test_functions_in_sql(spark):
     long = "word " * 800
     assert spark.sql(f"SELECT c.chunk_idx FROM (SELECT '{long}' AS t), LATERAL sentence_chunk_rows(t) c").count() == 3
     assert spark.sql("SELECT entity_text('The Rum.') AS t").first()["t"] == "the rum"
+
+
+def test_capitals_are_those_of_the_raw_text(spark):
+    from vellum.operators import ocr
+
+    rows = [("the king of spain", "the king of spain", "The King of Spain", "The king of Spain"), ("a b", "a b", "a b", "a b"), ("london town", "londen town", "London Town", "LONDON Town")]
+    df = spark.createDataFrame(rows, "ref string, hyp string, ref_raw string, hyp_raw string")
+    got = [tuple(r["capitalized"]) for r in ocr.with_metrics(df).collect()]
+    assert got == [(0.5, 2, 1), (1.0, 0, 0), (1.0, 2, 0)]
+    assert ocr.with_metrics(df.drop("ref_raw", "hyp_raw")).first()["capitalized"]["total"] == 0
+
+
+def test_names_match_by_containment(spark):
+    from vellum.operators import ocr
+
+    long = "x" * 60
+    gold = spark.createDataFrame([("Letters of a Planter",), (long + "gold",), ("Sugar",), ("None of these",), ("ab",)], "gold_name string")
+    files = spark.createDataFrame([("The Letters of a Planter, 1701.md",), (long + "file_page_001.md",), ("Sug_page_001.md",), ("zz ab zz.md",)], "file_name string")
+    got = {r["gold_name"]: r["file_name"] for r in ocr.match_by_opening(gold, files).collect()}
+    assert got == {"Letters of a Planter": "The Letters of a Planter, 1701.md", long + "gold": long + "file_page_001.md", "Sugar": "Sug_page_001.md", "None of these": None, "ab": "zz ab zz.md"}
+
+
+def test_cooccurrence_counts_pairs_of_mentions(spark):
+    from vellum.operators import graph
+
+    kinds = "doc_id long, ord long, text string, type string"
+    rows = [(d, i, t, "PERSON") for d in range(8) for i, t in enumerate(["A", "B", "A", "B", "B"])]
+    got = {(r["source"], r["target"]): (r["weight"], r["types"], r["docs"]) for r in graph.cooccurrence(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == {(f"person__{a}", f"person__{b}"): (8 * n, "PERSON-PERSON", "0|1|2|3|4") for a, b, n in (("a", "b", 6), ("a", "a", 1), ("b", "b", 3))}
+
+
+def test_rejoin_lines_with_a_lexicon_table(spark):
+    from vellum.operators import ocr
+
+    rows = [(1, 0, "of Im-"), (1, 1, "porter of consi"), (1, 2, "der it"), (2, 0, "Im-"), (2, 1, "possible"), (3, 0, "alone")]
+    lines = spark.createDataFrame(rows, "region long, line_no int, line string")
+    lexicon = spark.createDataFrame([("importer",), ("Consider",)], "word string")
+    got = {(r["region"], r["line_no"]): r["line"] for r in ocr.rejoin_lines(lines, lexicon).collect()}
+    assert got == {(1, 0): "of Importer", (1, 1): "of consider", (1, 2): "it", (2, 0): "Im-", (2, 1): "possible", (3, 0): "alone"}
+    assert {r["line"] for r in ocr.rejoin_lines(lines.filter("region = 2"), None).collect()} == {"Impossible", ""}
+
+
+def test_rounds_with_an_authority():
+    from vellum.operators import agents
+
+    said = []
+
+    def chat(talk):
+        said.append(len(talk))
+        if len(talk) == 2:
+            return {"tool_calls": [{"function": {"name": "search_items", "arguments": '{"query": "x"}'}}, {"function": {"name": "other", "arguments": {}}}]}
+        if len(talk) == 5:
+            assert [m["content"] for m in talk[-2:]] == ['["Q1"]', "ERROR: no tool other"]
+            return {"content": "Q1, I think"}
+        assert talk[-1]["role"] == "user"
+        return {"tool_calls": [{"function": {"name": "submit_result", "arguments": {"qid": "Q1", "label": "L", "confidence": 0.8}}}]}
+
+    tools = {"search_items": lambda query: ["Q1"]}
+    assert agents.resolve("x", "PERSON", chat, tools) == {"authority": "Q1", "label": "L", "confidence": 0.8, "linked": True} and said == [2, 5, 7]
+    none = {"authority": None, "label": None, "confidence": 0.0, "linked": False}
+    assert agents.resolve("x", "PERSON", lambda talk: None, tools) == none
+    calls = []
+    assert agents.resolve("x", "PERSON", lambda talk: calls.append(1) or {"content": "hm"}, tools) == none and len(calls) == 4
+    empty = lambda talk: {"tool_calls": [{"function": {"name": "submit_result", "arguments": {"qid": "", "confidence": 0}}}]}
+    assert agents.resolve("x", "PERSON", empty, tools) == none
+
+
+def test_whole_summaries_against_the_kernels(spark):
+    import numpy as np
+
+    from vellum.functions import kernels
+    from vellum.operators import ocr
+
+    rows = [("s", 1700 + 30 * i, a, b, a.title(), b.title(), i) for i, (a, b) in enumerate([("the king of 3 isles", "the kinge of 3 ifles"), ("a b c", "a x b c"), ("one two", "one"), ("12 ships", "12 fhips sailed")])]
+    pairs = spark.createDataFrame(rows, "system string, year int, ref string, hyp string, ref_raw string, hyp_raw string, doc_id long")
+    lexicon = spark.createDataFrame([("sailed",), ("x",)], "word string")
+    scored = ocr.scored_pages(pairs, lexicon, ["doc_id"])
+    got = ocr.full_summary(scored, ["system"]).first()
+    cer = [kernels.edit_counts(r[2], r[3])[0] / len(r[2]) for r in rows]
+    word = [kernels.edit_counts(r[2].split(), r[3].split()) for r in rows]
+    wer = [w[0] / len(r[2].split()) for w, r in zip(word, rows, strict=True)]
+    bleu = [kernels.bleu(r[2].split(), r[3].split()) for r in rows]
+    made = [kernels.hallucinations(r[2].split(), r[3].split(), {"sailed", "x"}) for r in rows]
+    for name, x in (("cer", cer), ("wer", wer), ("bleu", bleu), ("hallucination", [m[0] for m in made])):
+        for stat, f in (("mean", np.mean), ("median", np.median), ("std", np.std), ("min", np.min), ("max", np.max)):
+            assert abs(got[f"{stat}_{name}"] - f(x)) < 1e-5
+    assert got["total_word_insertions"] == sum(w[1] for w in word) and got["total_words"] == 12 and got["total_hallucinated_words"] == sum(m[1] for m in made)
+    assert abs(got["word_deletions_pct"] - 100 * sum(w[2] for w in word) / sum(w[0] for w in word)) < 1e-5 and abs(got["mean_word_accuracy"] - (1 - np.mean(wer))) < 1e-5
+    ages = {r["age_group"]: r for r in ocr.age_summary(scored).collect()}
+    assert set(ages) == {"1700-1724", "1725-1749", "1750-1774", "1775-1799"} and abs(ages["1725-1749"]["mean_wer"] - wer[1]) < 1e-5
+
+
+def test_training_batches_are_padded_and_masked(spark):
+    from vellum.operators import ner
+
+    rows = [(i, list(range(1, 2 + i)), i % 3) for i in range(9)]
+    got = ner.training_batches(spark.createDataFrame(rows, "id long, ids array<int>, n_prompt int"), 4, most=6).collect()
+    assert sorted(r["id"] for r in got) == list(range(9)) and {r["batch"] for r in got} == {0, 1, 2}
+    for r in got:
+        ids = list(range(1, 2 + r["id"]))[:6]
+        width = max(len(x["ids"]) for x in [{"ids": [a for a, m in zip(o["input_ids"], o["attention"], strict=True) if m]} for o in got if o["batch"] == r["batch"]])
+        assert r["input_ids"] == ids + [0] * (width - len(ids)) and sum(r["attention"]) == len(ids)
+        assert r["labels"] == [-100 if i < r["id"] % 3 else x for i, x in enumerate(ids)] + [-100] * (width - len(ids))

@@ -97,3 +97,30 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         spark.createDataFrame([(k, "t"), (0, "t")], schema).coalesce(1).write.mode("append").parquet(src)
         ingest.process_once(ingest.arrivals(spark, src, schema), "doc_id", lambda df: df, out, str(tmp_path / "cp"))
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+
+
+def test_watch_takes_all_that_came_before_the_sentinel(spark, tmp_path):
+    src, schema, seen = str(tmp_path / "in"), "doc_id long", []
+    spark.range(3).withColumnRenamed("id", "doc_id").write.parquet(src)
+    looks = iter([False, True])
+
+    def done():
+        last = next(looks)
+        if last:  # more files, then the sentinel
+            spark.range(3, 5).withColumnRenamed("id", "doc_id").write.mode("append").parquet(src)
+        return last
+
+    work = lambda df, epoch: seen.extend(r["doc_id"] for r in df.collect())
+    assert ingest.watch(ingest.arrivals(spark, src, schema), work, str(tmp_path / "cp"), done, poll=0.1) == 5
+    assert sorted(seen) == list(range(5))
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_text("".join(json.dumps({"text": f"{i:05d}" + "x" * 40}) + "\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.json_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r["doc_id"]: int(r["text"][:5]) for r in got} == {f"f_{i}": i for i in range(5000)}

@@ -26,3 +26,11 @@ def collection_counts(collections: DataFrame, members: DataFrame) -> DataFrame:
 def to_copy(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Files whose destination isn't there yet."""
     return wanted.join(present.select("name"), "name", "left_anti")
+
+
+def with_metadata(docs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Documents with title, author and year, which default to the id and to empty texts, and the archive that the id's beginning tells."""
+    known = metadata.select("doc_id", F.col("title").alias("_t"), F.col("author").alias("_a"), F.col("year").cast("string").alias("_y"))
+    found = docs.join(known, "doc_id", "left")
+    defaults = {"title": F.coalesce("_t", "doc_id"), "author": F.coalesce("_a", F.lit("")), "year": F.coalesce("_y", F.lit(""))}
+    return found.withColumns(defaults).withColumn("source", F.when(F.startswith("doc_id", F.lit("archive_org")), "archive_org").otherwise("EEBO")).drop("_t", "_a", "_y")

@@ -85,3 +85,28 @@ def link(entities: DataFrame, cache: DataFrame, resolver: Callable | None = None
 
         known = known.unionByName(missing.mapInPandas(run, "norm string, type string, authority string"))
     return want.join(known, ["norm", "type"], "left").withColumn("linked", F.col("authority").isNotNull()).withColumn("crm_class", X.crm_class(F.col("type")))
+
+
+def masked_labels(ids, n_prompt, ignored: int = -100):
+    """Labels of a training example: the prompt's are ignored, the answer's are its ids."""
+    return F.transform(ids, lambda x, i: F.when(i < n_prompt, F.lit(ignored)).otherwise(x).cast("int"))
+
+
+def padded(values, width, fill: int):
+    """An array filled up to a width, and cut to it."""
+    return F.slice(F.concat(values, F.array_repeat(F.lit(fill).cast("int"), F.greatest(width - F.size(values), F.lit(0)))), F.lit(1), width)
+
+
+def training_batches(examples: DataFrame, size: int, pad: int = 0, most: int = 2048) -> DataFrame:
+    """batch, id, input_ids, labels, attention: examples (id, ids, n_prompt) in the order of their ids by ``size``, each batch as wide as its longest, ``most`` at most.
+
+    The place of an example is counted by hash bucket first, so that no task numbers all of them.
+    """
+    cut = examples.select("id", F.slice("ids", 1, most).alias("ids"), "n_prompt").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(1024)))
+    counts = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("id")) - 1 + F.col("before")
+    placed = cut.join(F.broadcast(counts.select("bucket", "before")), "bucket").withColumn("batch", F.floor(place / size))  # 1,024 rows
+    wide = placed.withColumn("width", F.max(F.size("ids")).over(W.partitionBy("batch")))
+    fill = lambda values, x: padded(values, F.col("width"), x)
+    ones = F.transform("ids", lambda _: F.lit(1))
+    return wide.select("batch", "id", fill(F.col("ids"), pad).alias("input_ids"), fill(masked_labels(F.col("ids"), F.col("n_prompt")), -100).alias("labels"), fill(ones, 0).alias("attention"))

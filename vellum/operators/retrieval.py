@@ -78,3 +78,57 @@ def reuse(surfaced: DataFrame, by: str) -> DataFrame:
     """Of what each system surfaced (doc_id, chunk_id): rows, distinct chunks and documents, reuse in per cent, chunks a document."""
     out = surfaced.groupBy(by).agg(F.count(F.lit(1)).alias("surfaced"), F.countDistinct("chunk_id").alias("unique_chunks"), F.countDistinct("doc_id").alias("unique_docs"))
     return out.withColumn("reuse_pct", F.round(100 * (F.col("surfaced") - F.col("unique_chunks")) / F.col("surfaced"), 4)).withColumn("chunks_per_doc", F.round(F.col("unique_chunks") / F.col("unique_docs"), 4))
+
+
+def embed(chunks: DataFrame, model, batch: int = 64) -> DataFrame:
+    """chunks with ``embedding``: an injected model (texts to vectors) called with so many texts at once, its vectors brought to length 1. Empty texts are left out."""
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            for at in range(0, len(b), batch):
+                some = b.iloc[at : at + batch].copy()
+                x = np.asarray(model(some["text"].tolist()), float)
+                some["embedding"] = list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+                yield some
+
+    kinds = ", ".join(f"`{n}` {k}" for n, k in chunks.dtypes)
+    return chunks.filter(F.trim("text") != "").mapInPandas(run, kinds + ", embedding array<double>")
+
+
+def dispatched(mode: str, graph_rows: DataFrame, vector_rows: DataFrame) -> DataFrame:
+    """Evidence for an answer: of the graph, of the vectors (of the graph where they give nothing for a query), or both, by ``id``."""
+    if mode == "graph":
+        return hybrid(vector_rows.limit(0), graph_rows)
+    if mode == "vector":
+        return hybrid(vector_rows, graph_rows.join(vector_rows.select("id"), "id", "left_anti"))
+    if mode == "hybrid":
+        return hybrid(vector_rows, graph_rows)
+    raise ValueError(f"no mode {mode}")
+
+
+def graph_context(mode: str, terms: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, kind, source, type, target: what a question's terms (id, term) find in a graph.
+
+    local: nodes whose name holds a term, and the edges at them; global: edges whose type holds a term, and
+    with them their ends; hybrid: both, each row once. Terms of a question are few and sent to every task.
+    """
+    t = F.broadcast(terms.select("id", F.lower("term").alias("_term")))  # a question's words
+    named = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("_term"))
+    node = lambda df, at: df.select("id", F.lit("node").alias("kind"), F.col(at).alias("source"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("target"))
+    edge = lambda df: df.select("id", F.lit("edge").alias("kind"), "source", "type", "target")
+    parts = []
+    if mode in ("local", "hybrid"):
+        hits = nodes.select(F.col("id").alias("node"), "name").join(t, named("name")).select("id", "node").distinct()
+        touched = [edges.join(hits, F.col(end) == F.col("node")).select("id", "source", "type", "target") for end in ("source", "target")]
+        parts += [node(hits, "node"), edge(touched[0].unionByName(touched[1]))]
+    if mode in ("global", "hybrid"):
+        found = edges.join(t, named("type")).select("id", "source", "type", "target").distinct()
+        parts += [edge(found), node(found, "source"), node(found, "target")]
+    if not parts:
+        raise ValueError(f"no mode {mode}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

@@ -77,22 +77,56 @@ def one_line_text(md: str) -> str:
 _PARSERS = {"xml": xml_text, "md": markdown_text, "txt": lambda s: s, "line": one_line_text}
 
 
-def documents(spark: SparkSession, path: str, kind: str = "txt", limit: int = 0) -> DataFrame:
+def _parsed(kind: str):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [_PARSERS[kind](decode(raw)) for raw in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["source", "text"])
+
+    return run
+
+
+def documents(spark: SparkSession, path: str, kind: str = "txt", limit: int = 0, glob: str | None = None) -> DataFrame:
     """doc_id (the file's stem), text, source of every file of a folder. kind: txt, md, xml, or line for one-line pages."""
-    parse = F.udf(lambda raw: _PARSERS[kind](decode(bytes(raw))), "string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = files.select(file_stem(F.col("path")).alias("doc_id"), parse("content").alias("text"), F.col("path").alias("source")).filter(F.length(F.trim("text")) > 0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (files.option("pathGlobFilter", glob) if glob else files).load(path).select(F.col("path").alias("source"), "content")
+    rows = files.mapInArrow(_parsed(kind), "source string, text string").filter(F.col("text").rlike(r"(?U)\S"))
+    rows = rows.select(file_stem(F.col("source")).alias("doc_id"), "text", "source")
     return rows.orderBy("doc_id").limit(limit) if limit else rows
 
 
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, text, source of a folder of text, Markdown, XML and JSON lines."""
+    parts = [documents(spark, path, kind, glob=f"*.{kind}") for kind in ("txt", "md", "xml")]
+    lines = json_lines(spark, f"{path}/*.jsonl")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(lines)
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text of JSON lines; without an id, the file's stem and the line's place; lines that don't parse are dropped."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
-    place = F.row_number().over(W.partitionBy("path").orderBy("at")) - 1
-    rows = lines.withColumn("i", place).withColumn("v", F.from_json("value", "doc_id string, id string, text string")).filter(F.try_parse_json("value").isNotNull() & F.col("v.text").isNotNull())
+    """doc_id, text of JSON lines; without an id, the file's stem and the line's place; lines that don't parse are dropped.
+
+    A line's place is its place in its split and the lines of the file's splits before, counted by split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(counts.select("path", "block", "first", before.alias("before")), ["path", "block"]).withColumn("i", F.col("at") - F.col("first") + F.col("before"))
+    rows = placed.withColumn("v", F.from_json("value", "doc_id string, id string, text string")).filter(F.try_parse_json("value").isNotNull() & F.col("v.text").isNotNull())
     return rows.select(F.coalesce("v.doc_id", "v.id", F.format_string("%s_%d", file_stem(F.col("path")), "i")).alias("doc_id"), F.col("v.text").alias("text"), F.col("path").alias("source"))
 
 
+def entity_lines(spark: SparkSession, per_doc: str, aggregate: str) -> DataFrame:
+    """doc_id, text, type of entities in JSON lines, a file per document; where there is no such folder, of one file that names the documents. Lines that don't parse are dropped."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(per_doc)
+    split = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    lines = spark.read.text(per_doc if split else aggregate).select("value", F.col("_metadata.file_path").alias("path"))
+    e = lines.filter(F.try_parse_json("value").isNotNull()).withColumn("e", F.from_json("value", "doc_id string, text string, type string"))
+    doc_id = file_stem(F.col("path")) if split else F.nullif("e.doc_id", F.lit(""))
+    return e.select(doc_id.alias("doc_id"), "e.text", "e.type").filter("doc_id is not null")
+
+
 _ENTITY = "struct<text:string,type:string,label:string,start:int,end:int>"
 
 
@@ -106,6 +140,13 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.posexplode("d.entities").alias("ord", "e")).select("doc_id", "ord", F.col("e.text").alias("text"), F.coalesce("e.label", "e.type").alias("label"), F.col("e.start").alias("start"), F.col("e.end").alias("end"))
 
 
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ord, text, label of files that hold an array of predictions; of a document's several entries the last wins, and its id stays as it is."""
+    docs = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<doc_id:string,entities:array<{_ENTITY}>>>")).alias("place", "d"))
+    last = last_by_id(docs.select("place", "d.doc_id", "d.entities"), "place")
+    return last.select("doc_id", F.posexplode("entities").alias("ord", "e")).select("doc_id", "ord", F.col("e.text").alias("text"), F.coalesce("e.label", "e.type").alias("label"))
+
+
 def last_by_id(rows: DataFrame, order: str) -> DataFrame:
     """Of predictions for one document the last wins."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
@@ -146,6 +187,23 @@ def ledger_csv(spark: SparkSession, path: str, measures: list[str]) -> DataFrame
 LEDGER = "file string, sheet string, commodity string, from_location string, to_location string, year string, ton double, hh double, quarter double, lb double, total_pounds double, weight_tons double"
 
 
+def ledger_workbooks(spark: SparkSession, path: str, skip: str = "Master Goods Sheet") -> DataFrame:
+    """Rows of every ledger workbook under a path of any store; a workbook is read whole by one task, with no library."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [f.split()[0] for f in LEDGER.split(", ")]
+        kinds = [pa.string()] * 6 + [pa.float64()] * 6
+        for b in batches:
+            for file, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = list(ledger_rows(raw, file, skip))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, LEDGER)
+
+
 class LedgerWorkbooks(DataSource):
     """Ledgers in workbooks, ``spark.read.format("ledger_xlsx").option("skip", sheet).load(glob of local or mounted files)``; a task a file, no library needed."""
 
@@ -217,23 +275,35 @@ def ledger_rows(raw: bytes, file: str, skip: str):
             yield (file, sheet, r[0].strip(), (r[1] or "").strip() or sheet, (r[2] or "").strip() or "London", (r[3] or "").strip() or (years[0] if years else None), *map(_number, r[4:10]))
 
 
-def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """Rows of a query on a private copy of a bibliographic database, which may be in use."""
-    import os
-    import shutil
-    import sqlite3
-    import tempfile
+def sqlite_table(spark: SparkSession, path: str, query: str, schema: str, rows: int = 10_000) -> DataFrame:
+    """Rows of a query on a private copy of a bibliographic database, which may be in use. The task that holds the file runs the query and hands rows on as they come."""
 
-    with tempfile.TemporaryDirectory() as d:
-        copy = shutil.copy(path, os.path.join(d, "copy.sqlite"))
-        with sqlite3.connect(copy) as db:
-            return spark.createDataFrame(db.execute(query).fetchall(), schema)
+    def run(batches):
+        import os
+        import sqlite3
+        import tempfile
+
+        import pandas as pd
+
+        for b in batches:
+            for raw in b["content"]:
+                with tempfile.TemporaryDirectory() as d:  # the task's own, gone before it ends
+                    with open(os.path.join(d, "copy.sqlite"), "wb") as f:
+                        f.write(raw)
+                    db = sqlite3.connect(f.name)
+                    found = db.execute(query)
+                    names = [c[0] for c in found.description]
+                    while some := found.fetchmany(rows):
+                        yield pd.DataFrame(some, columns=names)
+                    db.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
 def recognised(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, text of a recogniser's JSON lines: the page's source file, made a key, names the document."""
     rows = spark.read.schema("text string, metadata struct<`Source-File`: string>").json(path)
-    return rows.select(F.regexp_replace(file_stem(F.col("metadata.`Source-File`")), r"[^\w\-.]", "_").alias("doc_id"), "text").filter(F.length(F.trim("text")) > 0)
+    return rows.select(F.regexp_replace(file_stem(F.col("metadata.`Source-File`")), r"[^\w\-.]", "_").alias("doc_id"), "text").filter(F.col("text").rlike(r"(?U)\S"))
 
 
 def config(text: str, **overrides) -> dict:
@@ -249,6 +319,12 @@ def config(text: str, **overrides) -> dict:
     return out | {k: v for k, v in overrides.items() if v is not None}
 
 
+def latest_file(spark: SparkSession, path: str) -> str:
+    """The file under a path that was changed last (of several, the last by name); its content isn't read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    return files.agg(F.max(F.struct("modificationTime", "path"))["path"]).first()[0]
+
+
 def latest_run(runs: DataFrame, column: str = "run") -> DataFrame:
     """The rows of the last run by name: one partition is read."""
     last = runs.agg(F.max(column)).first()[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,75 @@ def merged_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     once = nodes.dropDuplicates(["id"])
     ids = once.select("id")
     return once, edges.join(ids, edges.source == ids.id, "left_semi").join(ids, F.col("target") == ids.id, "left_semi")
+
+
+def named(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """One small file under a name of its own, in any store: reports, and the sentinel that says a job is done."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def all_and_some(df: DataFrame, keep, csv_path: str, text_path: str, name: str, body: str) -> None:
+    """Every row as CSV, and as text only the rows that ``keep`` holds for."""
+    csv(df, csv_path)
+    group_texts(df.filter(keep), name, body, text_path)
+
+
+def copies(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """name, source, action of each file to copy: ``copy``; ``duplicate`` where an earlier one of the same run has the name; ``present`` where the destination has it. Nothing is copied: the plan is the dry run."""
+    from pyspark.sql.window import Window as W
+
+    n = F.row_number().over(W.partitionBy("name").orderBy("source"))
+    known = present.select("name").distinct().withColumn("_there", F.lit(True))
+    rows = wanted.withColumn("_n", n).join(known, "name", "left")
+    return rows.select("name", "source", F.when(F.col("_there"), "present").when(F.col("_n") > 1, "duplicate").otherwise("copy").alias("action"))
+
+
+def load_graph(nodes: DataFrame, edges: DataFrame, path: str, rows: int = 5000) -> None:
+    """Nodes merged by id into what the path holds and edges whose ends exist appended, in files of at most ``rows`` rows, each of them one transaction for a loader."""
+    spark = nodes.sparkSession
+    if there(spark, f"{path}/nodes"):
+        old = spark.read.parquet(f"{path}/nodes")
+        nodes = nodes.join(old.select("id"), "id", "left_anti")
+        known = old.select("id").unionByName(nodes.select("id"))
+    else:
+        known = nodes.select("id")
+    fresh, ids = nodes.dropDuplicates(["id"]), known.distinct()
+    kept = edges.join(ids, edges.source == ids.id, "left_semi").join(ids, F.col("target") == ids.id, "left_semi")
+    kept.write.mode("append").option("maxRecordsPerFile", rows).parquet(f"{path}/edges")
+    fresh.write.mode("append").option("maxRecordsPerFile", rows).parquet(f"{path}/nodes")
+
+
+def push(df: DataFrame, send, rows: int = 500) -> DataFrame:
+    """Rows handed to an injected ``send`` (a list of dicts to the number taken) by the tasks that hold them, ``rows`` at a time: batches and rows sent, and rows taken, per partition."""
+
+    def run(batches):
+        import pandas as pd
+
+        sent = taken = calls = 0
+        for b in batches:
+            records = b.to_dict("records")
+            for at in range(0, len(records), rows):
+                taken += send(records[at : at + rows])
+                sent, calls = sent + len(records[at : at + rows]), calls + 1
+        yield pd.DataFrame({"calls": [calls], "sent": [sent], "taken": [taken]})
+
+    return df.mapInPandas(run, "calls long, sent long, taken long")
+
+
+def latex_table(spark: SparkSession, rows: DataFrame, path: str, caption: str, most: int = 1000) -> None:
+    """A table of a report: at most ``most`` rows of a summary, in their order, as LaTeX."""
+    got = rows.limit(most).collect()
+    safe = lambda v: "--" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
+    lines = [r"\begin{table}", rf"\caption{{{safe(caption)}}}", r"\begin{tabular}{" + "l" * len(rows.columns) + "}", " & ".join(map(safe, rows.columns)) + r" \\ \hline"]
+    lines += [" & ".join(map(safe, r)) + r" \\" for r in got] + [r"\end{tabular}", r"\end{table}"]
+    named(spark, path, "\n".join(lines) + "\n")

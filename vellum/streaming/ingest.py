@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder all executors share: under ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """A folder all executors share, under ``spark.checkpoint.dir``. Where that is unset, one of this machine, but only if all of Spark runs on it."""
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix=f"vellum-{name}-")
+    if shared:
+        return f"{shared.rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: no folder is known that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix=f"vellum-{name}-")
 
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_trigger: int = 8, fmt: str = "parquet") -> DataFrame:
@@ -60,6 +64,44 @@ def process_once(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFr
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def watch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, done: Callable[[], bool], poll: float = 1.0) -> int:
+    """Hand new files to ``work`` as they come, looking every ``poll`` seconds, until ``done()`` (a sentinel is there, say) and nothing is left. The number of rows taken.
+
+    What came before the sentinel is always taken, since the queue is emptied once more after it was seen.
+    """
+    import time
+
+    taken = [0]
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        work(df, epoch)
+
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, int(poll * 1000))} milliseconds").start()
+    try:
+        while True:
+            last = done()
+            q.processAllAvailable()
+            if last:
+                break
+            time.sleep(poll)
+        taken[0] = sum(p["numInputRows"] for p in q.recentProgress)
+    finally:
+        q.stop()
+    return taken[0]
+
+
+def extracted(entities: Callable[[DataFrame], DataFrame], per_doc: str, aggregate: str, key: str = "doc_id") -> Callable[[DataFrame, int], None]:
+    """Work of a batch: its entities as lines in a folder per document and, again, all together. A batch that is run again writes its own folder anew."""
+
+    def work(df: DataFrame, epoch: int) -> None:
+        found = entities(df)
+        found.write.mode("overwrite").json(f"{aggregate}/epoch={epoch}")
+        lines = df.sparkSession.read.schema(found.schema).json(f"{aggregate}/epoch={epoch}")
+        lines.withColumn("_doc", F.col(key).cast("string")).repartition(1 if epoch < 0 else 4, "_doc").write.mode("overwrite").partitionBy("_doc").json(f"{per_doc}/epoch={epoch}")
+
+    return work
+
+
 def tumbling(stream: DataFrame, width: str, *by: str, late: str = "1 hour") -> DataFrame:
     """Counts and sums per window and key; windows close once the watermark has passed."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select(F.col("w.start").alias("start"), *by, "n", "v")

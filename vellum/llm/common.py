@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own, but only if all of Spark runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: no folder is known that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="vellum-")
@@ -31,7 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made() -> int:
+    """How many tables this driver has stored so far."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables stored since a count of ``made``, but for the one that ``keep`` reads: for when all that was built on them is stored."""
+    files = keep.inputFiles()
+    rest = [p for p in _made[since:] if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+    for path in _made[since:]:
+        if path not in rest:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made[since:] = rest
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:

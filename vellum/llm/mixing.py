@@ -10,9 +10,9 @@ all sizes; a target stops at ``most`` times its source's size and the excess goe
 weight, until none is above. A target of k whole sizes and a rest takes every document k times, and
 those under the threshold of the rest once more.
 
-Defined results: a null text has size 0; a null source is a source of its own; rows alike in id and
-text share a hash, so they are in or out together; an empty table gives no rows; extra columns go
-through. Built from DataFrame functions alone.
+Defined results: a null text has size 0; a text of any length is counted whole; a null source is a source of
+its own; rows alike in id and text share a hash, so such ties are in or out together, and the mix can miss a
+target by the size of one block of them; an empty table gives no rows; extra columns go through. Built from DataFrame functions alone.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ run-length-encoded stripes. ``read_tokens`` reads stripes in parallel and adds e
 sum of the earlier files' ids, taken from one column of the files themselves.
 
 Defined results: a null text is empty; a document is its ids and the end id, so an empty one has one
-id; a null doc_id sorts first; repeated rows are kept, next to each other; an empty table gives no
-rows; extra columns are ignored.
+id; a text of any length is one row, encoded whole; a null doc_id sorts first, and ties go by a hash of the
+text; repeated rows are kept, next to each other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

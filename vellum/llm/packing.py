@@ -11,8 +11,9 @@ split the last, partly filled window is cut into sequences of power-of-two lengt
 padding; every other sequence is full.
 
 Defined results: a null text is empty; every document has its end id, so an empty one is one piece of
-one id; repeated rows are packed like any other; an empty table gives no rows; extra columns are
-ignored. Sequence ids are unique and stable: the split's number, shifted, plus a counter.
+one id; a text of any length is cut into as many pieces as it needs; among documents of one length, which
+are ties, the last to come is placed first; repeated rows are packed like any other; an empty table gives no
+rows; extra columns are ignored. Sequence ids are unique and stable: the split's number, shifted, plus a counter.
 """
 
 from __future__ import annotations

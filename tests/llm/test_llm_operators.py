@@ -579,6 +579,48 @@ def test_discriminant_separates():
     assert (s[:500] > 0.5).mean() > 0.97 and (s[500:] < 0.5).mean() > 0.97
 
 
+def test_quality_query_against_the_formula(spark):
+    """Scores by covariances, inverses and determinants written out, from the labels of the learning folds."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in common.table(spark, sf, "documents").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in common.table(spark, sf, "labels").collect() if r["quality"] is not None}
+    x = {i: np.array(quality_qda.statistics((t or "").encode())) for i, t in docs}
+    of = {k: np.array([x[i] for i, y in labels.items() if y == k and i in x and zlib.crc32(str(i).encode()) % 5]) for k in (0, 1)}
+    n = len(of[0]) + len(of[1])
+    scatter = {k: (v - v.mean(0)).T @ (v - v.mean(0)) for k, v in of.items()}
+    density = {}
+    for k, v in of.items():
+        cov = 0.9 * scatter[k] / len(v) + 0.1 * (scatter[0] + scatter[1]) / n
+        cov = 0.95 * cov + (0.05 + 1e-3) * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        inverse, (_, determinant) = np.linalg.inv(cov), np.linalg.slogdet(cov)
+        density[k] = lambda z, m=v.mean(0), inverse=inverse, determinant=determinant, share=len(v) / n: np.log(share) - 0.5 * ((z - m) @ inverse @ (z - m) + determinant)
+    got = quality_qda.quality_scores(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        z = np.clip(density[1](x[r["doc_id"]]) - density[0](x[r["doc_id"]]), -30, 30)
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_quality_of_the_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = common.table(spark, sf, "labels").select("doc_id", "quality")
+    rows = quality_qda.quality_scores(spark, sf).join(labels, "doc_id").filter("held_out").groupBy("quality", "predicted").count().collect()
+    n = {(r["quality"], r["predicted"]): r["count"] for r in rows}
+    assert n[0, 0] >= 0.95 * (n[0, 0] + n.get((0, 1), 0)) and n[1, 1] >= 0.98 * (n[1, 1] + n.get((1, 0), 0))
+
+
+def test_token_query_against_the_library(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    lib, at = tokens.load(), 0
+    left = [(i, [*lib.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in rows()]
+    for r in sorted(orc_tokens.token_files(spark, str(tmp_path)).collect(), key=lambda r: r["start"]):
+        same = [x for x in left if x[0] == r["doc_id"] and zlib.crc32(np.array(x[1], "<u4").tobytes()) == r["ids_crc32"]]
+        assert same and r["start"] == at and r["n_tokens"] == len(same[0][1])
+        left.remove(same[0])
+        at += r["n_tokens"]
+    assert not left
+
+
 def test_machine_learns_a_pair():
     """The label is the exclusive or of two terms: no weights of single terms express it."""
     rng = np.random.default_rng(0)

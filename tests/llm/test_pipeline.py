@@ -105,3 +105,29 @@ def test_pipeline_against_brute_force(spark):
             assert offset == at
             at += n
         assert at == 1024 or at & (at - 1) == 0
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and columns that bear names of ours, through the whole pipeline; and an empty table."""
+    import random
+
+    r = random.Random(1)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    one = text(80)
+    rows = [(1, one, "en", "s"), (1, one, "en", "s"), (2, one, "de", None), (3, text(60_000), None, "s"), (None, text(70), "en", "s"), (4, None, "en", "s"), (5, "", None, None), (None, None, None, None), (6, text(60) + " token=abcdef1234", "en", "t")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, key string, _row string, hits string, h string, copies string, uid string, kept string, _t string"
+    full = [(*x, None if x[1] is None else len(x[1]), *"abcdefgh") for x in rows]
+    for name, data in (("odd", full), ("none", [])):
+        spark.createDataFrame(data, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = common.table(spark, f"{tmp_path}/{name}", "documents")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+            docs = common.materialize(out, "odd")
+            if name == "odd" and stage in ("quality rules", "near-duplicates"):
+                ids = sorted((x["doc_id"] for x in docs.collect()), key=str)
+                assert ids == ([1, 1, 2, 3, 6, None] if stage == "quality rules" else [1, 3, 6, None])
+            if name == "odd" and stage == "secrets":
+                assert {x["text"][-9:] for x in docs.collect() if x["doc_id"] == 6} == {" [SECRET]"}
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(got) == (name == "odd") and (not got or {x["doc_id"] for x in got} >= {3})

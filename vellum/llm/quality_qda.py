@@ -7,7 +7,8 @@ The model keeps the inverse of each Cholesky factor, so a score is two triangula
 difference of the Gaussian log densities (Mahalanobis terms and log determinants) plus log priors,
 through a logistic.
 
-Defined results: a null text is empty and gets a score like any other; a document whose id has no
+Defined results: a null text is empty and gets a score like any other; a text of any length is read whole; equal
+texts, and so ties, have equal scores; a document whose id has no
 usable label teaches nothing; null labels are left out; repeated rows each count; with a class absent
 every score is the share of the other; an empty table gives no rows; extra columns are ignored.
 """

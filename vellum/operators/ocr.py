@@ -137,20 +137,24 @@ def name_score(a: Column, b: Column) -> Column:
     return F.when(F.startswith(a, b) | F.startswith(b, a), F.when(long > 0, short / long).otherwise(0.0)).when(short > 0, shared / short).otherwise(0.0)
 
 
-def match_names(names: DataFrame, gold: DataFrame, ext: str = ".xml", threshold: float = 0.6, prefix: int = 1) -> DataFrame:
+def match_names(names: DataFrame, gold: DataFrame, ext: str = ".xml", threshold: float = 0.6) -> DataFrame:
     """name, gold_name, score: the exact base name, else the best fuzzy match of at least ``threshold`` (first in gold order on ties).
 
-    A fuzzy match of any score over 0 shares its first character in any case, so candidates meet on
-    that (``prefix`` characters) instead of in a cross join.
+    Two names that reach the threshold share that part of the shorter one's beginning, in any case. So they meet
+    on the shorter one's length and that beginning: the shorter gives one row, the longer one for each length.
     """
     n = names.select("name", base_name(F.col("name")).alias("base"))
     g = gold.filter(F.col("gold_name").endswith(ext)).select("gold_name", F.replace("gold_name", F.lit(ext), F.lit("")).alias("gold_base"))
     exact = n.join(g, F.concat("base", F.lit(ext)) == F.col("gold_name"), "left")
     done = exact.filter("gold_name is not null").select("name", "gold_name", F.lit(1.0).alias("score"))
     open_ = exact.filter("gold_name is null").select("name", "base")
-    head = lambda c: F.lower(F.substring(c, 1, prefix))
-    scored = open_.join(g, head("base") == head("gold_base")).withColumn("score", name_score(F.col("base"), F.col("gold_base")))
-    best = scored.groupBy("name").agg(F.max_by(F.struct("gold_name", "score"), F.struct("score", F.expr("array_join(transform(split(gold_name, ''), x -> lpad(cast(1114111 - ascii(x) as string), 7, '0')), '')"))).alias("b")).filter(F.col("b.score") >= threshold)
+    head = lambda c, k: F.lower(F.substring(F.col(c), F.lit(1), F.ceil(threshold * k - 1e-9).cast("int")))
+    short = lambda df, c: df.filter(F.length(c) > 0).withColumn("_k", F.length(c)).withColumn("_head", head(c, F.col("_k")))
+    long = lambda df, c: df.filter(F.length(c) > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), F.length(c)))).withColumn("_head", head(c, F.col("_k")))
+    met = short(open_, "base").join(long(g, "gold_base"), ["_k", "_head"]).unionByName(long(open_, "base").filter("_k < length(base)").join(short(g, "gold_base"), ["_k", "_head"]))
+    scored = met.withColumn("score", name_score(F.col("base"), F.col("gold_base"))).filter(F.col("score") >= threshold)
+    order = F.struct((-F.col("score")).alias("worse"), "gold_name")
+    best = scored.groupBy("name").agg(F.min_by(F.struct("gold_name", "score"), order).alias("b"))
     fuzzy = open_.select("name").join(best, "name", "left").select("name", F.col("b.gold_name").alias("gold_name"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
     return done.unionByName(fuzzy)
 

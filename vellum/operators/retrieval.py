@@ -27,18 +27,27 @@ def sentence_chunks(docs: DataFrame) -> DataFrame:
     return chunk_rows(docs, udfs.sentence_chunks(F.col("text")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_bytes: int = 64 << 20) -> DataFrame:
     """query_id, vec_id, score, rank of the k nearest by cosine.
 
-    The query set is stated by the caller and goes to every task when it is small enough, checked by
-    counting; each task keeps its own k best per query before anything is shuffled.
+    The query set is stated by the caller. It goes to every task in blocks of at most ``block_bytes`` of
+    vectors, as a count finds them; each task keeps its own k best per query before anything is shuffled.
     """
     q = queries.select("query_id", F.col("embedding").alias("qv"))
-    if queries.count() <= most_queries:
-        q = F.broadcast(q)
-    scored = vectors.select("vec_id", "embedding").join(q, F.lit(True)).select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))  # Spark limits within each task first
-    return ranked.filter(F.col("rank") <= k)
+    size = q.agg((F.sum(F.size("qv")) * 8).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1  # half full, so that hashing can't overfill them by much
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+
+    def block(i: int) -> DataFrame:
+        some = F.broadcast(q if blocks == 1 else q.filter(own == i))
+        scored = vectors.select("vec_id", "embedding").join(some, F.lit(True)).select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))  # Spark limits within each task first
+        return ranked.filter(F.col("rank") <= k)
+
+    out = block(0)
+    for i in range(1, blocks):
+        out = out.unionByName(block(i))
+    return out
 
 
 def hybrid(vector_rows: DataFrame, graph_rows: DataFrame) -> DataFrame:

@@ -440,7 +440,7 @@ def frame_batches(batches):
                 continue
             try:
                 width, height, frames = decode(raw)
-                found = [(i, 10 * f.delay, width, height, f.pixels.tobytes(), *histogram([f]).tolist(), None) for i, f in enumerate(frames)]
+                found = ((i, 10 * f.delay, width, height, f.pixels.tobytes(), *histogram([f]).tolist(), None) for i, f in enumerate(frames))  # bytes made as they go out
             except ValueError as e:
                 found = [(None,) * 8 + (str(e),)]
             for row in found:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import chat, divergence, gif_media, mixing, near_dedup, orc_tokens, packing, quality_qda, quality_rules, secrets, toxicity_fm
+from vellum.llm import chat, divergence, gif_media, mixing, near_dedup, orc_tokens, packing, prefix_trie, quality_qda, quality_rules, secrets, toxicity_fm
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_toxicity_fm": toxicity_fm.toxicity_scores,
         "op10_nnls_packing": packing.packed_pieces,
         "op11_source_divergence": divergence.source_divergence,
+        "op12_prefix_trie": prefix_trie.conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Token ids, models, sketches and media have no SQL; tests hold them against brute force, round trips or held-out labels."""
-    return {"op1_chat_masks": chat.SQL, "op6_adaptive_rules": quality_rules.SQL, "op8_hash_threshold_mix": mixing.SQL, "op11_source_divergence": divergence.SQL}
+    return {"op1_chat_masks": chat.SQL, "op6_adaptive_rules": quality_rules.SQL, "op8_hash_threshold_mix": mixing.SQL, "op11_source_divergence": divergence.SQL, "op12_prefix_trie": prefix_trie.SQL}

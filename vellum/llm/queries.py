@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import chat, divergence, gif_media, mixing, near_dedup, orc_tokens, packing, prefix_trie, quality_qda, quality_rules, secrets, toxicity_fm
+from vellum.llm import chat, divergence, gif_media, mixing, near_dedup, orc_tokens, packing, prefix_trie, quality_qda, quality_rules, secrets, simhash, toxicity_fm
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_nnls_packing": packing.packed_pieces,
         "op11_source_divergence": divergence.source_divergence,
         "op12_prefix_trie": prefix_trie.conversation_trie,
+        "op13_simhash_trie": simhash.simhash_components,
     }
 
 

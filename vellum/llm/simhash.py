@@ -102,8 +102,8 @@ def cell_pairs(nodes: dict, budget: int = BITS) -> tuple[list, list]:
             own = down(a)
             todo += [(c, c, 0) for c in own] + ([(*own, 1)] if len(own) == 2 else [])
             continue
-        # the upper of two goes down; at equal depth both do
-        lefts, rights = (down(a) if a[0] <= b[0] else [a]), (down(b) if b[0] <= a[0] else [b])
+        # the upper of two goes down, at equal depth both do; where one is a cell, the other
+        lefts, rights = (down(a) if a[0] <= b[0] or b in place else [a]), (down(b) if b[0] <= a[0] or a in place else [b])
         for x in lefts:
             for y in rights:
                 d = min(x[0], y[0])

@@ -89,7 +89,7 @@ def cell_layout(fps: DataFrame, most: int = CELL, first: int = FIRST) -> dict:
 def cell_pairs(nodes: dict, budget: int = BITS) -> tuple[list, list]:
     """Cells (depth, prefix), and pairs of their places whose common bits differ in at most ``budget``: the trie's upper part joined with itself."""
     inner = {(d - 1, p >> 1) for d, p in nodes} - {(0, 0)}
-    cells = sorted(k for k in nodes if k not in inner)
+    cells = sorted((k for k in nodes if k not in inner), key=lambda k: k[1] << (64 - k[0]))  # in the order of fingerprints
     place = {k: i for i, k in enumerate(cells)}
     down = lambda k: [c for c in ((k[0] + 1, 2 * k[1]), (k[0] + 1, 2 * k[1] + 1)) if c in nodes] if k == (0, 0) or k in inner else [k]
     pairs, todo = [], [((0, 0), (0, 0), 0)]

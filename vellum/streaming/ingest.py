@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,17 +53,55 @@ def latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 
 def process_once(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Each key once, whatever is replayed: a batch is held against what the sink holds before it is processed."""
+    """Each key once, whatever is replayed or arrives again, and whatever another checkpoint has put into the sink.
+
+    Keys that were taken are keyed state, held by the checkpoint: a batch looks up its own keys there and never reads the
+    sink. The state of a new checkpoint begins with the keys that the sink holds. Each batch has a folder of its own in
+    the sink, written anew if the batch is run again. The first row of a key by its other columns is the one that stays.
+    """
+    import hashlib
+
     spark = stream.sparkSession
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    kind = stream.schema[key].dataType
+    known = spark.read.parquet(out).select(F.col(key).cast(kind).alias(key)) if there else spark.createDataFrame([], T.StructType([T.StructField(key, kind)]))
+    own = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def batch(df: DataFrame, epoch: int) -> None:
-        fresh = df.dropDuplicates([key])
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            fresh = fresh.join(spark.read.parquet(out).select(key), key, "left_anti")
-        work(fresh).write.mode("append").parquet(out)
+        work(df).write.mode("overwrite").parquet(f"{out}/batch={own}-{epoch}")
+
+    fresh = stream.groupBy(key).transformWithStateInPandas(_Once(), stream.schema, "Append", "None", known.distinct().groupBy(key))
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+
+
+class _Once(StatefulProcessor):
+    """The first row of a key that has no state yet."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "taken boolean")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
+        fresh = not self.seen.exists()
+        first = None
+        for some in rows:
+            if fresh:
+                some = some.sort_values(list(some.columns), kind="stable", key=lambda c: c.map(str)).head(1)
+                first = some if first is None else min(first, some, key=lambda r: [str(v) for v in r.iloc[0]])
+        if first is not None:
+            self.seen.update((True,))
+            yield first
+
+    def handleInitialState(self, key, initial, timers) -> None:  # noqa: N802
+        self.seen.update((True,))
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def close(self) -> None:
+        pass
 
 
 def watch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, done: Callable[[], bool], poll: float = 1.0) -> int:
@@ -71,10 +111,11 @@ def watch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     """
     import time
 
-    taken = [0]
+    taken: dict[int, int] = {}  # by batch: one that is run again counts once
 
     def batch(df: DataFrame, epoch: int) -> None:
         work(df, epoch)
+        taken[epoch] = df.count()
 
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, int(poll * 1000))} milliseconds").start()
     try:
@@ -84,10 +125,9 @@ def watch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
             if last:
                 break
             time.sleep(poll)
-        taken[0] = sum(p["numInputRows"] for p in q.recentProgress)
     finally:
         q.stop()
-    return taken[0]
+    return sum(taken.values())
 
 
 def extracted(entities: Callable[[DataFrame], DataFrame], per_doc: str, aggregate: str, key: str = "doc_id") -> Callable[[DataFrame, int], None]:
@@ -97,7 +137,7 @@ def extracted(entities: Callable[[DataFrame], DataFrame], per_doc: str, aggregat
         found = entities(df)
         found.write.mode("overwrite").json(f"{aggregate}/epoch={epoch}")
         lines = df.sparkSession.read.schema(found.schema).json(f"{aggregate}/epoch={epoch}")
-        lines.withColumn("_doc", F.col(key).cast("string")).repartition(1 if epoch < 0 else 4, "_doc").write.mode("overwrite").partitionBy("_doc").json(f"{per_doc}/epoch={epoch}")
+        lines.withColumn("_doc", F.col(key).cast("string")).repartition("_doc").write.mode("overwrite").partitionBy("_doc").json(f"{per_doc}/epoch={epoch}")
 
     return work
 

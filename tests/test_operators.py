@@ -191,7 +191,7 @@ def test_rounds_with_an_authority():
             return {"tool_calls": [{"function": {"name": "search_items", "arguments": '{"query": "x"}'}}, {"function": {"name": "other", "arguments": {}}}]}
         if len(talk) == 5:
             assert [m["content"] for m in talk[-2:]] == ['["Q1"]', "ERROR: no tool other"]
-            return {"content": "Q1, I think"}
+            return {"content": "the first one, I think"}
         assert talk[-1]["role"] == "user"
         return {"tool_calls": [{"function": {"name": "submit_result", "arguments": {"qid": "Q1", "label": "L", "confidence": 0.8}}}]}
 
@@ -201,8 +201,40 @@ def test_rounds_with_an_authority():
     assert agents.resolve("x", "PERSON", lambda talk: None, tools) == none
     calls = []
     assert agents.resolve("x", "PERSON", lambda talk: calls.append(1) or {"content": "hm"}, tools) == none and len(calls) == 4
-    empty = lambda talk: {"tool_calls": [{"function": {"name": "submit_result", "arguments": {"qid": "", "confidence": 0}}}]}
-    assert agents.resolve("x", "PERSON", empty, tools) == none
+    submit = lambda given: lambda talk: {"tool_calls": [{"function": {"name": "submit_result", "arguments": given}}]}
+    for given in ({"qid": "", "confidence": 0}, {"qid": "Q5", "label": "L", "confidence": 0}, {"qid": "Q5"}, "no json", {"qid": "Q5", "confidence": "high"}, [1]):
+        assert agents.resolve("x", "PERSON", submit(given), tools) == none
+    assert agents.resolve("x", "PERSON", submit({"qid": " Q5 ", "label": "L", "confidence": 3}), tools) == {"authority": "Q5", "label": "L", "confidence": 1.0, "linked": True}
+
+
+def test_replies_in_prose_are_read_before_the_reminder():
+    from vellum.operators import agents
+
+    ask = lambda content: agents.resolve("x", "PERSON", lambda talk: {"content": content}, {})
+    assert ask('{"qid": "Q7", "label": "Seven", "confidence": 0.4}') == {"authority": "Q7", "label": "Seven", "confidence": 0.4, "linked": True}
+    assert ask('{"qid": "", "confidence": 0.9}') == agents.NONE
+    assert ask("The best match is Q145 (United Kingdom).") == {"authority": "Q145", "label": "United Kingdom", "confidence": 0.7, "linked": True}
+    assert ask("It must be Q9, surely") == {"authority": "Q9", "label": None, "confidence": 0.7, "linked": True}
+    assert ask("SEQ12 says nothing") == agents.NONE and ask(None) == agents.NONE
+
+
+def test_link_remembers_what_was_not_found(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def resolver(norm, kind):
+        import os
+
+        os.makedirs(asked, exist_ok=True)
+        path = os.path.join(asked, norm)
+        with open(path, "a") as f:
+            f.write("x")
+        return None if norm == "nowhere" else f"Q{len(norm)}"
+
+    rows = spark.createDataFrame([("Nowhere", "TOPONYM"), ("Paris", "TOPONYM"), ("paris", "TOPONYM")], "text string, type string")
+    for _ in range(3):
+        got = ner.link_and_remember(rows, str(tmp_path / "cache"), resolver)
+        assert sorted((r["text"], r["authority"], r["linked"]) for r in got.collect()) == [("Nowhere", None, False), ("Paris", "Q5", True), ("paris", "Q5", True)]
+    assert {p.name: p.read_text() for p in (tmp_path / "asked").iterdir()} == {"nowhere": "x", "paris": "x"}
 
 
 def test_whole_summaries_against_the_kernels(spark):

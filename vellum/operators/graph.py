@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vellum import storage
 from vellum.functions import text as X
+from vellum.streaming.ingest import scratch
 
 
 def with_ids(mentions: DataFrame) -> DataFrame:
@@ -83,14 +85,23 @@ def top(df: DataFrame, measure: str, k: int, *then: str) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """id, hop: nodes that start.id reaches over undirected edges in at most so many steps."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct()
-    seen = start.select("id").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    """id, hop: nodes that start.id reaches over undirected edges in at most so many steps.
+
+    What a hop reaches is added to a stored table, so every hop's plan is as long as the first one's; it ends where
+    nothing new is reached. Edges are stored both ways once; a vertex with very many is split by the join.
+    """
+    spark = edges.sparkSession
+    both = storage.kept(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct(), "edges")
+    path, kind = scratch(spark, "reached"), start.schema["id"].dataType.simpleString()
+    reached = lambda: spark.read.schema(f"id {kind}, hop int").parquet(path)
+    start.select("id").distinct().withColumn("hop", F.lit(0)).write.parquet(path)
     for hop in range(1, hops + 1):
-        front = both.join(front, both.a == front.id, "left_semi").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
-    return seen
+        front = reached().filter(F.col("hop") == hop - 1).select(F.col("id").alias("a"))
+        found = storage.kept(both.join(front, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(reached().select("id"), "id", "left_anti"), "front")
+        if not found.limit(1).count():
+            break
+        found.withColumn("hop", F.lit(hop)).write.mode("append").parquet(path)
+    return reached()
 
 
 def full_text(nodes: DataFrame, needle: str, columns: tuple = ("name",)) -> DataFrame:

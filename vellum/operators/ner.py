@@ -87,6 +87,20 @@ def link(entities: DataFrame, cache: DataFrame, resolver: Callable | None = None
     return want.join(known, ["norm", "type"], "left").withColumn("linked", F.col("authority").isNotNull()).withColumn("crm_class", X.crm_class(F.col("type")))
 
 
+def link_and_remember(entities: DataFrame, path: str, resolver: Callable) -> DataFrame:
+    """``link`` with a cache that is kept at ``path``: what the resolver says of names not yet there, nothing included, is added before anything is linked, so no later run asks again."""
+    from vellum import storage
+    from vellum.sources import writers
+
+    spark = entities.sparkSession
+    schema = "norm string, type string, authority string"
+    known = spark.read.schema(schema).parquet(path) if writers.there(spark, path) else storage.empty(spark, schema)
+    names = entities.select("text", "type").distinct()
+    fresh = link(names, known, resolver).select("norm", "type", "authority").distinct().join(known.select("norm", "type"), ["norm", "type"], "left_anti")
+    storage.kept(fresh, "answers").write.mode("append").parquet(path)
+    return link(entities, spark.read.schema(schema).parquet(path))
+
+
 def masked_labels(ids, n_prompt, ignored: int = -100):
     """Labels of a training example: the prompt's are ignored, the answer's are its ids."""
     return F.transform(ids, lambda x, i: F.when(i < n_prompt, F.lit(ignored)).otherwise(x).cast("int"))

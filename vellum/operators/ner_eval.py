@@ -33,14 +33,30 @@ def set_scores(gold: DataFrame, pred: DataFrame, keys: list[str], by: list[str])
     return prf(counts(matched(gold, pred, keys), by))
 
 
+def hit_spans(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """spans (doc_id, label, start, end) with ``hit``: whether one of ``others`` in the same document under the same label overlaps.
+
+    A sweep: of those that start before a span's end, the one that reaches furthest must end behind its start. One sort
+    of each document and label, however many spans overlap.
+    """
+    sides = spans.select("doc_id", "label", F.col("end").alias("_at"), F.lit(0).alias("_side"), F.col("start").alias("start"), F.col("end").alias("end"), F.lit(None).cast("long").alias("_reach"))
+    rows = sides.unionByName(others.select("doc_id", "label", F.col("start").alias("_at"), F.lit(1).alias("_side"), "start", "end", F.col("end").cast("long").alias("_reach")))
+    before = W.partitionBy("doc_id", "label").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    hit = (F.max("_reach").over(before) > F.col("start")) & F.col("doc_id").isNotNull() & F.col("label").isNotNull()
+    return rows.withColumn("hit", F.coalesce(hit, F.lit(False))).filter("_side = 0").select("doc_id", "label", "start", "end", "hit")
+
+
 def span_scores(gold: DataFrame, pred: DataFrame, overlap: bool) -> DataFrame:
     """Legacy span scores per label: gold spans hit are true positives, predicted spans without a hit false ones; many to many."""
-    near = lambda a, b: (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.label") == F.col(f"{b}.label")) & ((F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end")) if overlap else (F.col(f"{a}.start") == F.col(f"{b}.start")) & (F.col(f"{a}.end") == F.col(f"{b}.end")))
-    g, p = gold.alias("g"), pred.alias("p")
-    hit = g.join(p, near("g", "p"), "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("tp"))
-    miss = g.join(p, near("g", "p"), "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("fn"))
-    wrong = p.join(g, near("p", "g"), "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("fp"))
-    return prf(hit.join(miss, "label", "full").join(wrong, "label", "full").fillna(0, ["tp", "fp", "fn"]))
+    n = lambda c: F.count(F.when(c, 1))
+    if overlap:
+        marked = [hit_spans(a, b) for a, b in ((gold, pred), (pred, gold))]
+    else:
+        keys = ["doc_id", "label", "start", "end"]
+        marked = [a.select(*keys).join(b.select(*keys).distinct().withColumn("hit", F.lit(True)), keys, "left").fillna(False, ["hit"]) for a, b in ((gold, pred), (pred, gold))]
+    of_gold = marked[0].groupBy("label").agg(n(F.col("hit")).alias("tp"), n(~F.col("hit")).alias("fn"))
+    of_pred = marked[1].groupBy("label").agg(n(~F.col("hit")).alias("fp"))
+    return prf(of_gold.join(of_pred, "label", "full").fillna(0, ["tp", "fp", "fn"]))
 
 
 def alignment(gold: DataFrame, pred: DataFrame) -> DataFrame:

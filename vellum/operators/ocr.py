@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vellum import storage
 from vellum.functions import text as X
 from vellum.functions import udfs
+from vellum.operators import quantiles
 
 
 def rate(distance: Column, length: Column) -> Column:
@@ -66,11 +69,32 @@ def hallucinated_tokens(pairs: DataFrame, lexicon: DataFrame, keys: list[str]) -
     return out.withColumn("rate", F.col("made_up") / F.col("n_words"))
 
 
-def summary(pages: DataFrame, by: list[str], measures: list[str], totals: list[str] = ()) -> DataFrame:
+#: Rows up to which a group's values may meet in one task for a median; beyond, histograms are refined. Both are exact.
+AT_ONCE = 5_000_000
+
+
+def _with_medians(pages: DataFrame, by: list[str], at_once: int, names: dict[str, Column], rest: Callable[[DataFrame, dict], DataFrame]) -> DataFrame:
+    """``rest`` of pages, given a column for each median: an aggregate where the table is small, else null, and the refined ones put in its place."""
+    if pages.limit(at_once + 1).count() <= at_once:
+        return rest(pages, {n: F.percentile(c, 0.5) for n, c in names.items()})
+    pages = storage.kept(pages, "pages")
+    out = rest(pages, {n: F.max(F.lit(None).cast("double")) for n in names})
+    found = quantiles.medians(pages, by, names)
+    keys = F.lit(True)
+    for c in by:
+        keys = keys & out[c].eqNullSafe(found[c])
+    medians = {n: F.round(found[n], 6).alias(n) for n in names}
+    return out.join(found, keys, "left").select(*(medians.get(c, out[c]) for c in out.columns))
+
+
+def summary(pages: DataFrame, by: list[str], measures: list[str], totals: list[str] = (), at_once: int = AT_ONCE) -> DataFrame:
     """Mean, interpolated median, population deviation, least and most of each measure; sums of the totals."""
-    stats = [f.alias(f"{n}_{m}") for m in measures for n, f in (("mean", F.avg(m)), ("median", F.percentile(m, 0.5)), ("std", F.stddev_pop(m)), ("min", F.min(m)), ("max", F.max(m)))]
-    stats = [F.round(s, 6).alias(n) for s, n in zip(stats, (f"{n}_{m}" for m in measures for n in ("mean", "median", "std", "min", "max")), strict=True)]
-    return pages.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *stats, *(F.sum(t).alias(f"total_{t}") for t in totals))
+
+    def rest(pages: DataFrame, medians: dict) -> DataFrame:
+        stats = {f"{n}_{m}": f for m in measures for n, f in (("mean", F.avg(m)), ("median", medians[f"median_{m}"]), ("std", F.stddev_pop(m)), ("min", F.min(m)), ("max", F.max(m)))}
+        return pages.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.round(s, 6).alias(n) for n, s in stats.items()), *(F.sum(t).alias(f"total_{t}") for t in totals))
+
+    return _with_medians(pages, by, at_once, {f"median_{m}": F.col(m) for m in measures}, rest)
 
 
 MEASURES = ["cer", "wer", "bleu", "hallucination"]
@@ -83,10 +107,16 @@ def scored_pages(pairs: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataF
     return with_metrics(pairs).join(made, keys, "left").fillna(0, ["hallucination", "hallucinated_words", "hallucinated_types"])
 
 
-def full_summary(pages: DataFrame, by: list[str]) -> DataFrame:
+def full_summary(pages: DataFrame, by: list[str], at_once: int = AT_ONCE) -> DataFrame:
     """The whole table of a system: five statistics of four measures, mean accuracies, three statistics of three accuracies, 18 totals, shares of the kinds of error."""
+    middles = {f"median_{m}": F.col(m) for m in MEASURES} | {f"median_{a}_accuracy": F.col(f"{a}.accuracy") for a in ACCURACIES}
+    return _with_medians(pages, by, at_once, middles, lambda p, medians: _full(p, by, medians))
+
+
+def _full(pages: DataFrame, by: list[str], medians: dict) -> DataFrame:
     r = lambda c, name: F.round(c, 6).alias(name)
-    stat = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_pop, "min": F.min, "max": F.max}
+    middle = {str(F.col(m)): medians[f"median_{m}"] for m in MEASURES} | {str(F.col(f"{a}.accuracy")): medians[f"median_{a}_accuracy"] for a in ACCURACIES}
+    stat = {"mean": F.avg, "median": lambda c: middle[str(F.col(c))], "std": F.stddev_pop, "min": F.min, "max": F.max}
     out = [F.count(F.lit(1)).alias("n")] + [r(f(m), f"{n}_{m}") for m in MEASURES for n, f in stat.items()]
     out += [r(1 - F.avg("cer"), "mean_char_accuracy"), r(1 - F.avg("wer"), "mean_word_accuracy")]
     out += [r(stat[n](f"{a}.accuracy"), f"{n}_{a}_accuracy") for a in ACCURACIES for n in ("mean", "median", "std")]
@@ -101,11 +131,15 @@ def full_summary(pages: DataFrame, by: list[str]) -> DataFrame:
     return pages.groupBy(*by).agg(*out).withColumns(kinds)
 
 
-def age_summary(pages: DataFrame, system: str = "system", year: str = "year") -> DataFrame:
+def age_summary(pages: DataFrame, system: str = "system", year: str = "year", at_once: int = AT_ONCE) -> DataFrame:
     """Mean, median and deviation of the four measures by system and 25 years; pages without a year are out."""
-    stat = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_pop}
     dated = pages.withColumn("age_group", X.age_group(F.col(year))).filter("age_group is not null")
-    return dated.groupBy(system, "age_group").agg(F.count(F.lit(1)).alias("n"), *(F.round(f(m), 6).alias(f"{n}_{m}") for m in MEASURES for n, f in stat.items()))
+
+    def rest(dated: DataFrame, medians: dict) -> DataFrame:
+        stats = {f"{n}_{m}": f for m in MEASURES for n, f in (("mean", F.avg(m)), ("median", medians[f"median_{m}"]), ("std", F.stddev_pop(m)))}
+        return dated.groupBy(system, "age_group").agg(F.count(F.lit(1)).alias("n"), *(F.round(s, 6).alias(n) for n, s in stats.items()))
+
+    return _with_medians(dated, [system, "age_group"], at_once, {f"median_{m}": F.col(m) for m in MEASURES}, rest)
 
 
 def extremes(pages: DataFrame, by: str, measure: str, key: list[str], k: int) -> DataFrame:
@@ -115,6 +149,13 @@ def extremes(pages: DataFrame, by: str, measure: str, key: list[str], k: int) ->
     return ranked.filter((F.col("best") <= k) | (F.col("worst") <= k))
 
 
+def best_and_worst(pages: DataFrame, doc: str, system: str, measure: str) -> DataFrame:
+    """doc, best, best_rate, worst, worst_rate, systems: of the systems' means of a measure (low is good) in each document; ties (to nine places) by name."""
+    per = pages.groupBy(doc, system).agg(F.avg(measure).alias("rate")).withColumn("near", F.round("rate", 9))
+    pick = per.groupBy(doc).agg(F.min(F.struct("near", system, "rate")).alias("b"), F.min(F.struct((-F.col("near")).alias("near"), system, "rate")).alias("w"), F.count(F.lit(1)).alias("systems"))
+    return pick.select(doc, F.col(f"b.{system}").alias("best"), F.col("b.rate").alias("best_rate"), F.col(f"w.{system}").alias("worst"), F.col("w.rate").alias("worst_rate"), "systems")
+
+
 def word_budget(docs: DataFrame, by: list[str], order: list[str], words: str, budget: int) -> DataFrame:
     """Documents in order until the words before them reach the budget; the one that crosses it is in."""
     before = F.coalesce(F.sum(words).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

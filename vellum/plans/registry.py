@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package, each with QUERIES and ORACLE.
-MODULES = ["ledger", "pages", "entities", "graphs", "extras", "streams", "files", "chains", "indexes"]
+MODULES = ["ledger", "pages", "entities", "graphs", "extras", "streams", "files", "chains", "indexes", "scale"]
 
 
 def _merged(what: str) -> dict:

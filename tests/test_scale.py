@@ -211,3 +211,71 @@ def test_hops_have_one_plan_each(spark):
     got = graph.within_hops(edges, spark.createDataFrame([(0,)], "id long"), 40)
     assert {r["id"]: r["hop"] for r in got.collect()} == {0: 0, 100: 1} | {i: i for i in range(1, 13)}
     assert len(got._jdf.queryExecution().executedPlan().toString().splitlines()) < 8
+
+
+def _database(path, n):
+    import sqlite3
+
+    db = sqlite3.connect(path)
+    db.execute("create table items (id integer primary key, title text, price real)")
+    db.executemany("insert into items values (?, ?, ?)", [(10 * i, None if i % 5 == 0 else f"t{i % 3}", i / 2) for i in range(n)])
+    db.execute("create table bare (id integer)")
+    db.commit()
+    db.close()
+
+
+def test_filters_leave_row_ranges_unread(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNull
+
+    from vellum.sources import datasources
+
+    path = str(tmp_path / "b.sqlite")
+    _database(path, 1000)
+    source = datasources.SqliteTable({"path": path, "table": "items", "rows": "100"})
+    reader = source.reader(source.schema())
+    assert len(reader.partitions()) == 10
+    assert [type(f) for f in reader.pushFilters([GreaterThanOrEqual(("id",), 9500), IsNull(("title",)), EqualTo(("title",), "t1")])] == [IsNull]
+    (only,) = reader.partitions()
+    assert only.low >= 9500 and {r[1] for r in reader.read(only)} == {"t1"}
+    datasources.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("sqlite_table").option("table", "items").option("rows", 100).load(path)
+        assert df.count() == 1000 and df.rdd.getNumPartitions() == 10
+        few = df.filter("id >= 9500 and title = 't1' and price * 2 > 955")
+        assert few.rdd.getNumPartitions() == 1
+        assert sorted(r["id"] for r in few.collect()) == [10 * i for i in range(956, 1000) if i % 3 == 1 and i % 5]
+        assert df.filter("title is null").count() == 200 and df.filter("id in (10, 20, 11)").count() == 2
+        assert spark.read.format("sqlite_table").option("table", "bare").load(path).count() == 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_headings_without_a_file_name_come_off(spark):
+    from vellum.sources import readers
+
+    assert readers.one_line_text("# A heading  the body, whole") == "the body, whole"
+    assert readers.one_line_text("# x_page_2 the body") == "the body"
+    assert readers.one_line_text("# only a heading") == "# only a heading"
+    assert readers.one_line_text("# h\nbody") == "body"
+
+
+def test_uris_turn_with_their_relation(spark):
+    rel = spark.createDataFrame([("A", "PERSON", "B", "PERSON", "b", "has_owner", "u1", "u2"), ("A", "PERSON", "B", "PERSON", "a", "has_owner", "u1", "u2")], "entity_a string, type_a string, entity_b string, type_b string, subject string, relation string, uri_a string, uri_b string")
+    nodes = spark.createDataFrame([("person__a",), ("person__b",)], "id string")
+    assert sorted((r["source"], r["source_uri"], r["target"], r["target_uri"]) for r in graph.typed_edges(rel, nodes).collect()) == [("person__a", "u1", "person__b", "u2"), ("person__b", "u2", "person__a", "u1")]
+
+
+def test_a_task_that_runs_again_sends_the_same_tokens(spark, tmp_path):
+    folder = tmp_path / "sent"
+    folder.mkdir()
+
+    def send(records, token):
+        (folder / token).write_text(",".join(str(r["id"]) for r in records))  # a token known already is written over: nothing is taken twice
+        return len(records)
+
+    df = spark.range(1000).repartition(3).withColumn("x", F.rand())
+    for _ in range(2):
+        got = writers.push(df, send, 64, key="id").agg(F.sum("sent"), F.sum("taken")).first()
+        assert tuple(got) == (1000, 1000)
+    assert sorted(int(i) for p in folder.iterdir() for i in p.read_text().split(",")) == list(range(1000))

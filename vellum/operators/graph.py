@@ -66,12 +66,15 @@ def trade_edges(ledger: DataFrame) -> DataFrame:
 def typed_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relations (entity_a, type_a, entity_b, type_b, subject, relation) as edges whose ends are both nodes.
 
-    The subject, in any case, says the direction; one that is neither entity is taken for the second.
+    The subject, in any case, says the direction; one that is neither entity is taken for the second. Where relations
+    carry uri_a and uri_b, the edges carry source_uri and target_uri, turned the same way.
     """
     a, b = X.entity_id(F.col("entity_a"), F.col("type_a")), X.entity_id(F.col("entity_b"), F.col("type_b"))
     forward = F.lower(F.trim("subject")) == F.lower(F.trim("entity_a"))
     rel = relations.withColumn("relation", X.relation_of(F.col("relation"))).filter("relation is not null")
-    edges = rel.select(F.when(forward, a).otherwise(b).alias("source"), F.when(forward, b).otherwise(a).alias("target"), F.col("relation").alias("type"), X.relation_tier(F.col("relation")).alias("tier"), X.relation_property(F.col("relation")).alias("property"))
+    turned = lambda x, y: F.when(forward, x).otherwise(y)
+    uris = [turned(F.col(x), F.col(y)).alias(n) for x, y, n in (("uri_a", "uri_b", "source_uri"), ("uri_b", "uri_a", "target_uri"))] if {"uri_a", "uri_b"} <= set(relations.columns) else []
+    edges = rel.select(*uris, F.when(forward, a).otherwise(b).alias("source"), F.when(forward, b).otherwise(a).alias("target"), F.col("relation").alias("type"), X.relation_tier(F.col("relation")).alias("tier"), X.relation_property(F.col("relation")).alias("property"))
     known = nodes.select("id")
     return edges.join(known, edges.source == known.id, "left_semi").join(known, F.col("target") == known.id, "left_semi")
 

@@ -81,13 +81,13 @@ def _search(query: str) -> str:
 
 
 _LINKS = _IDS + """, names AS (SELECT DISTINCT lower(trim(text)) AS norm, type FROM mentions)
-SELECT norm, type, CASE WHEN len(norm) IN (3, 4) OR len(norm) % 5 = 0 THEN NULL ELSE 'Q' || len(norm) END AS authority FROM names WHERE type = 'ORGANIZATION'"""
+SELECT norm, type, CASE WHEN len(norm) IN (3, 4) OR len(norm) % 5 = 0 THEN NULL ELSE 'Q' || len(norm) END AS authority FROM names"""
 
 
 @query("authority_rounds", f"WITH {_LINKS}")
 def _(spark, d):
     """Every distinct name once through the rounds of searching and submitting."""
-    m = mentions(spark, d).filter("type = 'ORGANIZATION'")
+    m = mentions(spark, d)
     known = spark.createDataFrame([], "norm string, type string, authority string")
     return ner.link(m, known, agents.resolver(_chat, {"search_items": _search})).select("norm", "type", "authority").distinct()
 
@@ -101,7 +101,7 @@ def _(spark, d):
     return library.with_metadata(c.select("doc_id"), known)
 
 
-_VECTORS = f"vector AS (SELECT query_id AS id, CAST(vec_id AS VARCHAR) AS found FROM ({_TOP}) WHERE query_id % 200 = 0), graph_ AS (SELECT CAST(n_nationkey * 100 AS BIGINT) AS id, n_name AS found FROM nation)"
+_VECTORS = f"vector AS (SELECT query_id AS id, CAST(vec_id AS VARCHAR) AS found FROM ({_TOP})), graph_ AS (SELECT CAST(n_nationkey * 100 AS BIGINT) AS id, n_name AS found FROM nation)"
 _MODES = f"""WITH {_VECTORS} SELECT 'graph' AS mode, id, found, 'graph' AS source FROM graph_ UNION ALL SELECT 'vector', id, found, 'vector' FROM vector UNION ALL SELECT 'vector', id, found, 'graph' FROM graph_ WHERE id NOT IN (SELECT id FROM vector)
 UNION ALL SELECT 'hybrid', id, found, 'vector' FROM vector UNION ALL SELECT 'hybrid', id, found, 'graph' FROM graph_"""
 
@@ -109,7 +109,7 @@ UNION ALL SELECT 'hybrid', id, found, 'vector' FROM vector UNION ALL SELECT 'hyb
 @query("retrieval_dispatch", _MODES)
 def _(spark, d):
     """One question by each mode; without vectors the graph answers."""
-    vector = _nearest(spark, d).filter("query_id % 200 = 0").select(F.col("query_id").alias("id"), F.col("vec_id").cast("string").alias("found"))
+    vector = _nearest(spark, d).select(F.col("query_id").alias("id"), F.col("vec_id").cast("string").alias("found"))
     rows = table(spark, d, "nation").select((F.col("n_nationkey") * 100).cast("long").alias("id"), F.col("n_name").alias("found"))
     parts = [retrieval.dispatched(m, rows, vector).withColumn("mode", F.lit(m)) for m in ("graph", "vector", "hybrid")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

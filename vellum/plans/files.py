@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from vellum import storage
 from vellum.functions import text as X
 from vellum.plans.views import Registry, table
 from vellum.sources import readers, writers
@@ -197,13 +198,20 @@ def _(spark, d):
     return readers.latest_run(spark.read.parquet(out).withColumn("run", F.col("run").cast("string"))).select("event_id")
 
 
-@query("read_config", "SELECT * FROM (VALUES ('model', 'other'), ('size', '4'), ('types', '[\"A\", \"B\"]')) AS t(key, value)")
+@query("read_config", "SELECT c_custkey AS id, k AS key, CASE k WHEN 'name' THEN replace(c_name, '#', '-') WHEN 'segment' THEN 'override' ELSE '[' || c_nationkey || ', ' || c_custkey || ']' END AS value FROM customer, (VALUES ('name'), ('segment'), ('keys')) AS t(k)")
 def _(spark, d):
-    """Keys and values of a file of settings, of which named ones win."""
-    out = ingest.scratch(spark, "config") + "/settings"
-    writers.named(spark, out, "# a note\nmodel: 'small'  # which\nsize: 4\ntypes: [\"A\", \"B\"]\n")
-    found = readers.config(spark.read.text(out, wholetext=True).first()[0], model="other", missing=None)
-    return spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in found.items()], "key string, value string")
+    """Keys and values of a settings text of each customer, of which named ones win."""
+    k = F.concat_ws(", ", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
+    texts = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("# a note\nname: '"), F.replace("c_name", F.lit("#"), F.lit("-")), F.lit("'  # who\nsegment: "), "c_mktsegment", F.lit("\nkeys: ["), k, F.lit("]\n")).alias("text"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(i, key, v if isinstance(v, str) else json.dumps(v)) for i, t in zip(b["id"], b["text"], strict=True) for key, v in readers.config(t, segment="override", missing=None).items()]
+            yield pd.DataFrame(rows, columns=["id", "key", "value"])
+
+    return texts.mapInPandas(run, "id long, key string, value string")
 
 
 @query("write_csv", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, printf('%.2f', p_retailprice) AS p_retailprice, printf('%.6f', p_size / 7) AS share FROM part")
@@ -297,4 +305,28 @@ def _(spark, d):
     return writers.copies(wanted.drop("k"), wanted.filter("k % 4 = 0").select("name"))
 
 
+@query("read_sqlite_ranges", "SELECT o_orderkey AS id, o_orderpriority AS title, o_totalprice AS price FROM orders WHERE o_orderkey >= 100 AND o_orderpriority <> '5-LOW'")
+def _(spark, d):
+    """Orders from four databases, each written by a task: a range of row ids is a task's, and the least id goes to the database."""
+    from vellum.sources import datasources
+
+    folder = ingest.scratch(spark, "sqlite-ranges")
+    writers.named(spark, f"{folder}/about", "four parts\n")  # makes the folder
+    keyed = table(spark, d, "orders").select(F.pmod(F.col("o_orderkey"), F.lit(4)).cast("int").alias("part"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
+    written = keyed.groupBy("part").applyInPandas(datasources.sqlite_file(folder, "items", "id integer primary key, title text, price real"), "part int, n long")
+    written.write.parquet(f"{folder}-written")
+    datasources.register(spark)
+    key, before = "spark.sql.python.filterPushdown.enabled", spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set(key, "true")
+    try:
+        names = [r["part"] for r in spark.read.parquet(f"{folder}-written").collect()]  # four at most
+        parts = [spark.read.format("sqlite_table").option("table", "items").option("rows", 2000).load(f"{folder}/part-{k}.sqlite") for k in sorted(names)]
+        rows = storage.empty(spark, "id long, title string, price double")
+        for p in parts:
+            rows = rows.unionByName(p.filter("id >= 100 and title <> '5-LOW'"))
+        return storage.kept(rows, "sqlite-rows")
+    finally:
+        spark.conf.set(key, before)
+
+
 QUERIES, ORACLE = query.queries, query.oracle

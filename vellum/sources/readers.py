@@ -65,9 +65,11 @@ def markdown_text(md: str, strip_headers: bool = False, front_matter: bool = Fal
 
 
 def one_line_text(md: str) -> str:
-    """Text of a file whose heading was run into its first line: behind ``_page_N`` or a file name, before a layout block."""
+    """Text of a file whose heading was run into its first line: behind ``_page_N`` or a file name, before a layout block; of one line that begins with a heading and has neither, behind the heading's first two blanks."""
     body = md.split(" { ")[0]
-    body = "\n".join(x for x in body.split("\n") if not x.startswith("#"))
+    if body.startswith("#") and "\n" not in body and not re.search(r"_page_\d+\s+.|\.md\s+.", body):
+        return re.sub(r"\A#[^#]*?\s{2,}", "", body).strip()
+    body = body if body.startswith("#") and "\n" not in body else "\n".join(x for x in body.split("\n") if not x.startswith("#"))
     for pattern in (r"_page_\d+\s+(.+)", r"\.md\s+(.+)"):
         if found := re.search(pattern, body, re.S):
             return found[1].strip()

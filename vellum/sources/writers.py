@@ -92,21 +92,37 @@ def load_graph(nodes: DataFrame, edges: DataFrame, path: str, rows: int = 5000)
     fresh.write.mode("append").option("maxRecordsPerFile", rows).parquet(f"{path}/nodes")
 
 
-def push(df: DataFrame, send, rows: int = 500) -> DataFrame:
-    """Rows handed to an injected ``send`` (a list of dicts to the number taken) by the tasks that hold them, ``rows`` at a time: batches and rows sent, and rows taken, per partition."""
+def push(df: DataFrame, send, rows: int = 500, key: str | None = None) -> DataFrame:
+    """Rows handed to an injected ``send`` (a list of dicts to the number taken) by the tasks that hold them, ``rows`` at a time: batches and rows sent, and rows taken, per partition.
+
+    With a ``key``, ``send`` also gets a token of the batch. Rows are dealt and sorted by key, so a task that runs again
+    makes the same batches with the same tokens, and a receiver that remembers tokens takes none twice.
+    """
 
     def run(batches):
+        import hashlib
+
         import pandas as pd
 
         sent = taken = calls = 0
+        held: list = []
+
+        def out(some: list) -> int:
+            token = hashlib.sha256("\x1f".join(str(r[key]) for r in some).encode()).hexdigest() if key else ""
+            return send(some, token) if key else send(some)
+
         for b in batches:
-            records = b.to_dict("records")
-            for at in range(0, len(records), rows):
-                taken += send(records[at : at + rows])
-                sent, calls = sent + len(records[at : at + rows]), calls + 1
+            held += b.to_dict("records")
+            while len(held) >= rows:
+                taken += out(held[:rows])
+                sent, calls, held = sent + rows, calls + 1, held[rows:]
+        if held:
+            taken += out(held)
+            sent, calls = sent + len(held), calls + 1
         yield pd.DataFrame({"calls": [calls], "sent": [sent], "taken": [taken]})
 
-    return df.mapInPandas(run, "calls long, sent long, taken long")
+    dealt = df.repartition(key).sortWithinPartitions(key, F.to_json(F.struct(*df.columns))) if key else df
+    return dealt.mapInPandas(run, "calls long, sent long, taken long")
 
 
 def latex_table(spark: SparkSession, rows: DataFrame, path: str, caption: str, most: int = 1000) -> None:

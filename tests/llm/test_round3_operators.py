@@ -203,3 +203,38 @@ def test_near_places(dense):
 
 def test_simhash_empty(spark):
     assert simhash.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_toxicity_scores_by_definition(spark, tmp_path):
+    """The query against a fit of the same rows and a sum over all pairs of terms, absent ones too, term by term."""
+    from vellum.llm import toxicity_fm
+
+    r = random.Random(12)
+    calm, rude, group = ["Walk", "tea", "house", "river", "window"], ["trashy", "awful"], ["northern", "folk"]
+    texts = [" ".join(r.choices(calm, k=r.randint(0, 12)) + (r.choices(rude, k=1) if i % 3 == 0 else []) + (r.choices(group, k=1) if i % 2 == 0 else [])) for i in range(90)]
+    texts += [None, "", "trashy, (Northern) trashy", "unseen words only", "tie", "tie", "folk " * 30_000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 7, int(i % 6 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {x["doc_id"]: x for x in toxicity_fm.toxicity_scores(spark, str(tmp_path)).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    machine = toxicity_fm.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")).filter((F.crc32(F.col("doc_id").cast("string")) % 4) != 2))
+    live = np.flatnonzero(machine.p)
+    assert len(live) > 5 and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        counts: collections.Counter = collections.Counter()
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            bare = word.lower().strip(".,;:!?\"'()[]{}#*$%&|<>_-")
+            counts[zlib.crc32(bare.encode()) % 2**18] += 1
+            if len(bare) > 4:
+                counts[zlib.crc32(b"^" + bare[:4].encode()) % 2**18] += 1
+        x = {t: n * machine.scale[t] for t, n in counts.items()}
+        size = np.sqrt(max(sum(v * v for v in x.values()), 1e-12))
+        z = machine.bias + sum(machine.w[t] * v for t, v in x.items()) / size
+        c = {t: (t in counts) - machine.p[t] for t in live.tolist()}
+        pairs = sum(c[a] * c[b] * float(machine.v[a] @ machine.v[b]) for k, a in enumerate(c) for b in list(c)[:k])
+        z += pairs / np.sqrt(max(sum(t in c for t in counts), 1))
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["held_out"] == (fold(i) == 2) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    assert got[94]["score"] == got[95]["score"]

@@ -94,3 +94,27 @@ def documents(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("from_location", "year", "commodity").agg(F.round(F.sum("quantity"), 2).alias("q"))
     line = F.concat("commodity", F.lit(": "), F.col("q").cast("long").cast("string"), F.lit(" units"))
     return per.groupBy("from_location", "year").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("commodity", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+
+
+_SOME = lambda c: F.col(c).isNotNull() & (F.col(c) != 0)
+_WHOLE = lambda c: F.when(F.col(c) < 0, F.ceil(c)).otherwise(F.floor(c)).cast("string")
+
+
+def quantities() -> Column:
+    """What a ledger row (hh, ton, quarter, lb) shipped: hogsheads, tons, quarters and pounds, those there are, cut to whole numbers but for tons."""
+    parts = [F.when(_SOME("hh"), F.concat(_WHOLE("hh"), F.lit(" hogsheads"))), F.when(_SOME("ton"), F.format_string("%.2f tons", F.bround(F.col("ton").cast("double"), 2))), F.when(_SOME("quarter"), F.concat(_WHOLE("quarter"), F.lit(" quarters"))), F.when(_SOME("lb"), F.concat(_WHOLE("lb"), F.lit(" lb")))]
+    said = F.concat_ws(", ", *parts)
+    return F.when(said == "", "quantity unspecified").otherwise(said)
+
+
+def quantity_line() -> Column:
+    """A row as a list item: commodity, quantities, total pounds and weight in tons where known."""
+    pounds = F.when(_SOME("total_pounds"), F.concat(F.lit(" ("), _WHOLE("total_pounds"), F.lit(" total pounds)")))
+    weight = F.when(_SOME("weight_tons"), F.format_string(" [%.3f weight tons]", F.bround(F.col("weight_tons").cast("double"), 3)))
+    return F.concat(F.lit("- **"), "commodity", F.lit("**: "), quantities(), F.coalesce(pounds, F.lit("")), F.coalesce(weight, F.lit("")))
+
+
+def export_sentence() -> Column:
+    """One sentence by the first measure that says something: hogsheads, weight over 0.01 tons, pounds; null where none does."""
+    measure = F.when(_SOME("hh"), F.concat(_WHOLE("hh"), F.lit(" hogsheads"))).when(F.col("weight_tons") > 0.01, F.format_string("%.2f weight tons", F.bround(F.col("weight_tons").cast("double"), 2))).when(F.col("total_pounds") > 0, F.concat(_WHOLE("total_pounds"), F.lit(" pounds")))
+    return F.concat(F.lit("In "), F.col("year").cast("string"), F.lit(", "), "from_location", F.lit(" exported "), measure, F.lit(" of "), "commodity", F.lit(" to "), "to_location", F.lit("."))

@@ -66,6 +66,27 @@ def chat_example(messages) -> tuple:
     return text, F.from_json(F.element_at(say("assistant"), -1)["content"], "array<struct<text:string,type:string>>")
 
 
+#: What a positive says around a name, by type.
+SAID = {"PERSON": "{} set out for the coast that season.", "ORGANIZATION": "A dividend was declared by {} in that year.", "COMMODITY": "The ship brought home a cargo of {}.", "TOPONYM": "They sailed at last to {}."}
+
+
+def hard_examples(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc_id, type, kind, text, texts: examples made by rule from whole documents and their entities (doc_id, ord, text, type).
+
+    A negative of a type is a document that holds names, but none of that type: its answer is empty, though there is
+    plenty to mistake. A positive is a sentence said of a document's name, one for each distinct name and type: its answer
+    is the name.
+    """
+    held = entities.select("doc_id", "type").distinct()
+    kinds = F.explode(F.array(*(F.lit(t) for t in SAID))).alias("type")
+    bare = held.select("doc_id").distinct().select("doc_id", kinds).join(held, ["doc_id", "type"], "left_anti")
+    negatives = bare.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "type", F.lit("negative").alias("kind"), "text", F.array().cast("array<string>").alias("texts"))
+    template = F.element_at(F.create_map(*(F.lit(x) for pair in SAID.items() for x in pair)), F.col("type"))
+    names = entities.filter(F.col("type").isin(*SAID)).select("doc_id", "type", F.trim("text").alias("name")).distinct()
+    positives = names.select("doc_id", "type", F.lit("positive").alias("kind"), F.replace(template, F.lit("{}"), F.col("name")).alias("text"), F.array("name").alias("texts"))
+    return negatives.unionByName(positives)
+
+
 def split_of(key, seed: int = 42):
     """train, valid or test by hash: 90, 5 and 5 in a hundred, the same on every run."""
     bucket = F.pmod(F.crc32(F.concat(key.cast("string"), F.lit(f":{seed}"))), F.lit(100))

@@ -89,6 +89,14 @@ def reuse(surfaced: DataFrame, by: str) -> DataFrame:
     return out.withColumn("reuse_pct", F.round(100 * (F.col("surfaced") - F.col("unique_chunks")) / F.col("surfaced"), 4)).withColumn("chunks_per_doc", F.round(F.col("unique_chunks") / F.col("unique_docs"), 4))
 
 
+def coverage(surfaced: DataFrame, corpus: DataFrame, by: str) -> DataFrame:
+    """Documents (doc_id) of the corpus that each system surfaced, and their share of it in per cent."""
+    known = corpus.select("doc_id").distinct()
+    total = known.agg(F.count(F.lit(1)).alias("_all"))
+    n = surfaced.select(by, "doc_id").distinct().join(known, "doc_id").groupBy(by).agg(F.count(F.lit(1)).alias("docs"))
+    return n.join(F.broadcast(total)).withColumn("coverage_pct", F.round(100 * F.col("docs") / F.col("_all"), 2)).drop("_all")  # one row
+
+
 def embed(chunks: DataFrame, model, batch: int = 64) -> DataFrame:
     """chunks with ``embedding``: an injected model (texts to vectors) called with so many texts at once, its vectors brought to length 1. Empty texts are left out."""
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators import graph, ner_eval, ocr, quantiles
-from vellum.plans.views import PAGES, SIDES, Registry, gold, mentions, pages, predicted, table
+from vellum.operators import graph, ledger, ner, ner_eval, ocr, quantiles, retrieval
+from vellum.plans.views import MENTIONS, PAGES, SIDES, Registry, gold, mentions, pages, predicted, table
 from vellum.sources import versions
 from vellum.streaming import ingest
 
@@ -73,4 +73,41 @@ def _(spark, d):
     return graph.within_hops(edges, spark.createDataFrame([("p1",)], "id string"), 3)
 
 
+_SHIPPED = """rows AS (SELECT l_orderkey AS id, l_linenumber AS line, 'good_' || l_partkey % 7 AS commodity, 'port_' || l_suppkey % 5 AS from_location, 'London' AS to_location, 1700 + l_orderkey % 50 AS year,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_quantity ELSE 0 END AS hh, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / 4 END AS ton, CASE WHEN l_linenumber % 5 = 0 THEN l_quantity END AS quarter, CASE WHEN l_linenumber % 7 = 1 THEN l_extendedprice END AS lb,
+  CASE WHEN l_linenumber % 4 <> 0 THEN l_extendedprice END AS total_pounds, CASE WHEN l_linenumber % 4 = 1 THEN l_quantity / 8 END AS weight_tons FROM lineitem)"""
+
+
+@query("ledger_sentences", f"""WITH {_SHIPPED}, said AS (SELECT *, concat_ws(', ', CASE WHEN hh <> 0 THEN CAST(trunc(hh) AS BIGINT) || ' hogsheads' END, CASE WHEN ton <> 0 THEN printf('%.2f tons', ton) END, CASE WHEN quarter <> 0 THEN CAST(trunc(quarter) AS BIGINT) || ' quarters' END, CASE WHEN lb <> 0 THEN CAST(trunc(lb) AS BIGINT) || ' lb' END) AS q FROM rows)
+SELECT id, line, '- **' || commodity || '**: ' || CASE WHEN q = '' THEN 'quantity unspecified' ELSE q END || CASE WHEN total_pounds <> 0 THEN ' (' || CAST(trunc(total_pounds) AS BIGINT) || ' total pounds)' ELSE '' END || CASE WHEN weight_tons <> 0 THEN printf(' [%.3f weight tons]', weight_tons) ELSE '' END AS item,
+  'In ' || year || ', ' || from_location || ' exported ' || CASE WHEN hh <> 0 THEN CAST(trunc(hh) AS BIGINT) || ' hogsheads' WHEN weight_tons > 0.01 THEN printf('%.2f weight tons', weight_tons) WHEN total_pounds > 0 THEN CAST(trunc(total_pounds) AS BIGINT) || ' pounds' END || ' of ' || commodity || ' to ' || to_location || '.' AS sentence FROM said""")
+def _(spark, d):
+    """Every shipment as a list item and as a sentence."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), n.alias("line"), F.concat(F.lit("good_"), (F.col("l_partkey") % 7).cast("string")).alias("commodity"), F.concat(F.lit("port_"), (F.col("l_suppkey") % 5).cast("string")).alias("from_location"), F.lit("London").alias("to_location"), (1700 + F.col("l_orderkey") % 50).alias("year"),
+        F.when(n % 3 == 0, q).otherwise(0).alias("hh"), F.when(n % 2 == 0, q / 4).alias("ton"), F.when(n % 5 == 0, q).alias("quarter"), F.when(n % 7 == 1, F.col("l_extendedprice")).alias("lb"), F.when(n % 4 != 0, F.col("l_extendedprice")).alias("total_pounds"), F.when(n % 4 == 1, q / 8).alias("weight_tons"),
+    )
+    return rows.select("id", "line", ledger.quantity_line().alias("item"), ledger.export_sentence().alias("sentence"))
+
+
+@query("retrieval_coverage", "SELECT event_type AS system, CAST(count(DISTINCT user_id) AS BIGINT) AS docs, round(100 * count(DISTINCT user_id) / (SELECT count(DISTINCT c_custkey) FROM customer), 2) AS coverage_pct FROM events SEMI JOIN customer ON c_custkey = user_id GROUP BY event_type")
+def _(spark, d):
+    """Share of the corpus that each system surfaced."""
+    surfaced = table(spark, d, "events").select(F.col("event_type").alias("system"), F.col("user_id").alias("doc_id"))
+    return retrieval.coverage(surfaced, table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id")), "system")
+
+
+_SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ner.SAID.items())
+
+
+@query("hard_examples", f"""WITH {MENTIONS}, kinds AS (SELECT unnest({list(ner.SAID)!r}) AS type), held AS (SELECT DISTINCT doc_id, type FROM mentions)
+SELECT d.doc_id, k.type, 'negative' AS kind, CAST(len(d.text) AS BIGINT) AS chars, '' AS answer FROM documents d JOIN (SELECT DISTINCT doc_id FROM held) USING (doc_id), kinds k WHERE (d.doc_id, k.type) NOT IN (SELECT (doc_id, type) FROM held)
+UNION ALL SELECT doc_id, type, 'positive', CAST(len(replace(CASE type {_SAID} END, '{{}}', text)) AS BIGINT), text FROM (SELECT DISTINCT doc_id, type, text FROM mentions)""")
+def _(spark, d):
+    """Hard negatives and positives of every document by type: how long each is, and its answer."""
+    made = ner.hard_examples(table(spark, d, "documents"), mentions(spark, d))
+    return made.select("doc_id", "type", "kind", F.length("text").cast("long").alias("chars"), F.array_join("texts", ",").alias("answer"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

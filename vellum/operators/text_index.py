@@ -27,11 +27,28 @@ def folder(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(FOLDERS)).cast("int")
 
 
+def _inverted(batches):
+    """(id, field, words) to (id, field, length, word, positions) of each distinct word of a text."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            b, places, lengths, found = whole.slice(at, 64), [], [], []
+            for i, ws in enumerate(b.column(2).to_pylist()):
+                own: dict = {}
+                for k, w in enumerate(ws):
+                    own.setdefault(w, []).append(k)
+                places += [i] * len(own)
+                lengths += [len(ws)] * len(own)
+                found += own.items()
+            rows = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(lengths, pa.int32()), pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.list_(pa.int32()))], names=["id", "field", "length", "word", "positions"])
+
+
 def build(nodes: DataFrame, path: str, columns: tuple = COLUMNS) -> None:
     """nodes: id and the columns. A null column has no words."""
     texts = nodes.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), words(F.col(c)).alias("ws")) for c in columns))).alias("x")).select("id", "x.field", "x.ws")
-    each = texts.select("id", "field", F.size("ws").alias("length"), F.posexplode("ws").alias("pos", "word"))
-    postings = each.groupBy("field", "word", "id", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one text: as long as it is
+    postings = texts.mapInArrow(_inverted, f"id {dict(nodes.dtypes)['id']}, field string, length int, word string, positions array<int>")  # text by text: nothing is shuffled before
     postings = postings.withColumn("folder", folder(F.col("word")))
     spread = F.pmod(F.xxhash64("id"), F.lit(4))  # a word in every text is four tasks' work
     postings.repartition("folder", spread).sortWithinPartitions("folder", "word", "id").write.partitionBy("folder").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")

@@ -26,6 +26,32 @@ def test_similar_names_lose_none(spark):
     assert {(r["a"], r["b"]) for r in got} == want and len(want) > 40 and len(got) == len(want)
 
 
+def test_best_partners_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "BLOCK", 5)
+    r = random.Random(4)
+    stems = ["".join(r.choice("abcde") for _ in range(r.randint(6, 12))) for _ in range(12)]
+    names = {s + "".join(r.choice("abcde") for _ in range(r.randint(0, 3))): r.randint(1, 4) for s in stems for _ in range(9)} | {"": 1, "É" * 3000: 2, "é" * 3001 + "a": 1, "\U0001f600 x": 1}
+    grams = lambda s: collections.Counter(m[i : i + 3] for m in [f"^{s.lower()}$"] for i in range(max(len(m) - 2, 1)))
+    g = {n: grams(n) for n in names}
+    sq = {n: sum(c * c for c in g[n].values()) for n in names}
+    dot = lambda a, b: sum(c * g[b][k] for k, c in g[a].items())
+    want = {}
+    for a, n in names.items():
+        near = [(-dot(a, b) ** 2 / sq[b], -m, b) for b, m in names.items() if dot(a, b) ** 2 * 100 >= 49 * sq[a] * sq[b] and (-m, b) < (-n, a)]
+        want[a] = min(near)[2] if near else a
+
+    def root(a):
+        return a if want[a] == a else root(want[a])
+
+    rows = [("k", a, n) for a, n in names.items()] + [("k", None, 3), (None, "x", 1)]
+    df = spark.createDataFrame(rows, "kind string, name string, n long")
+    got = {x["name"]: x["root"] for x in temporal.merged(df, (7, 10)).filter("kind is not null and name is not null").collect()}
+    assert got == {a: root(a) for a in names} and len(set(got.values())) < len(names) / 2 and got["é" * 3001 + "a"] == "É" * 3000
+    pairs = [(x["a"], x["b"]) for x in temporal.similar(df.select("kind", "name"), (7, 10)).collect()]
+    assert sorted(pairs) == sorted((a, b) for a in names for b in names if a < b and dot(a, b) ** 2 * 100 >= 49 * sq[a] * sq[b])
+    assert temporal.merged(df.limit(0), (7, 10)).count() == 0
+
+
 def test_planted_duplicates_merge_and_intervals_join(spark):
     day = lambda n: datetime.date(1700, 1, 1) + datetime.timedelta(n)
     rows = [("Wellington", "P", "trades with", "Liverpool", "T", day(0), day(4)), ("Wellingtons", "P", "trade with", "Liverpool", "T", day(5), day(9)), ("Wellington", "P", "trades with", "Liverpool", "T", day(20), None), ("Wellington", "P", "trades with", "Liverpool", "T", day(30), day(31)), ("Oslo", "P", "trades with", "Wellington", "P", day(11), day(12)), ("Wellington", "T", "trades with", "Wellingtons", "T", day(1), day(1)), ("Wellington", "P", "trades with", "Liverpool", "T", day(15), day(13))]

@@ -109,6 +109,12 @@ def test_close_pairs(spark):
     assert graph.evidence(pairs, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["evidence"] == text
 
 
+def test_close_pairs_over_two_stretches(spark):
+    rows = [(1, "Zoe", "P", 496, 499), (1, "Adam", "P", 998, 1003), (2, "Zoe" * 700, "P", 10, 2110), (2, "Adam", "P", 2600, 2604), (3, "Zoe", "P", 499, 502), (3, "Adam", "P", 1002, 1006)]
+    m = spark.createDataFrame(rows, "doc_id long, text string, type string, start int, end int")
+    assert sorted((r["doc_id"], r["distance"]) for r in graph.close_pairs(m).collect()) == [(1, 499), (2, 490)]
+
+
 def test_any_measure(spark):
     rows = spark.createDataFrame([(1, None, 5.0), (2, 1.0, None)], "i int, ton double, quarter double")
     assert [r["i"] for r in ledger.any_measure(rows, ["ton"]).collect()] == [2]

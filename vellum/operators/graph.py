@@ -118,13 +118,14 @@ def full_text(nodes: DataFrame, needle: str, columns: tuple = ("name",)) -> Data
 def close_pairs(mentions: DataFrame, window: int = 500, most: int = 20) -> DataFrame:
     """The closest occurrence of each pair of names in a document whose gap is below the window; the closest pairs of each document.
 
-    A band join: mentions meet when they fall into the same or the next stretch of ``window``
-    characters beyond the longest name, so far-apart mentions never pair.
+    A band join over stretches of ``window`` characters: one side stands in each stretch that it touches, the other
+    in each that lies within the window before or behind it. So every pair below the window shares a stretch, however
+    long its names are, and far-apart mentions never pair; one that shares several counts once, by its minimum.
     """
     m = mentions.select("doc_id", "text", "type", "start", "end", F.lower("text").alias("key"))
-    # gap < window means that one starts before the other's end plus the window
+    # gap < window means that each starts before the other's end plus the window
     step = F.lit(window)
-    x = m.withColumn("cell", F.floor(F.col("end") / step))
+    x = m.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor(F.col("end") / step))))
     y = m.withColumn("cell", F.explode(F.sequence(F.floor((F.greatest(F.col("start") - window, F.lit(0))) / step), F.floor(F.col("end") / step) + 1)))
     x, y = x.alias("x"), y.alias("y")
     gap = F.greatest(F.lit(0), F.greatest("x.start", "y.start") - F.least("x.end", "y.end"))

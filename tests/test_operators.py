@@ -115,6 +115,13 @@ def test_close_pairs_over_two_stretches(spark):
     assert sorted((r["doc_id"], r["distance"]) for r in graph.close_pairs(m).collect()) == [(1, 499), (2, 490)]
 
 
+def test_relevance_is_rounded_as_in_sql(spark):
+    scores = [0.1235, 0.0625, 0.1875, 0.0005, 0.9995, -0.0625, -0.0001, 1.0, 0.6, 0.8145, 0.2675]
+    rows = spark.createDataFrame([(i, i, x) for i, x in enumerate(scores)], "rank int, doc_id long, score double")
+    got = [r["line"] for r in retrieval.context_lines(rows).orderBy("rank").collect()]
+    assert got == [f"[{i}] (doc: {i}, relevance: {x:.3f})" for i, x in enumerate(scores)]
+
+
 def test_any_measure(spark):
     rows = spark.createDataFrame([(1, None, 5.0), (2, 1.0, None)], "i int, ton double, quarter double")
     assert [r["i"] for r in ledger.any_measure(rows, ["ton"]).collect()] == [2]

@@ -55,6 +55,12 @@ def entity_text(text: pd.Series) -> pd.Series:
     return text.map(kernels.entity_text, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def three_places(number: pd.Series) -> pd.Series:
+    """Rounded from the exact binary number; Java's formats round its shortest digits."""
+    return number.map("{:.3f}".format, na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_chunks(text: pd.Series) -> pd.Series:
     return text.map(kernels.sentence_chunks, na_action="ignore")

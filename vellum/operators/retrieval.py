@@ -56,8 +56,8 @@ def hybrid(vector_rows: DataFrame, graph_rows: DataFrame) -> DataFrame:
 
 
 def context_lines(rows: DataFrame) -> DataFrame:
-    """``[i] (doc: d, relevance: r)`` in rank order."""
-    return rows.withColumn("line", F.format_string("[%d] (doc: %s, relevance: %.3f)", "rank", F.col("doc_id").cast("string"), "score"))
+    """``[i] (doc: d, relevance: r)`` in rank order; r is rounded from the number itself, ties to even, as C and SQL do, not from its shortest digits."""
+    return rows.withColumn("line", F.format_string("[%d] (doc: %s, relevance: %s)", "rank", F.col("doc_id").cast("string"), udfs.three_places(F.col("score").cast("double"))))
 
 
 def diverse(rows: DataFrame, k: int) -> DataFrame:

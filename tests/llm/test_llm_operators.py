@@ -468,6 +468,30 @@ def test_frequencies_are_low_by_one_a_chunk_at_most(monkeypatch):
     assert total == 128 and counts.pop(shingle) == 64 and all(9 - 7 <= n <= 10 for n in counts.values())
 
 
+def test_frequencies_are_exact_however_rows_are_dealt(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"u{i} v{i} w{i} x{i} y{i}" for i in range(3000)]
+    for i in (0, 1, 2999):
+        texts[i] = "a b c d e"
+    for i in range(100, 1400):
+        texts[i] = f"k l m n o{i % 325}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = {int(near_dedup.Words().shingles(t.encode())[0][0]): n for t, n in [("a b c d e", 3)] + [(f"k l m n o{i}", 4) for i in range(325)]}
+    for rare, chunk, dealt in ((1e-3, 2000, docs), (1e-3, 100, docs.repartition(7)), (2e-3, 2000, docs)):
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+        found, idf = near_dedup.shingle_weights(dealt, rare)
+        want = {h: n for h, n in hashes.items() if n >= rare * 3000}
+        assert set(found.tolist()) == set(want) and np.allclose(idf, [1 + np.log1p(3000 / want[h]) / np.log1p(1 / rare) for h in found.tolist()])
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 50)
+    one = sorted(docs.toArrow().column("text").to_pylist())
+    slack = [b.to_pylist() for b in near_dedup.count_shingles(iter([pa.RecordBatch.from_arrays([pa.array(one)], names=["text"])]), 0.5, 500_000)]
+    low = {}
+    for r in [r for b in slack for r in b if r["h"] is not None]:
+        low[r["h"]] = low.get(r["h"], 0) + r["n"]
+    assert slack[-1][0]["n"] == 3000 and 0 < slack[-1][0]["slack"] <= 750 and all(n <= 4 for n in low.values())
+
+
 def test_cells_hold_every_pair_of_two_labels(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     labels = [0] * 30 + [1] * 5 + [2, 3, 4]

@@ -4,10 +4,10 @@
 2. Weights: a shingle of five words weighs its count in the text times its inverse document frequency,
    1 + ln(1 + N / df) / ln(1 + 1 / rare), from one for shingles of every document to two for rare ones. The
    range is narrow on purpose: the passages of a large group of near copies are frequent for being copied, and
-   an undamped IDF would tear such groups apart. Document frequencies are counted over all rows by lossy
-   counting: each task counts some 2,000 rows at a time and leaves out what only one of them holds, so a count
-   is low by at most one per 2,000 rows (or per 4 million shingles, if that is fewer rows). Shingles in fewer
-   than ``rare`` of the rows share the weight of that edge. At most ``MOST`` shingles are sent to the tasks,
+   an undamped IDF would tear such groups apart. Document frequencies are exact: a first pass over all rows names
+   whatever may reach the edge (each task counts some 4 million shingles at a time and leaves out what too few rows
+   hold for that), a second one counts what was named; so they don't depend on how rows are dealt. Shingles in
+   fewer than ``rare`` of the rows share the weight of that edge. At most ``MOST`` shingles are sent to the tasks,
    whatever the corpus: as df sums to the number of shingles of all rows, the edge is set where no more can pass.
 3. Sketch: for sample k, the element that minimises ln c - r (t - b) - r, with t = floor(ln w / r + b),
    r and c gamma, b uniform, all functions of element and k (Ioffe 2010). Two texts agree in a sample
@@ -48,7 +48,7 @@ HALF = BANDS * ROWS // 2
 LEAST = 0.8
 #: Shingles whose frequency is sent to all tasks, 12 bytes each.
 MOST = 500_000
-#: Rows and shingles that a task counts at a time.
+#: Half the rows that a task reads at least to count shingles, and shingles that it counts at a time.
 CHUNK, CHUNK_SHINGLES = 2_000, 4_000_000
 #: Nodes and bytes of text of a block, about.
 BLOCK, BLOCK_BYTES = 512, 2 << 20
@@ -149,18 +149,24 @@ class Sampler:
         return code.view(np.int32)
 
 
-def count_shingles(batches):
-    """(hash, rows with the shingle) partial counts, and in one row without a hash the number of all shingles of all rows."""
+def count_shingles(batches, rare: float = RARE, most: int = MOST):
+    """(h, n) for what may be frequent, and in one row without a hash the number of all shingles of all rows and the slack.
+
+    Every ``CHUNK_SHINGLES`` shingles are counted at a time. A chunk leaves out what at most ``slack`` of its rows hold, a
+    quarter of its part of either edge of frequency; n is the count less the slack. So sum(n) plus all chunks' slack is no
+    less than a shingle's frequency, and the slack is at most half the edge, however rows are dealt and wherever chunks end.
+    """
     import numpy as np
     import pyarrow as pa
 
     tokens.release()
-    words, held, rows, size, total, closed = Words(), [], 0, 0, 0, False
+    words, held, rows, size, total, slacks = Words(), [], 0, 0, 0, 0
+    batch = lambda h, n, slack: pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(slack, pa.int64())], names=["h", "n", "slack"])
 
-    def out(least):
+    def out(slack):
         found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-        keep = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+        keep = n > slack
+        return batch(found[keep].view(np.int64), n[keep] - slack, np.zeros(keep.sum(), np.int64))
 
     for whole in batches:
         for b in tokens.slices(whole, 128):
@@ -170,26 +176,57 @@ def count_shingles(batches):
                     held.append(words.shingles(t)[0])
                     size += len(held[-1])
                     total += len(held[-1])
-                if rows >= CHUNK or size >= CHUNK_SHINGLES:
-                    yield out(2)
-                    held, rows, size, closed = [], 0, 0, True
+                if size >= CHUNK_SHINGLES:
+                    slack = int((rare * rows + size / most) / 4)
+                    yield out(slack)
+                    held, rows, size, slacks = [], 0, 0, slacks + slack
         common.give_back()
-    yield out(2 if closed or rows >= CHUNK // 2 else 1)
+    slack = int((rare * rows + size / most) / 4)
+    yield out(slack)
     del held
     common.give_back()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["h", "n"])
+    yield batch([None], [total], [slacks + slack])
+
+
+def count_known(sent):
+    """(h, n): how many rows hold each of the shingles sent."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        tokens.release()
+        words, known = Words(), sent.value
+        counts = np.zeros(len(known), np.int64)
+        for whole in batches:
+            for b in tokens.slices(whole, 128):
+                for t in b.column(0).cast(pa.binary()).to_pylist():
+                    if t and len(known):
+                        found = words.shingles(t)[0]
+                        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        counts[at[known[at] == found]] += 1  # a row's shingles are distinct
+            common.give_back()
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
+
+    return run
 
 
 def shingle_weights(docs: DataFrame, rare: float = RARE, most: int = MOST) -> tuple:
     """The frequent shingles' hashes, sorted, and inverse document frequencies: ``most`` at most, since frequencies sum to the number of shingles."""
     import numpy as np
 
-    n = docs.count()
+    spark, n = docs.sparkSession, docs.count()
     # small tables in many splits are read by few tasks, so that each sees enough rows to count
-    counted = docs.select("text").coalesce(max(1, n // (2 * CHUNK))).mapInArrow(count_shingles, "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
-    counted = common.materialize(counted.filter((F.col("df") >= rare * n) | F.col("h").isNull()), "frequent", rows=most)
-    total = counted.filter("h is null").agg(F.sum("df")).first()[0] or 0
-    got = counted.filter(F.col("h").isNotNull() & (F.col("df") >= total / most)).toArrow()  # at most ``most`` rows
+    texts = docs.select("text").coalesce(max(1, n // (2 * CHUNK)))
+    perhaps = texts.mapInArrow(lambda batches: count_shingles(batches, rare, most), "h long, n long, slack long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
+    perhaps = common.materialize(perhaps.filter((F.col("n") >= rare * n / 2) | F.col("h").isNull()), "perhaps", rows=most)
+    total, slack = perhaps.filter("h is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("slack"), F.lit(0))).first()
+    edge = max(rare * n, total / most)
+    known = perhaps.filter(F.col("h").isNotNull() & (F.col("n") >= edge - slack)).select("h").toArrow().column("h").to_numpy()  # 2 * ``most`` at most
+    sent = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))
+    counted = texts.mapInArrow(count_known(sent), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
+    got = common.materialize(counted.filter(F.col("df") >= edge), "frequent", rows=most).toArrow()  # at most ``most`` rows
     hashes = got.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], 1 + np.log1p(n / got.column("df").to_numpy()[order]) / math.log1p(1 / rare)

@@ -97,3 +97,18 @@ def test_occurrences():
 def test_diverse():
     v = np.array([[1, 0], [1, 0.01], [0, 1]])
     assert k.diverse(v, [1.0, 0.99, 0.5], 2) == [0, 2]
+
+
+def test_edits_of_one_kind_need_no_band():
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(2))
+        found = k.plain_edits(a, b)
+        if found:
+            assert found == k.plain_edits(list(a), list(b))
+            rows = k._banded(np.array(list(a)), np.array(list(b)), len(a) + len(b))
+            assert found[0] == rows[len(a), 2 * len(b)] == sum(found[1:])
+    text = "".join(r.choice("this men ") for _ in range(200_000))
+    assert k.edit_counts(text, text.replace("s", "f")) == (n := text.count("s"), 0, 0, n)
+    assert k.edit_counts(text, text.replace("th", "t")) == (n := text.count("th"), 0, n, 0)
+    assert k.edit_counts(text, text.replace("en", "een")) == (n := text.count("en"), n, 0, 0)

@@ -24,6 +24,13 @@ def edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.edit_counts(a, b) for a, b in zip(ref, hyp, strict=True)], columns=["distance", "insertions", "deletions", "substitutions"])
 
 
+@F.pandas_udf(T.LongType())
+def plain_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """The edit distance where one reading shows it, else null."""
+    found = [None if a is None or b is None else kernels.plain_edits(a, b) for a, b in zip(ref, hyp, strict=True)]
+    return pd.Series([f[0] if f else None for f in found], dtype="Int64")
+
+
 @F.pandas_udf(_COUNTS)
 def token_edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edits of token arrays."""

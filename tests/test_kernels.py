@@ -1,4 +1,6 @@
 import random
+import time
+from difflib import SequenceMatcher
 
 import numpy as np
 from hypothesis import given, settings
@@ -112,3 +114,16 @@ def test_edits_of_one_kind_need_no_band():
     assert k.edit_counts(text, text.replace("s", "f")) == (n := text.count("s"), 0, 0, n)
     assert k.edit_counts(text, text.replace("th", "t")) == (n := text.count("th"), 0, n, 0)
     assert k.edit_counts(text, text.replace("en", "een")) == (n := text.count("en"), n, 0, 0)
+
+
+def test_longest_blocks_are_those_of_difflib():
+    r = random.Random(4)
+    words = ["the", "then", "es", "oves", "een", "en", "stad", "mist"]
+    for n in range(60):
+        a = " ".join(r.choice(words) for _ in range(r.randrange(2, 120)))
+        b = [a.replace("s", "f"), a.replace("th", "t"), " ".join(r.choice(words) for _ in range(80)), a[50:] + a[:70]][n % 4]
+        assert k.longest_blocks(a, b, 8, 3).get_opcodes() == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    line = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(7)) for _ in range(12_000))
+    began = time.process_time()
+    assert k.error_taxonomy(line, line.replace("s", "f"))["long_s_to_f"] == line.count("s")
+    assert time.process_time() - began < 20

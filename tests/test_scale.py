@@ -305,3 +305,36 @@ def test_a_task_that_runs_again_sends_the_same_tokens(spark, tmp_path):
         got = writers.push(df, send, 64, key="id").agg(F.sum("sent"), F.sum("taken")).first()
         assert tuple(got) == (1000, 1000)
     assert sorted(int(i) for p in folder.iterdir() for i in p.read_text().split(",")) == list(range(1000))
+
+
+def test_cooccurrence_in_many_cells(spark):
+    r = random.Random(5)
+    names = [a + b for a in "AbcÉ" for b in "wxyz"]
+    rows = [(d, o, r.choice(names), r.choice(["PERSON", "TOPONYM", "COMMODITY"])) for d in range(40) for o in r.sample(range(500), r.randint(1, 14))]
+    m = spark.createDataFrame(rows, "doc_id long, ord long, text string, type string")
+    by: dict = {}
+    for x in sorted((x.doc_id, x.ord, x.id, x.type) for x in graph.with_ids(m).collect()):
+        by.setdefault(x[0], []).append(x[1:])
+    want: dict = {}
+    for d, xs in by.items():
+        for k, (_, a, s) in enumerate(xs):
+            for _, b, t in xs[k + 1 :]:
+                w = want.setdefault((min(a, b), max(a, b)), [0, f"{s}-{t}", []])
+                w[0] += 1
+                if d not in w[2] and len(w[2]) < 5:
+                    w[2].append(d)
+    want = {k: (w, t, "|".join(map(str, ds))) for k, (w, t, ds) in want.items()}
+    for small in ({"cell": 300, "at_once": 40}, {"cell": 2000, "at_once": 5}, {}):
+        got = graph.cooccurrence(m, **small).collect()
+        assert {(x["source"], x["target"]): (x["weight"], x["types"], x["docs"]) for x in got} == want and len(got) == len(want)
+    docs = {(x["source"], x["target"]): x["weight"] for x in graph.cooccurrence(m, distinct_docs=True, most=3, cell=300).collect()}
+    assert docs == {k: sum(k[0] != k[1] and {k[0], k[1]} <= (i := {x[1] for x in xs}) or k[0] == k[1] and [x[1] for x in xs].count(k[0]) > 1 for xs in by.values()) for k in want}
+    assert graph.cooccurrence(m.limit(0)).count() == 0
+
+
+def test_pairs_of_names_are_not_shuffled(spark):
+    m = spark.range(300).selectExpr("id div 100 as doc_id", "id as ord", "concat('N', id % 100) as text", "'PERSON' as type")
+    df = graph.cooccurrence(m)
+    assert df.count() == 4950
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -338,3 +338,22 @@ def test_pairs_of_names_are_not_shuffled(spark):
     assert df.count() == 4950
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_nearest_by_parts_with_ties_at_the_edge(spark, monkeypatch):
+    from vellum.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "ROWS", 7)
+    monkeypatch.setattr(retrieval, "PART", 3)
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, (120, 3)).astype(float)
+    x[~x.any(1)] = 1
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    q = v.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    score = np.round(x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))), 6)
+    want = [(i, int(j), n + 1) for i in range(0, 120, 10) for n, j in enumerate(np.lexsort((np.arange(120), -score[i]))[:5])]
+    for bytes_ in (64 << 20, 100):
+        df = retrieval.top_k(v, q, 5, block_bytes=bytes_)
+        assert sorted((g["query_id"], g["vec_id"], g["rank"]) for g in df.collect()) == sorted(want, key=lambda t: (t[0], t[1]))
+    assert "NestedLoop" not in retrieval.top_k(v, q)._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.top_k(v, q.limit(0)).count() == 0

@@ -27,27 +27,78 @@ def sentence_chunks(docs: DataFrame) -> DataFrame:
     return chunk_rows(docs, udfs.sentence_chunks(F.col("text")))
 
 
+#: Vectors and queries that are scored at a time.
+ROWS, PART = 2048, 1024
+
+
+def _nearest(sent, k: int):
+    """(vec_id, embedding) to each task's k best (query_id, vec_id, score) of every query of a block, ties at the edge by id."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, q = sent.value
+        size = np.sqrt((q * q).sum(1))
+        score, found = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+
+        def best(score, found):
+            if score.shape[1] <= k:
+                return score, found
+            edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            more = (score >= edge).sum(1)
+            some = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            for i in np.flatnonzero(more > k):  # ties at the edge: the least ids
+                at = np.flatnonzero(score[i] >= edge[i])
+                some[i] = at[np.lexsort((found[i, at], -score[i, at]))[:k]]
+            return np.take_along_axis(score, some, 1), np.take_along_axis(found, some, 1)
+
+        for whole in batches:
+            whole = whole.filter(pa.compute.is_valid(whole.column(1))) if whole.column(1).null_count else whole
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                norm, own, rows = (x * x).sum(1), b.column(0).to_numpy(), []
+                for i in range(0, len(ids), PART):
+                    part = slice(i, i + PART)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = np.round(q[part] @ x.T / np.sqrt((size[part] * size[part])[:, None] * norm), 6) + 0.0
+                    new = best(np.where(np.isnan(s), -np.inf, s), np.broadcast_to(own, s.shape))
+                    rows.append(best(np.hstack([score[part], new[0]]), np.hstack([found[part], new[1]])))
+                score, found = (np.vstack([r[c] for r in rows]) for c in (0, 1))
+        n = score.shape[1]
+        ok = np.isfinite(score).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok]), pa.array(found.ravel()[ok]), pa.array(score.ravel()[ok])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_bytes: int = 64 << 20) -> DataFrame:
     """query_id, vec_id, score, rank of the k nearest by cosine.
 
     The query set is stated by the caller. It goes to every task in blocks of at most ``block_bytes`` of
-    vectors, as a count finds them; each task keeps its own k best per query before anything is shuffled.
+    vectors, as a count finds them; a task scores them by matrix products and hands on its own k best per query.
     """
-    q = queries.select("query_id", F.col("embedding").alias("qv"))
-    size = q.agg((F.sum(F.size("qv")) * 8).alias("b")).first()["b"] or 0
+    import numpy as np
+
+    spark, q = queries.sparkSession, queries.filter("embedding is not null").select("query_id", "embedding")
+    size = q.agg((F.sum(F.size("embedding")) * 8).alias("b")).first()["b"] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1  # half full, so that hashing can't overfill them by much
-    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-
-    def block(i: int) -> DataFrame:
-        some = F.broadcast(q if blocks == 1 else q.filter(own == i))
-        scored = vectors.select("vec_id", "embedding").join(some, F.lit(True)).select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))  # Spark limits within each task first
-        return ranked.filter(F.col("rank") <= k)
-
-    out = block(0)
-    for i in range(1, blocks):
-        out = out.unionByName(block(i))
-    return out
+    own, out, rows = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), None, vectors.select("vec_id", "embedding")
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a small file is every core's work
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    for i in range(blocks):
+        got = (q if blocks == 1 else q.filter(own == i)).toArrow()  # one block of the stated queries
+        if not got.num_rows:
+            continue
+        ids = got.column("query_id").to_numpy()
+        x = got.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        near = rows.mapInArrow(_nearest(spark.sparkContext.broadcast((ids, x)), k), "query_id long, vec_id long, score double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def hybrid(vector_rows: DataFrame, graph_rows: DataFrame) -> DataFrame:

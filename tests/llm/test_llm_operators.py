@@ -492,6 +492,16 @@ def test_frequencies_are_exact_however_rows_are_dealt(spark, monkeypatch):
     assert slack[-1][0]["n"] == 3000 and 0 < slack[-1][0]["slack"] <= 750 and all(n <= 4 for n in low.values())
 
 
+def test_what_is_left_of_a_task_is_not_handed_on_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 8000)
+    for rows in (6000, 6300, 8100, 12500):
+        texts = [f"u{i} v{i} w{i} x{i} y{i}" for i in range(rows)]
+        out = list(near_dedup.count_shingles(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+        assert sum(b.num_rows for b in out) == 1 and out[-1].to_pylist()[0]["n"] == rows and 0 < out[-1].to_pylist()[0]["slack"] <= rows / 1000 / 4
+
+
 def test_cells_hold_every_pair_of_two_labels(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     labels = [0] * 30 + [1] * 5 + [2, 3, 4]

@@ -152,7 +152,7 @@ class Sampler:
 def count_shingles(batches, rare: float = RARE, most: int = MOST):
     """(h, n) for what may be frequent, and in one row without a hash the number of all shingles of all rows and the slack.
 
-    Every ``CHUNK_SHINGLES`` shingles are counted at a time. A chunk leaves out what at most ``slack`` of its rows hold, a
+    Some three quarters of ``CHUNK_SHINGLES`` shingles or more, where a task has as many, are counted at a time, and never twice that. A chunk leaves out what at most ``slack`` of its rows hold, a
     quarter of its part of either edge of frequency; n is the count less the slack. So sum(n) plus all chunks' slack is no
     less than a shingle's frequency, and the slack is at most half the edge, however rows are dealt and wherever chunks end.
     """
@@ -160,10 +160,11 @@ def count_shingles(batches, rare: float = RARE, most: int = MOST):
     import pyarrow as pa
 
     tokens.release()
-    words, held, rows, size, total, slacks = Words(), [], 0, 0, 0, 0
+    words, full, held, rows, size, total, slacks = Words(), None, [], 0, 0, 0, 0
     batch = lambda h, n, slack: pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(slack, pa.int64())], names=["h", "n", "slack"])
+    slack_of = lambda rows, size: int((rare * rows + size / most) / 4)
 
-    def out(slack):
+    def out(held, slack):
         found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         keep = n > slack
         return batch(found[keep].view(np.int64), n[keep] - slack, np.zeros(keep.sum(), np.int64))
@@ -176,14 +177,19 @@ def count_shingles(batches, rare: float = RARE, most: int = MOST):
                     held.append(words.shingles(t)[0])
                     size += len(held[-1])
                     total += len(held[-1])
-                if size >= CHUNK_SHINGLES:
-                    slack = int((rare * rows + size / most) / 4)
-                    yield out(slack)
-                    held, rows, size, slacks = [], 0, 0, slacks + slack
+                if size >= CHUNK_SHINGLES * 3 // 4:
+                    if full:
+                        slack = slack_of(*full[1:])
+                        yield out(full[0], slack)
+                        slacks += slack
+                    full, held, rows, size = (held, rows, size), [], 0, 0
         common.give_back()
-    slack = int((rare * rows + size / most) / 4)
-    yield out(slack)
-    del held
+    # what is left at the end is counted with the chunk before it: alone it would have no slack and leave out nothing
+    if full:
+        held, rows, size = full[0] + held, full[1] + rows, full[2] + size
+    slack = slack_of(rows, size)
+    yield out(held, slack)
+    del held, full
     common.give_back()
     yield batch([None], [total], [slacks + slack])
 

@@ -375,3 +375,20 @@ def test_names_match_as_if_all_pairs_were_scored(spark):
     alike = spark.range(400).select(F.format_string("customer%06d.md", "id").alias("name"))
     golds = spark.range(400, 800).select(F.format_string("customer%06d.xml", "id").alias("gold_name"))
     assert {x["gold_name"] for x in ocr.match_names(alike, golds).filter("name = 'customer000007.md'").collect()} == {"customer000400.xml"}
+
+
+def test_extremes_are_ranked_without_sorting_a_system(spark):
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.randint(0, 9) / 4, i, i % 3) for i in range(300)] + [("c", 1.0, 7, 7)]
+    df = spark.createDataFrame(rows, "system string, cer double, doc_id long, line_no long")
+    want = {}
+    for s in "abc":
+        own = [x for x in rows if x[0] == s]
+        for name, key in (("best", lambda x: (x[1], x[2], x[3])), ("worst", lambda x: (-x[1], x[2], x[3]))):
+            for n, x in enumerate(sorted(own, key=key)):
+                want.setdefault(x, {})[name] = n + 1
+    want = {(*x, w["best"], w["worst"]) for x, w in want.items() if min(w.values()) <= 3}
+    out = ocr.extremes(df, "system", "cer", ["doc_id", "line_no"], 3)
+    got = [tuple(x) for x in out.select("system", "cer", "doc_id", "line_no", "best", "worst").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()

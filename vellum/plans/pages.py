@@ -128,7 +128,7 @@ def _(spark, d):
 
 @query("ocr_best_worst", f"WITH {_DIST} SELECT system, doc_id, line_no, round(cer, 6) AS cer, best, worst FROM (SELECT *, CAST(row_number() OVER (PARTITION BY system ORDER BY round(cer, 6), doc_id, line_no) AS INTEGER) AS best, CAST(row_number() OVER (PARTITION BY system ORDER BY round(cer, 6) DESC, doc_id, line_no) AS INTEGER) AS worst FROM scored) WHERE best <= 3 OR worst <= 3")
 def _(spark, d):
-    df = ocr.with_distance(pages(spark, d)).withColumn("cer", F.round("cer", 6))
+    df = ocr.with_distance(pages(spark, d)).select("system", "doc_id", "line_no", F.round("cer", 6).alias("cer"))
     return ocr.extremes(df, "system", "cer", ["doc_id", "line_no"], 3).select("system", "doc_id", "line_no", "cer", "best", "worst")
 
 

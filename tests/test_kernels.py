@@ -127,3 +127,23 @@ def test_longest_blocks_are_those_of_difflib():
     began = time.process_time()
     assert k.error_taxonomy(line, line.replace("s", "f"))["long_s_to_f"] == line.count("s")
     assert time.process_time() - began < 20
+
+
+def test_changes_are_those_of_difflib():
+    import difflib
+    import random
+    import time
+
+    r = random.Random(8)
+    for n, letters in [(9, "ab"), (60, "abc"), (150, "etaoin shrdlu"), (199, "abcdefghijklmnopqrstuvwxyz "), (200, "abcdefghijklmnopqrstuvwxyz "), (260, "ab" + "".join(map(chr, range(200, 320)))), (900, "etaoinshrdlu  " + "".join(map(chr, range(200, 500))))]:
+        for _ in range(25):
+            a = "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+            b = r.choice([a.replace("s", "f"), a.replace("e", "ee"), a.replace("th", "t"), "".join(r.choice([c, c, c, "", r.choice(letters)]) for c in a), "".join(r.choice(letters) for _ in range(n))])
+            want = [x[1:] for x in difflib.SequenceMatcher(None, a, b).get_opcodes() if x[0] != "equal"]
+            assert list(k.changes(a, b)) == want, (a, b)
+    lines = ["".join(r.choice("etaoinshrdlu  ") for _ in range(190)) for _ in range(60)]
+    t = time.process_time()
+    want = [[x[1:] for x in difflib.SequenceMatcher(None, x, x.replace("s", "f")).get_opcodes() if x[0] != "equal"] for x in lines]
+    u = time.process_time()
+    assert [list(k.changes(x, x.replace("s", "f"))) for x in lines] == want
+    assert time.process_time() - u < (u - t) / 2

@@ -66,6 +66,14 @@ def test_grounded(spark):
     assert [r["text"] for r in ner.grounded(e, spark.createDataFrame([("d", "In New-England they")], "doc_id string, text string")).collect()] == ["new england"]
 
 
+def test_grounded_reads_a_document_once(spark):
+    e = spark.createDataFrame([("d", 1, "new england"), ("d", 2, None), ("d", 3, " Old  "), ("d", 4, "a b"), ("x", 5, "old"), (None, 6, "old"), ("d", 1, "new england")], "doc_id string, ord int, text string")
+    docs = spark.createDataFrame([("d", "New-England, OLD a-b"), ("x", None)], "doc_id string, text string")
+    out = ner.grounded(e, docs)
+    assert sorted(map(tuple, out.collect())) == [("d", 1, "new england")] * 2 + [("d", 3, " Old  "), ("d", 4, "a b")] and out.columns == e.columns
+    assert "collect_list" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_extract_and_link(spark):
     docs = spark.createDataFrame([("d", "a b")], "doc_id string, text string")
     found = ner.extract(docs, lambda t: [{"text": w, "type": "TOPONYM"} for w in t.split()])

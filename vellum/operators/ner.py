@@ -27,9 +27,13 @@ def extract(docs: DataFrame, model: Callable[[str], list[dict]]) -> DataFrame:
 
 
 def grounded(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """Entities whose text stands in their document."""
-    source = docs.select("doc_id", F.col("text").alias("_source"))
-    return entities.join(source, "doc_id").filter(X.occurs_in(F.col("text"), F.col("_source"))).drop("_source")
+    """Entities whose text stands in their document. A document meets its entities as one row, so its text is shuffled, lowered and freed of hyphens once."""
+    own = [c for c in entities.columns if c != "doc_id"]
+    each = entities.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_es"))
+    low = F.lower("_source")
+    hit = lambda t, s: (F.length(t) > 0) & (F.contains(s["low"], t) | F.contains(s["free"], X.hyphen_free(t)))
+    found = F.transform(F.array(F.struct(low.alias("low"), X.hyphen_free(low).alias("free"))), lambda s: F.filter("_es", lambda e: hit(F.lower(F.trim(e["text"])), s)))
+    return each.join(docs.select("doc_id", F.col("text").alias("_source")), "doc_id").select("doc_id", F.inline(F.get(found, F.lit(0))))
 
 
 def cascade(entities: DataFrame) -> DataFrame:

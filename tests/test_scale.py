@@ -418,3 +418,18 @@ def test_best_texts_of_blocks_without_a_row_a_pair(spark, tmp_path, monkeypatch)
     found = text_index.search(spark, str(tmp_path / "i"), spark.createDataFrame(asked, "query_id long, text string"), k=4)
     assert {(x["query_id"], x["id"], round(x["score"], 6), x["rank"]) for x in found.collect()} == want
     assert "askers" in found._jdf.queryExecution().executedPlan().toString()  # queries come to a block's postings as lists
+
+
+def test_entities_are_merged_without_relations_and_facts_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from vellum.plans import indexes
+
+    texts = [(7, "Anna sold red cloth Bert and Cara"), (8, "Dora"), (9, None), (10, "no name"), (11, "Éa Ünn Oda gives Pia"), (12, "Xa of the Ya")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = indexes.facts(spark, str(tmp_path))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["subject"], r["relation"], r["object"], str(r["valid_from"]), r["valid_to"] is None) for r in rows.collect()}
+    assert got == {("Annas", "sold red", "Berts", "1700-01-08", False), ("Berts", "and", "Caras", "1700-01-08", False), ("Oda", "gives", "Pia", "1700-01-12", True), ("Xa", "of the", "Ya", "1700-01-13", False)}
+    asked, merged = [], temporal.merged
+    monkeypatch.setattr(temporal, "merged", lambda names, least: asked.append(least) or merged(names, least))
+    assert {r["name"] for r in indexes.QUERIES["temporal_entities"](spark, str(tmp_path)).collect()} == {"Annas", "Berts", "Caras", "Oda", "Pia", "Xa", "Ya"}
+    assert asked == [temporal.ENTITIES]

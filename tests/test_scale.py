@@ -447,3 +447,19 @@ def test_openings_match_as_if_all_pairs_were_looked_at(spark):
         found = ocr.match_by_opening(spark.createDataFrame([(g,) for g in golds], "gold_name string"), spark.createDataFrame([(n,) for n in names], "file_name string"), length=4)
         assert {x["gold_name"]: x["file_name"] for x in found.collect()} == want
     assert "Contains" not in found._jdf.queryExecution().executedPlan().toString()  # names that begin alike aren't paired
+
+
+def test_regions_are_rejoined_in_batches(spark):
+    from vellum.functions import kernels
+
+    r = random.Random(4)
+    line = lambda: " ".join(r.choice(["im-", "porter", "consi", "der", "it", "Of,", "sur", "prise"]) for _ in range(r.randint(0, 3)))
+    rows = [(d, i, line()) for d in range(300) for i in range(r.randint(1, 6))]
+    words = ["importer", "Consider", "surprise", "of", "porter"]
+    out = ocr.rejoin_lines(spark.createDataFrame(r.sample(rows, len(rows)), "region long, line_no int, line string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    want = set()
+    for d in range(300):
+        fixed, n = kernels.rejoin([x[2] for x in rows if x[0] == d], {"", *(w.lower() for w in words)})
+        want |= {(d, i, text, n) for i, text in enumerate(fixed)}
+    assert {tuple(x) for x in out.collect()} == want and any(x[3] for x in want) and out.columns == ["region", "line_no", "line", "repairs"]
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no batch of its own for each region

@@ -86,6 +86,12 @@ def partial_counts(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.partial_counts(set(g) if g is not None else set(), set(p) if p is not None else set()) for g, p in zip(gold, pred, strict=True)], columns=["tp", "fp", "fn"])
 
 
+@F.pandas_udf(T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("repairs", T.LongType())]))
+def rejoined(lines: pd.Series, known: pd.Series) -> pd.DataFrame:
+    """Arrays of lines with words rejoined over line ends, and the number of repairs."""
+    return pd.DataFrame([kernels.rejoin(list(a), set(b)) for a, b in zip(lines, known, strict=True)], columns=["lines", "repairs"])
+
+
 @F.pandas_udf(_SPANS)
 def occurrences(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([[{"s": a, "e": b} for a, b in kernels.occurrences(t or "", n or "")] for t, n in zip(text, name, strict=True)])

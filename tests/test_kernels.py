@@ -147,3 +147,13 @@ def test_changes_are_those_of_difflib():
     u = time.process_time()
     assert [list(k.changes(x, x.replace("s", "f"))) for x in lines] == want
     assert time.process_time() - u < (u - t) / 2
+
+
+def test_a_scanners_habits_are_read_off_in_one_pass():
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        ref = "".join(r.choice("sfthen é") for _ in range(r.randint(0, 60)))
+        for a, b in (("s", "f"), ("th", "t"), ("en", "een"), ("", "")):
+            assert k.plain_edits(ref, ref.replace(a, b) if a else ref) is not None

@@ -52,6 +52,34 @@ def test_best_partners_over_many_blocks(spark, monkeypatch):
     assert temporal.merged(df.limit(0), (7, 10)).count() == 0
 
 
+def test_long_lists_are_split_without_loss_and_not_compared_as_a_whole(spark, monkeypatch):
+    r = random.Random(8)
+    syllables = ["en", "er", "ti", "on", "th", "le", "ea", "nd", "enen", "a"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    names = sorted({f"{word()} qz{word()}" for _ in range(1400)} | {"qz" + x * k for x in ("en", "aa", "thle") for k in range(1, 9)} | {"e qz", "qz e"})
+    row, gram, count, _ = temporal.trigrams(names)
+    code = np.unique(gram, return_inverse=True)[1]
+    m = np.zeros((len(names), code.max() + 1), np.int64)
+    m[row, code] = count
+    dot, norm = m @ m.T, (m * m).sum(1)
+    a, b = np.nonzero(np.triu(dot**2 * 100 >= norm[:, None] * norm * 49, 1))
+    want = {(names[i], names[j]) for i, j in zip(a, b, strict=True)}
+    df = spark.createDataFrame([("k", x) for x in names], "kind string, name string")
+    for long, block in ((200, 3), (1 << 17, 20)):  # split by Spark, again and again; in arrays
+        monkeypatch.setattr(temporal, "LONG", long)
+        monkeypatch.setattr(temporal, "BLOCK", block)
+        assert {(x["a"], x["b"]) for x in temporal.similar(df, (7, 10)).collect()} == want and len(want) > 500
+    n, every = len(names), np.arange(len(names))
+    lists = temporal._split(every * 0, every, every * 0, every * 0, every >= 0, np.bincount(row), code, count.astype(np.int64), norm, (m > 1).any(1), 7, 10, 20)
+    met, compared = set(), 0
+    for own, strong, sizes in lists:
+        for x, s in zip(np.split(own, np.cumsum(sizes)[:-1]), np.split(strong, np.cumsum(sizes)[:-1]), strict=True):
+            some = x[s]
+            compared += len(some) * len(x)
+            met |= {(min(i, j), max(i, j)) for i in some.tolist() for j in x.tolist() if i != j}
+    assert met >= set(zip(a.tolist(), b.tolist(), strict=True)) and len(met) < n * (n - 1) / 2 / 3
+
+
 def test_planted_duplicates_merge_and_intervals_join(spark):
     day = lambda n: datetime.date(1700, 1, 1) + datetime.timedelta(n)
     rows = [("Wellington", "P", "trades with", "Liverpool", "T", day(0), day(4)), ("Wellingtons", "P", "trade with", "Liverpool", "T", day(5), day(9)), ("Wellington", "P", "trades with", "Liverpool", "T", day(20), None), ("Wellington", "P", "trades with", "Liverpool", "T", day(30), day(31)), ("Oslo", "P", "trades with", "Wellington", "P", day(11), day(12)), ("Wellington", "T", "trades with", "Wellingtons", "T", day(1), day(1)), ("Wellington", "P", "trades with", "Liverpool", "T", day(15), day(13))]

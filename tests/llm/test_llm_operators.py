@@ -492,6 +492,25 @@ def test_frequencies_are_exact_however_rows_are_dealt(spark, monkeypatch):
     assert slack[-1][0]["n"] == 3000 and 0 < slack[-1][0]["slack"] <= 750 and all(n <= 4 for n in low.values())
 
 
+def test_known_shingles_are_counted_once_a_row_and_few_are_searched(monkeypatch):
+    import pyarrow as pa
+
+    words, r = near_dedup.Words(), random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, "", "a " * 30]
+    rows = [set(words.shingles(t.encode())[0].tolist()) for t in texts if t]
+    hashes = np.array(sorted(set().union(*rows))[::3] + [(1 << 64) - 1], np.uint64)
+    sought, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x: sought.append(np.size(v)) or search(a, v, *x))
+    for known in (hashes, hashes[:0]):
+        sent = type("Sent", (), {"value": known})
+        out = pa.Table.from_batches(near_dedup.count_known(sent)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+        got = dict(zip(out.column("h").to_numpy().view(np.uint64).tolist(), out.column("n").to_pylist(), strict=True))
+        assert got == {h: n for h in known.tolist() if (n := sum(h in row for row in rows))}
+        found, weight = near_dedup.Vectors((known, np.full(len(known), 1.25))).of(texts[1].encode())
+        assert weight.tolist() == [n * (1.25 if h in set(known.tolist()) else 2) for h, n in zip(found.tolist(), words.shingles(texts[1].encode())[1].tolist(), strict=True)]
+    assert 0 < sum(sought) < sum(map(len, rows)) / 2
+
+
 def test_what_is_left_of_a_task_is_not_handed_on_whole(monkeypatch):
     import pyarrow as pa
 

@@ -70,8 +70,8 @@ class Words(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(word))
         return at
 
-    def shingles(self, text: bytes):
-        """Distinct shingle hashes of a text, sorted, and their counts."""
+    def mixed(self, text: bytes):
+        """The shingle hashes of a text, repeats included, in its order."""
         import numpy as np
 
         if len(self) > self.limit:
@@ -80,7 +80,7 @@ class Words(dict):
         words = text.split()
         n = len(words)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         places = np.fromiter(map(self.__getitem__, words), np.int64, n)
         hashes = np.frombuffer(self.hashes, np.uint64)[places]
         k = min(SHINGLE, n)
@@ -90,27 +90,52 @@ class Words(dict):
             mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
+        return mixed
+
+    def shingles(self, text: bytes):
+        """Distinct shingle hashes of a text, sorted, and their counts."""
+        import numpy as np
+
+        mixed = self.mixed(text)
+        if not len(mixed):
+            return mixed, np.zeros(0, np.int64)
         mixed.sort()
         first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
-        return mixed[first], np.diff(first, append=n - k + 1)
+        return mixed[first], np.diff(first, append=len(mixed))
+
+
+class Known:
+    """Sorted hashes; most others are told by their first bits, so that few are searched for."""
+
+    def __init__(self, hashes, bits: int = 22):
+        import numpy as np
+
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[hashes >> self.shift] = True
+
+    def places(self, found):
+        """(i, at): found[i] is the hash at place ``at``, for every one that is known."""
+        import numpy as np
+
+        i = np.flatnonzero(self.some[found >> self.shift])
+        at = np.searchsorted(self.hashes, found[i])
+        same = self.hashes[np.minimum(at, len(self.hashes) - 1)] == found[i]
+        return i[same], at[same]
 
 
 class Vectors:
     """Texts to (shingles, weights). ``sent``: the frequent shingles, sorted, and their inverse document frequencies; any other weighs 2."""
 
     def __init__(self, sent):
-        self.frequent, self.idf = sent
-        self.words = Words()
+        frequent, self.idf = sent
+        self.known, self.words = Known(frequent), Words()
 
     def of(self, text: bytes):
-        import numpy as np
-
         found, n = self.words.shingles(text)
         weight = n * 2.0
-        if len(self.frequent) and len(found):
-            at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
-            known = self.frequent[at] == found
-            weight[known] = n[known] * self.idf[at[known]]
+        i, at = self.known.places(found)
+        weight[i] = n[i] * self.idf[at]
         return found, weight
 
 
@@ -202,18 +227,16 @@ def count_known(sent):
         import pyarrow as pa
 
         tokens.release()
-        words, known = Words(), sent.value
-        counts = np.zeros(len(known), np.int64)
+        words, known = Words(), Known(sent.value)
+        counts = np.zeros(len(sent.value), np.int64)
         for whole in batches:
             for b in tokens.slices(whole, 128):
                 for t in b.column(0).cast(pa.binary()).to_pylist():
-                    if t and len(known):
-                        found = words.shingles(t)[0]
-                        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                        counts[at[known[at] == found]] += 1  # a row's shingles are distinct
+                    if t and len(counts):
+                        counts[known.places(words.mixed(t))[1]] += 1  # once a row, however often the place is named
             common.give_back()
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(sent.value[some].view(np.int64)), pa.array(counts[some])], names=["h", "n"])
 
     return run
 

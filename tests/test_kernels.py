@@ -1,5 +1,7 @@
 import random
+import re
 import time
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -7,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vellum.functions import kernels as k
+from vellum.functions import vocab
 
 WORDS = st.text(alphabet="abs", max_size=30)
 
@@ -157,3 +160,42 @@ def test_a_scanners_habits_are_read_off_in_one_pass():
         ref = "".join(r.choice("sfthen é") for _ in range(r.randint(0, 60)))
         for a, b in (("s", "f"), ("th", "t"), ("en", "een"), ("", "")):
             assert k.plain_edits(ref, ref.replace(a, b) if a else ref) is not None
+
+
+def test_distance_is_the_whole_table():
+    r = random.Random(11)
+    for _ in range(400):
+        a, b = ([r.choice("abcdé") for _ in range(r.randint(0, 90))] for _ in "ab")
+        b = b if r.random() < 0.3 else [x for x in a if r.random() > 0.1] + b[: r.randint(0, 3)]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[j - 1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        assert k.distance(a, b) == k.distance("".join(a), "".join(b)) == row[-1]
+    long = "the southern seas " * 3000
+    assert k.distance(long, "x" + long.replace("the", "teh", 40)[:-1]) == 82  # a table of three billion cells
+
+
+def test_page_measures_are_those_of_each_measure():
+    r = random.Random(12)
+    stop = set(vocab.STOP_WORDS)
+    some = ["the", "sor", "for", "is", "if", "Been", "been", "ben", "st.", "--", "12,5", "£3", "É1", "Élan", "\x1dx", "tthe", "naïve", "Ⓐb", "Who", "á", "½", "ǅa", "", "A", "McA"]
+    lexicon = {"ben", "for", "seen", "12,5", "naïve"}
+    letters = lambda w: "".join(c for c in w if unicodedata.category(c)[0] in "LN")
+    tells = lambda ws: [w for w in ws if letters(w) and w not in stop]
+    caps = lambda ws: [w.lower() for w in ws if w and unicodedata.category(w[0]) == "Lu" and w.lower() not in stop]
+    swaps = [("s", "f"), ("th", "t"), ("en", "een"), ("", ""), ("f", "s"), (" ", " \t"), ("Be", "be ")]
+    measured = k.page_measures(lexicon=lexicon)
+    for _ in range(1500):
+        raw = r.choice(["", " "]) + r.choice([" ", "  ", "\n"]).join(r.choice(some) for _ in range(r.randint(1, 25)))
+        swap = r.choice(swaps)
+        other = raw.replace(*swap) if swap[0] else raw
+        if r.random() < 0.2:
+            other += " seen"
+        ref, hyp = raw.lower(), other.lower()
+        rw, hw = k.words(ref), k.words(hyp)
+        want = k.edit_counts(ref, hyp) + k.edit_counts(rw, hw) + k.accuracy(tells(rw), tells(hw)) + k.accuracy(caps(k.words(raw)), caps(k.words(other)))
+        want += k.accuracy(*(re.findall(vocab.NUMBER_GROUP, t, re.ASCII) for t in (ref, hyp)))
+        made = [w for w in hw if w not in rw and letters(w) and {w.lower(), letters(w).lower()} & lexicon]
+        assert measured(ref, hyp, raw, other) == (*want, k.bleu(rw, hw), len(rw), len(hw), len(made), len(set(made)))

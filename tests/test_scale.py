@@ -491,3 +491,27 @@ def test_regions_are_rejoined_in_batches(spark):
         want |= {(d, i, text, n) for i, text in enumerate(fixed)}
     assert {tuple(x) for x in out.collect()} == want and any(x[3] for x in want) and out.columns == ["region", "line_no", "line", "repairs"]
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no batch of its own for each region
+
+
+def test_pages_are_scored_without_a_row_for_a_word(spark):
+    rows = [(i, f"s{i % 3}", 1700 + i % 3, t, t.replace("a", "o"), t, t) for i, t in enumerate(["a cat sat 12", "land 4 ahoy", "", "no cat", " the\tmat "] * 4)]
+    pairs = spark.createDataFrame(rows, "doc_id long, system string, year int, ref string, hyp string, ref_raw string, hyp_raw string")
+    lexicon = spark.createDataFrame([("Cot",), ("ohoy",), (None,), ("lond",)], "word string")
+    few, many = (ocr.scored_pages(pairs, lexicon, ["doc_id"], most=m) for m in (3, 2))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(str, few.select(sorted(few.columns)).collect())) == sorted(map(str, many.select(sorted(few.columns)).collect()))
+    assert few.agg(F.sum("hallucinated_words")).first()[0] == 12 + 4  # cot twice, ohoy, lond
+    plain, refined = (sorted(map(str, ocr.full_summary(few, ["system"], at_once=n).collect())) for n in (1000, 1))
+    assert plain == refined
+    plain, refined = (sorted(map(str, ocr.age_summary(few, at_once=n).collect())) for n in (1000, 1))
+    assert plain == refined
+
+
+def test_totals_take_no_median(spark, monkeypatch):
+    monkeypatch.setattr(ocr.storage, "kept", None)
+    monkeypatch.setattr(ocr.quantiles, "medians", None)
+    pairs = spark.createDataFrame([("s", "cat 5", "cot 5"), ("s", "mat", "mat")], "system string, ref string, hyp string")
+    only = ["n", "total_words", "total_numbers_total", "mean_char_accuracy", "char_substitutions_pct"]
+    got = ocr.full_summary(ocr.with_metrics(pairs, parts=("char", "numbers")), ["system"], at_once=1, only=only).collect()
+    assert [tuple(r) for r in got] == [("s", 2, 3, 1, 0.9, 100.0)]

@@ -47,6 +47,19 @@ def bleu(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([kernels.bleu(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)])
 
 
+def page_measures(parts: tuple, lexicon=None):
+    """Measures of a page, ``part_kind`` of the parts of ``kernels.PAGE``, in one reading of its texts before and after lower case; ``lexicon``: a broadcast set of words in lower case."""
+    names = [f"{p}_{k}" for p in parts for k in kernels.PAGE[p]]
+    kind = T.StructType([T.StructField(n, T.DoubleType() if n.endswith(("_score", "_accuracy")) else T.LongType()) for n in names])
+
+    @F.pandas_udf(kind)
+    def measures(ref: pd.Series, hyp: pd.Series, ref_raw: pd.Series, hyp_raw: pd.Series) -> pd.DataFrame:
+        measured, none = kernels.page_measures(parts, lexicon.value if lexicon else frozenset()), (None,) * len(names)
+        return pd.DataFrame([none if a is None or b is None else measured(a, b, c, d) for a, b, c, d in zip(ref, hyp, ref_raw, hyp_raw, strict=True)], columns=names)
+
+    return measures
+
+
 @F.pandas_udf(_struct(T.LongType(), *kernels.TAXONOMY))
 def error_taxonomy(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.error_taxonomy(a, b) for a, b in zip(ref, hyp, strict=True)], columns=kernels.TAXONOMY)

@@ -41,7 +41,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select("doc_id", F.col("source").alias("system"), (1600 + F.col("doc_id") % 200).cast("int").alias("year"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     habit = F.col("doc_id") % 4
     seen = lambda c: F.when(habit == 0, F.replace(c, F.lit("s"), F.lit("f"))).when(habit == 1, F.replace(c, F.lit("th"), F.lit("t"))).when(habit == 2, F.replace(c, F.lit("en"), F.lit("een"))).otherwise(F.col(c))
-    ref = lines.withColumn("ref", X.normalize(F.col("line"))).filter("ref <> ''").withColumn("ref_raw", X.squeeze(F.col("line"))).drop("line")
+    ref = lines.filter(F.col("line").rlike(r"(?U)\S")).withColumn("ref", X.normalize(F.col("line"))).withColumn("ref_raw", X.squeeze(F.col("line"))).drop("line")
     return ref.withColumn("line_no", F.col("line_no").cast("long")).withColumn("hyp", seen("ref")).withColumn("hyp_raw", seen("ref_raw"))
 
 

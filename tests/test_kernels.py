@@ -199,3 +199,21 @@ def test_page_measures_are_those_of_each_measure():
         want += k.accuracy(*(re.findall(vocab.NUMBER_GROUP, t, re.ASCII) for t in (ref, hyp)))
         made = [w for w in hw if w not in rw and letters(w) and {w.lower(), letters(w).lower()} & lexicon]
         assert measured(ref, hyp, raw, other) == (*want, k.bleu(rw, hw), len(rw), len(hw), len(made), len(set(made)))
+
+
+def test_unlike_ranges_are_those_of_difflib():
+    r = random.Random(3)
+    swaps = [lambda t: t.replace("s", "f"), lambda t: t.replace("th", "t"), lambda t: t.replace("en", "een"), lambda t: "".join(r.choice("aen") if r.random() < 0.05 else c for c in t), lambda t: t[::-1]]
+    for _ in range(250):
+        word = "".join(r.choice("aens th") for _ in range(r.randint(1, 9))) * r.choice([0, 1, 40])
+        ref = "".join(c for c in word if r.random() > 0.004) + "".join(r.choice("aenst h") for _ in range(r.randint(0, 250)))
+        hyp = r.choice(swaps)(ref)
+        want = [o[1:] for o in SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes() if o[0] != "equal"]
+        assert list(k.unlike(ref, hyp)) == want
+
+
+def test_unlike_ranges_of_a_repeated_word():
+    line = "annt " * 12_000
+    began = time.time()
+    assert sum(1 for _ in k.unlike(line, line.replace("n ", "nn ").replace("nt", "n"))) == 12_000
+    assert time.time() - began < 5  # from one longest match to the next it took minutes

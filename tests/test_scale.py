@@ -515,3 +515,23 @@ def test_totals_take_no_median(spark, monkeypatch):
     only = ["n", "total_words", "total_numbers_total", "mean_char_accuracy", "char_substitutions_pct"]
     got = ocr.full_summary(ocr.with_metrics(pairs, parts=("char", "numbers")), ["system"], at_once=1, only=only).collect()
     assert [tuple(r) for r in got] == [("s", 2, 3, 1, 0.9, 100.0)]
+
+
+def test_cells_of_names_are_read_and_not_shuffled(spark):
+    m = spark.range(3000).selectExpr("id div 100 as doc_id", "id as ord", "concat('N', id % 100) as text", "'PERSON' as type")
+    df = graph.cooccurrence(m, cell=5_000)  # of 151,500 pairs
+    assert df.rdd.getNumPartitions() == 2 + 8 * 9 // 2  # a task for each cell of eight buckets
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 4950 and df.agg(F.sum("weight")).first()[0] == 30 * 4950
+
+
+def test_top_pairs_are_those_of_all_pairs(spark):
+    r = random.Random(8)
+    rows = [(d, o, f"N{int(r.random() ** 3 * 40)}", "PERSON") for d in range(60) for o in range(r.randint(1, 12))]
+    rows += [(d, 90 + o, "Self", "ORGANIZATION") for d in (3, 4) for o in range(9)] + [(None, 1, "Lost", "PERSON"), (70, 1, " ", "PERSON")]
+    m = spark.createDataFrame(rows, "doc_id long, ord long, text string, type string")
+    for k in (1, 10, 5000):
+        want = [tuple(x) for x in graph.top(graph.cooccurrence(m), "weight", k, "source", "target").select("source", "target", "weight").collect()]
+        for few, seen in ((1024, 64), (1024, 3), (2, 8)):
+            assert [tuple(x) for x in graph.top_pairs(m, k, few, seen).collect()] == want
+    assert graph.top_pairs(m.limit(0), 3).count() == 0

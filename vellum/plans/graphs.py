@@ -39,7 +39,7 @@ def _(spark, d):
 
 @query("graph_top_pairs", f"WITH {_PAIRS} SELECT source, target, weight FROM cooccurs ORDER BY weight DESC, source, target LIMIT 10")
 def _(spark, d):
-    return graph.top(graph.cooccurrence(mentions(spark, d)), "weight", 10, "source", "target").select("source", "target", "weight")
+    return graph.top_pairs(mentions(spark, d), 10)
 
 
 @query("graph_label_counts", f"WITH {_NODES} SELECT label, CAST(count(*) AS BIGINT) AS n FROM nodes GROUP BY label")

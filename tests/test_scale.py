@@ -3,6 +3,7 @@
 import collections
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
@@ -535,3 +536,18 @@ def test_top_pairs_are_those_of_all_pairs(spark):
         for few, seen in ((1024, 64), (1024, 3), (2, 8)):
             assert [tuple(x) for x in graph.top_pairs(m, k, few, seen).collect()] == want
     assert graph.top_pairs(m.limit(0), 3).count() == 0
+
+
+def test_a_key_is_taken_once_by_its_first_row(spark, tmp_path):
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "doc_id long, text string"
+    rows = [(k, f"{k % 7}{x}") for k in range(4000) for x in ("b", "a")[: 1 + (k % 5 == 0)]]
+    spark.createDataFrame([*rows, (None, "z"), (None, "y")], schema).coalesce(1).write.parquet(src)
+    began = time.time()
+    ingest.process_once(ingest.arrivals(spark, src, schema, 1), "doc_id", lambda df: df, out, str(tmp_path / "a"))
+    spark.createDataFrame([(5, "0"), (-5, "new")], schema).coalesce(1).write.mode("append").parquet(src)
+    for cp in "ab":
+        ingest.process_once(ingest.arrivals(spark, src, schema, 1), "doc_id", lambda df: df, out, str(tmp_path / cp))
+    got = spark.read.parquet(out)
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(k, f"{k % 7}{'a' if k % 5 == 0 else 'b'}") for k in range(4000)} | {(None, "y"), (-5, "new")}
+    assert got.count() == 4002
+    assert time.time() - began < 40  # a key at a time took minutes

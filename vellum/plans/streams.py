@@ -28,7 +28,7 @@ def _(spark, d):
     """The same arrivals twice under two checkpoints: the sink holds each document once."""
     out = ingest.scratch(spark, "resume")
     for k in ("a", "b"):
-        ingest.process_once(_stream(spark, d, "documents"), "doc_id", lambda df: df.select("doc_id", "lang"), out + "/rows", f"{out}/{k}")
+        ingest.process_once(_stream(spark, d, "documents").select("doc_id", "lang"), "doc_id", lambda df: df, out + "/rows", f"{out}/{k}")
     return spark.read.parquet(out + "/rows").drop("batch")
 
 

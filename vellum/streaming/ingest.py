@@ -7,8 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,9 +53,10 @@ def latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 def process_once(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Each key once, whatever is replayed or arrives again, and whatever another checkpoint has put into the sink.
 
-    Keys that were taken are keyed state, held by the checkpoint: a batch looks up its own keys there and never reads the
-    sink. The state of a new checkpoint begins with the keys that the sink holds. Each batch has a folder of its own in
-    the sink, written anew if the batch is run again. The first row of a key by its other columns is the one that stays.
+    Keys that were taken are keyed state of Spark's own, held by the checkpoint: a batch looks up its keys there and never
+    reads what this checkpoint wrote. What others had written when the stream began is left out by a join on their keys
+    alone. Each batch has a folder of its own in the sink, written anew if the batch is run again. The first row of a key in
+    a batch by its columns is the one that stays; a task holds the rows that a batch deals to it.
     """
     import hashlib
 
@@ -65,43 +64,55 @@ def process_once(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFr
     store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    kind = stream.schema[key].dataType
-    known = spark.read.parquet(out).select(F.col(key).cast(kind).alias(key)) if there else spark.createDataFrame([], T.StructType([T.StructField(key, kind)]))
     own = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def batch(df: DataFrame, epoch: int) -> None:
         work(df).write.mode("overwrite").parquet(f"{out}/batch={own}-{epoch}")
 
-    fresh = stream.groupBy(key).transformWithStateInPandas(_Once(), stream.schema, "Append", "None", known.distinct().groupBy(key))
+    fresh = stream.repartition(key).mapInArrow(_first_rows(key), stream.schema)
+    if there:
+        others = spark.read.parquet(out).filter(~F.startswith(F.col("batch").cast("string"), F.lit(f"{own}-")))
+        others = others.select(F.col(key).cast(stream.schema[key].dataType).alias("_taken"))
+        fresh = fresh.join(others, F.col(key).eqNullSafe(F.col("_taken")), "left_anti")
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        fresh.dropDuplicates([key]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(store, before)
 
 
-class _Once(StatefulProcessor):
-    """The first row of a key that has no state yet."""
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "taken boolean")
-
-    def handleInputRows(self, key, rows, timers):  # noqa: N802
-        fresh = not self.seen.exists()
-        first = None
-        for some in rows:
-            if fresh:
-                some = some.sort_values(list(some.columns), kind="stable", key=lambda c: c.map(str)).head(1)
-                first = some if first is None else min(first, some, key=lambda r: [str(v) for v in r.iloc[0]])
-        if first is not None:
-            self.seen.update((True,))
-            yield first
-
-    def handleInitialState(self, key, initial, timers) -> None:  # noqa: N802
-        self.seen.update((True,))
-
-    def close(self) -> None:
-        pass
+def _first_rows(key: str):
+    """Of the rows of a task, each key's first by its columns as texts."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        at = rows.schema.get_field_index(key)
+        try:
+            code = rows.column(at).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        except pa.ArrowNotImplementedError:  # keys of several parts
+            codes: dict = {}
+            code = np.array([codes.setdefault(repr(k), len(codes)) for k in rows.column(at).to_pylist()])
+        many = np.flatnonzero(np.bincount(code)[code] > 1)
+        if not len(many):
+            yield from held
+            return
+        first: dict = {}
+        for i, row in zip(many.tolist(), rows.take(pa.array(many)).to_pylist(), strict=True):
+            said = [str(v) for v in row.values()]
+            if code[i] not in first or said < first[code[i]][0]:
+                first[code[i]] = said, i
+        stays = np.ones(len(code), bool)
+        stays[many] = False
+        stays[[i for _, i in first.values()]] = True
+        yield from rows.filter(pa.array(stays)).to_batches()
+
+    return run
 
 
 def watch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, done: Callable[[], bool], poll: float = 1.0) -> int:
